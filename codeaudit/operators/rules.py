@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import once
 from codeaudit.functions.text import any_of, newline_count, stripped, truncated
-from codeaudit.operators.code import STRUCTURED_LANGUAGES
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, TIER_NAMES, Rule
 
 _HITS = "array<struct<rule_id:string,n:int,text:string>>"
@@ -75,7 +74,9 @@ def listed_rules(
 
 def effective_pattern(rule: Rule) -> str:
     """Statements span lines, so the dot matches line breaks except in whole-file rules."""
-    return rule.positive if rule.scope == "F" else "(?s)" + rule.positive
+    return rule.positive if rule.scope == "F" else (
+        "(?s)" + rule.positive if rule.positive else ""
+    )
 
 
 def _negative(rule: Rule) -> str:
@@ -318,8 +319,14 @@ def with_rule_hits(model: DataFrame, tier: Column | None = None, rules=RULES) ->
     )
 
 
-def located(hits: DataFrame, spark: SparkSession, rules=RULES) -> DataFrame:
-    """Explode hits, look up their rules and place them: line, column and snippet."""
+def located(
+    hits: DataFrame, spark: SparkSession, rules=RULES, keep_rank: bool = False
+) -> DataFrame:
+    """Explode hits, look up their rules and place them: line, column and snippet.
+
+    The line is the first line of the hit text plus the line breaks before the
+    match; a rule without a pattern is placed at the first line.
+    """
     table = F.broadcast(rule_table(spark, rules)).drop("languages", "tiers")
     rows = hits.withColumn("hit", F.explode("rule_hits")).drop("rule_hits")
     joined = rows.join(table, F.col("hit.rule_id") == F.col("rule_id")).withColumn(
@@ -336,6 +343,7 @@ def located(hits: DataFrame, spark: SparkSession, rules=RULES) -> DataFrame:
     )
     return joined.select(
         *[c for c in rows.columns if c != "hit"],
+        *([F.col("hit.rank").alias("rank")] if keep_rank else []),
         "rule_id",
         "severity",
         "category",
@@ -347,7 +355,3 @@ def located(hits: DataFrame, spark: SparkSession, rules=RULES) -> DataFrame:
         F.array_join(F.slice(F.split(matched, "\n"), 1, 3), "\n").alias("snippet"),
     )
 
-
-def light_model_languages() -> tuple[str, ...]:
-    """Languages whose rules need no code model, only physical lines."""
-    return tuple(sorted({lang for r in RULES for lang in r.languages} - set(STRUCTURED_LANGUAGES)))

@@ -28,7 +28,7 @@ class Rule(NamedTuple):
 
     @property
     def languages(self) -> tuple[str, ...]:
-        return PACK_LANGUAGES[self.pack.split("/")[0]]
+        return PACK_LANGUAGES.get(self.pack.split("/")[0], ())
 
     @property
     def tier_names(self) -> tuple[str, ...]:

@@ -78,6 +78,7 @@ ENV_FILES = (".env", ".env.local", ".env.production", ".env.staging", ".env.deve
 ENV_ENTRY = r"^([A-Za-z_][A-Za-z0-9_]*)=(.*)"
 ENV_MAX_LINES = 200
 ENTROPY_LIMIT = 3.5
+TOKEN_ENTROPY_LIMIT = 4.5
 
 AGENT_CONFIG_PATHS = (
     ".claude/settings.json", ".cursor/mcp.json", "mcp.config.json",
