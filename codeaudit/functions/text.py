@@ -50,14 +50,13 @@ def identifiers(text: Column) -> Column:
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits per character; 0 for an empty text."""
-    chars = F.split(text, "", -1)
     n = F.length(text)
-    counts = F.transform(
-        F.array_distinct(chars),
-        lambda c: F.size(F.filter(chars, lambda x: x == c)) / n,
+    shares = F.transform(
+        F.array_distinct(F.split(text, "", -1)),
+        lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n,
     )
     return F.when(n == 0, F.lit(0.0)).otherwise(
-        F.round(F.aggregate(counts, F.lit(0.0), lambda a, p: a - p * F.log2(p)), 6)
+        F.round(F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p)), 6)
     )
 
 

@@ -26,10 +26,10 @@ TEXT_OPEN, TEXT_CLOSE = "\x02", "\x03"
 
 _STRING = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
 _TEMPLATE = r"`[^`\\]*(?:\\.[^`\\]*)*`"
-PY_COMMENT = f"({_STRING})|#.*"
-PY_STRING = _STRING
-JS_COMMENT = f"({_STRING}|{_TEMPLATE})|//.*"
-JS_STRING = f"{_STRING}|{_TEMPLATE}"
+PY_COMMENT = f"(?s)({_STRING})|#.*"
+PY_STRING = f"(?s){_STRING}"
+JS_COMMENT = f"(?s)({_STRING}|{_TEMPLATE})|//.*"
+JS_STRING = f"(?s){_STRING}|{_TEMPLATE}"
 
 PY_HEADER = r"^\s*(async\s+)?(def|class)\s"
 JS_BLOCK_OPENER = r"(=>|\))\s*\{\s*$"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeaudit.functions.plan import once
 from codeaudit.functions.text import entropy, stripped
 from codeaudit.operators.code import with_lines
 from codeaudit.operators.findings import SOURCE_RANK, as_findings
@@ -60,7 +61,7 @@ def env_entries(files: DataFrame) -> DataFrame:
         "path",
         (F.col("pos") + 1).alias("line"),
         F.regexp_extract(text, ENV_ENTRY, 1).alias("key"),
-        value.alias("value"),
+        once(value).alias("value"),
     )
 
 
