@@ -17,6 +17,16 @@ def once(value: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, value)
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows of ``df`` with columns whose definitions the optimizer no longer follows.
+
+    Filters and joins on a column are traced back through every projection it
+    came from.  Passing the row through a generator of one element ends the
+    trace; it costs one small array per row.
+    """
+    return df.select(F.inline_outer(F.array(F.struct(*[F.col(c) for c in columns]))))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when the input arrives in fewer pieces than there are cores.
 

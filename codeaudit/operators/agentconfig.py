@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import once
 from codeaudit.functions.text import entropy, masked
-from codeaudit.operators.envfiles import ignore_patterns
+from codeaudit.operators.envfiles import ignore_keys, ignore_patterns, uncovered
 from codeaudit.operators.findings import SOURCE_RANK, as_findings
 from codeaudit.sources.constants import (
     AGENT_CONFIG_PATHS,
@@ -19,12 +19,14 @@ from codeaudit.sources.constants import (
 _NODES = "array<struct<key:string,value:variant>>"
 
 
+def is_config(rel_path: Column, file_name: Column) -> Column:
+    name = F.lower(file_name)
+    by_name = file_name.endswith(".json") & (name.startswith("mcp") | name.endswith("mcp.json"))
+    return rel_path.isin(*AGENT_CONFIG_PATHS) | by_name
+
+
 def config_files(files: DataFrame) -> DataFrame:
-    name = F.lower("file_name")
-    by_name = F.col("file_name").endswith(".json") & (
-        name.startswith("mcp") | name.endswith("mcp.json")
-    )
-    return files.where(F.col("rel_path").isin(*AGENT_CONFIG_PATHS) | by_name)
+    return files.where(is_config(F.col("rel_path"), F.col("file_name")))
 
 
 def config_strings(files: DataFrame) -> DataFrame:
@@ -82,47 +84,40 @@ def config_secrets(files: DataFrame) -> DataFrame:
     )
 
 
-def config_not_ignored(files: DataFrame) -> DataFrame:
-    """Configuration files no ignore pattern covers.
+def config_keys(rel_path: Column, file_name: Column) -> Column:
+    """Every pattern that covers a configuration file, spelled out from its path.
 
     A pattern covers a file as its path or name, as a folder above it (``dir``
-    or ``dir/*``) or as ``*`` and an ending of the path.  All of these are spelled
-    out from the path, which bounds them by its length, so the match is an equi
-    join on (project, pattern).
+    or ``dir/*``) or as ``*`` and an ending of the path.  Their number is bounded
+    by the length of the path.
     """
-    rel = F.col("rel_path")
-    parts = F.split(rel, "/")
+    parts = F.split(rel_path, "/")
     folders = F.transform(
         F.sequence(F.lit(1), F.size(parts)),
         lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"),
     )
-    endings = F.transform(
-        F.sequence(F.lit(1), F.length(rel) + 1),
-        lambda n: F.concat(F.lit("*"), F.substring(rel, n, F.length(rel))),
+    below = F.transform(
+        F.slice(folders, F.lit(1), F.size(folders) - 1), lambda d: F.concat(d, F.lit("/*"))
     )
-    spelled = F.array_union(
-        F.concat(
-            F.array(rel, F.col("file_name")),
-            folders,
-            F.transform(
-                F.slice(folders, F.lit(1), F.size(folders) - 1),
-                lambda d: F.concat(d, F.lit("/*")),
-            ),
-        ),
-        endings,
+    endings = F.transform(
+        F.sequence(F.lit(1), F.length(rel_path) + 1),
+        lambda n: F.concat(F.lit("*"), F.substring(rel_path, n, F.length(rel_path))),
     )
-    configs = config_files(files).select("repo_id", "root", "file_id", "path", "rel_path", "file_name")
-    covered = (
-        configs.withColumn("pattern", F.explode(spelled))
-        .join(ignore_patterns(files), ["repo_id", "root", "pattern"], "left_semi")
-        .select("repo_id", "root", "rel_path")
-        .distinct()
+    return F.array_union(F.concat(F.array(rel_path, file_name), folders, below), endings)
+
+
+def config_not_ignored(files: DataFrame) -> DataFrame:
+    """Configuration files no ignore pattern covers, as an equi join on (project, pattern)."""
+    candidates = config_files(files).select(
+        "repo_id", "root", "file_id", "path", "rel_path",
+        config_keys(F.col("rel_path"), F.col("file_name")).alias("keys"),
     )
-    return configs.join(covered, ["repo_id", "root", "rel_path"], "left_anti")
+    return uncovered(candidates, ignore_keys(ignore_patterns(files)))
 
 
 def config_findings(files: DataFrame) -> DataFrame:
-    exposed = as_findings(
+    """Secrets in configurations; whether the files are ignored is a project check."""
+    return as_findings(
         config_secrets(files),
         rule_id="config-secret",
         severity="CRITICAL",
@@ -136,16 +131,3 @@ def config_findings(files: DataFrame) -> DataFrame:
         rule_category="mcp_config",
         source_rank=SOURCE_RANK["config"],
     )
-    open_files = as_findings(
-        config_not_ignored(files),
-        rule_id="config-not-ignored",
-        severity="CRITICAL",
-        file_path=F.col("path"),
-        line=1,
-        message=F.lit("The agent configuration is not in the ignore file"),
-        fix_guidance=F.concat(F.lit("Add "), F.col("rel_path"), F.lit(" to the ignore file")),
-        cwe_id="CWE-538",
-        rule_category="mcp_config",
-        source_rank=SOURCE_RANK["config"],
-    )
-    return exposed.unionByName(open_files)

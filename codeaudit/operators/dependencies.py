@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeaudit.functions.text import stripped, version_lt
-from codeaudit.operators.code import with_lines
-from codeaudit.operators.envfiles import at_root
+from codeaudit.functions.plan import once
+from codeaudit.functions.text import split_lines, stripped, version_lt
+from codeaudit.operators.envfiles import at_root, uncovered
 from codeaudit.operators.findings import SOURCE_RANK, as_findings
 from codeaudit.sources.constants import (
     BAD_PACKAGES,
@@ -24,8 +24,9 @@ DEPENDENCY_LIST = (
     r"""(?:^|\n)dependencies\s*=\s*\[([^\]"']*(?:(?:"[^"]*"|'[^']*')[^\]"']*)*)\]"""
 )
 QUOTED = r""""[^"]*"|'[^']*'"""
+_CHECK_ADVICE = "Check that the package exists before it is installed"
 
-_DEPS = ("repo_id", "file_id", "path", "file_name", "ecosystem", "line", "name", "version")
+_ENTRIES = "array<struct<line:int,name:string,version:string>>"
 
 
 def bad_package_table(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -74,94 +75,86 @@ def manifests(files: DataFrame) -> DataFrame:
     return named.withColumn("ecosystem", eco)
 
 
-def parse_requirements(files: DataFrame) -> DataFrame:
+def _entry(line: Column, text: Column) -> Column:
+    return F.struct(
+        line.cast("int").alias("line"),
+        F.regexp_extract(text, REQUIREMENT, 1).alias("name"),
+        F.regexp_extract(text, REQUIREMENT, 3).alias("version"),
+    )
+
+
+def requirement_entries(content: Column) -> Column:
     """Name and version per requirement line; other manifests are read the same way."""
-    plain = manifests(files).where(~F.col("file_name").isin("package.json", "pyproject.toml"))
-    rows = with_lines(plain).select(
-        "repo_id", "file_id", "path", "file_name", "ecosystem",
-        F.posexplode("raw").alias("pos", "raw"),
+    lines = F.transform(
+        split_lines(content), lambda x, i: F.struct(stripped(x).alias("x"), (i + 1).alias("n"))
     )
-    text = stripped(F.col("raw"))
-    return (
-        rows.where(~text.startswith("#") & ~text.startswith("-") & text.rlike(REQUIREMENT))
-        .withColumns(
-            {
-                "line": F.col("pos") + 1,
-                "name": F.regexp_extract(text, REQUIREMENT, 1),
-                "version": F.regexp_extract(text, REQUIREMENT, 3),
-            }
-        )
-        .select(*_DEPS)
+    wanted = F.filter(
+        lines,
+        lambda l: ~l.x.startswith("#") & ~l.x.startswith("-") & l.x.rlike(REQUIREMENT),
     )
+    return F.transform(wanted, lambda l: _entry(l.n, l.x))
 
 
-def parse_package_json(files: DataFrame) -> DataFrame:
+def package_json_entries(content: Column) -> Column:
     """Both dependency sections of package.json; every entry is on line 1."""
-    parsed = (
-        manifests(files)
-        .where(F.col("file_name") == "package.json")
-        .withColumn(
-            "_j",
-            F.from_json(
-                "content",
-                "dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>",
-            ),
-        )
+    sections = F.from_json(
+        content, "dependencies MAP<STRING,STRING>, devDependencies MAP<STRING,STRING>"
     )
     none = F.array().cast("array<struct<key:string,value:string>>")
     entries = F.concat(
-        F.coalesce(F.map_entries("_j.dependencies"), none),
-        F.coalesce(F.map_entries("_j.devDependencies"), none),
+        F.coalesce(F.map_entries(sections.dependencies), none),
+        F.coalesce(F.map_entries(sections.devDependencies), none),
     )
-    return (
-        parsed.withColumn("_e", F.explode(entries))
-        .withColumns(
-            {
-                "line": F.lit(1),
-                "name": F.col("_e.key"),
-                "version": F.regexp_extract(
-                    F.coalesce(F.col("_e.value"), F.lit("")), NPM_VERSION, 1
-                ),
-            }
-        )
-        .select(*_DEPS)
+    return F.transform(
+        entries,
+        lambda e: F.struct(
+            F.lit(1).alias("line"),
+            e.key.alias("name"),
+            F.regexp_extract(F.coalesce(e.value, F.lit("")), NPM_VERSION, 1).alias("version"),
+        ),
     )
 
 
-def parse_pyproject(files: DataFrame) -> DataFrame:
+def pyproject_entries(content: Column) -> Column:
     """The project's dependency list; the line is the place in the list."""
-    section = F.regexp_extract("content", PROJECT_SECTION, 1)
-    listed = F.regexp_extract(section, DEPENDENCY_LIST, 1)
-    rows = (
-        manifests(files)
-        .where(F.col("file_name") == "pyproject.toml")
-        .select(
-            "repo_id", "file_id", "path", "file_name", "ecosystem",
-            F.posexplode(F.regexp_extract_all(listed, F.lit(QUOTED), F.lit(0))).alias("pos", "q"),
-        )
+    section = F.regexp_extract(content, PROJECT_SECTION, 1)
+    quoted = F.regexp_extract_all(
+        F.regexp_extract(section, DEPENDENCY_LIST, 1), F.lit(QUOTED), F.lit(0)
     )
-    text = stripped(F.expr("substring(q, 2, length(q) - 2)"))
-    return (
-        rows.where(text.rlike(REQUIREMENT))
-        .withColumns(
-            {
-                "line": F.col("pos") + 1,
-                "name": F.regexp_extract(text, REQUIREMENT, 1),
-                "version": F.regexp_extract(text, REQUIREMENT, 3),
-            }
-        )
-        .select(*_DEPS)
+    items = F.transform(
+        quoted,
+        lambda q, i: F.struct(
+            stripped(F.substring(q, F.lit(2), F.length(q) - 2)).alias("x"), (i + 1).alias("n")
+        ),
     )
+    return F.transform(F.filter(items, lambda l: l.x.rlike(REQUIREMENT)), lambda l: _entry(l.n, l.x))
 
 
 def dependencies(files: DataFrame) -> DataFrame:
-    """All dependencies of all manifests, with the name as it is compared."""
-    parsed = (
-        parse_requirements(files)
-        .unionByName(parse_package_json(files))
-        .unionByName(parse_pyproject(files))
+    """All dependencies of all manifests in one pass, with the name as it is compared."""
+    name, content = F.col("file_name"), F.col("content")
+    entries = (
+        F.when(name == "package.json", package_json_entries(content).cast(_ENTRIES))
+        .when(name == "pyproject.toml", pyproject_entries(content).cast(_ENTRIES))
+        .otherwise(requirement_entries(content).cast(_ENTRIES))
     )
-    return parsed.withColumn("package", F.lower(F.trim("name")))
+    rows = manifests(files).withColumn("_e", once(entries)).select(
+        "repo_id", "file_id", "path", "file_name", "ecosystem", F.inline("_e")
+    )
+    return rows.withColumn("package", F.lower(F.trim("name")))
+
+
+def parse_requirements(files: DataFrame) -> DataFrame:
+    other = ("package.json", "pyproject.toml")
+    return dependencies(files.where(~F.col("file_name").isin(*other)))
+
+
+def parse_package_json(files: DataFrame) -> DataFrame:
+    return dependencies(files.where(F.col("file_name") == "package.json"))
+
+
+def parse_pyproject(files: DataFrame) -> DataFrame:
+    return dependencies(files.where(F.col("file_name") == "pyproject.toml"))
 
 
 def bad_packages(deps: DataFrame, names: DataFrame) -> DataFrame:
@@ -203,88 +196,106 @@ def unknown_packages(deps: DataFrame, registry: DataFrame, names: DataFrame) ->
     return asked.join(missing, ["ecosystem", "package"], "left_semi")
 
 
-def missing_locks(files: DataFrame) -> DataFrame:
-    """Manifests in whose project root none of their lock files exists."""
-    lock_names = {lock for locks in LOCK_FILES.values() for lock in locks}
-    root_files = at_root(files).select("repo_id", "root", "file_id", "path", "file_name")
-    expected = F.lit(None).cast("array<string>")
+def lock_keys(file_name: Column) -> Column:
+    """The lock files that go with a manifest; null for any other file."""
+    keys = F.lit(None).cast("array<string>")
     for manifest, locks in LOCK_FILES.items():
-        expected = F.when(
-            F.col("file_name") == manifest, F.array(*[F.lit(x) for x in locks])
-        ).otherwise(expected)
-    wanted = root_files.where(F.col("file_name").isin(*LOCK_FILES)).withColumn("locks", expected)
-    present = (
-        root_files.where(F.col("file_name").isin(*lock_names))
-        .select("repo_id", "root", F.col("file_name").alias("lock"))
+        keys = F.when(file_name == manifest, F.array(*[F.lit(x) for x in locks])).otherwise(keys)
+    return keys
+
+
+def lock_facts(files: DataFrame) -> DataFrame:
+    """Lock files present in each project root."""
+    names = sorted({lock for locks in LOCK_FILES.values() for lock in locks})
+    return (
+        at_root(files)
+        .where(F.col("file_name").isin(*names))
+        .select("repo_id", "root", F.col("file_name").alias("key"))
         .distinct()
     )
-    locked = (
-        wanted.withColumn("lock", F.explode("locks"))
-        .join(present, ["repo_id", "root", "lock"], "left_semi")
-        .select("repo_id", "root", "file_name")
-        .distinct()
+
+
+def missing_locks(files: DataFrame) -> DataFrame:
+    """Manifests in whose project root none of their lock files exists."""
+    candidates = at_root(files).where(F.col("file_name").isin(*LOCK_FILES)).select(
+        "repo_id", "root", "file_id", "path", "file_name",
+        lock_keys(F.col("file_name")).alias("keys"),
     )
-    return wanted.drop("locks").join(locked, ["repo_id", "root", "file_name"], "left_anti")
+    return uncovered(candidates, lock_facts(files))
+
 
+def dependency_findings(files: DataFrame, registry: DataFrame | None = None) -> DataFrame:
+    """Invented, vulnerable and unpinned packages in one pass over the manifests.
 
-def dependency_findings(
-    files: DataFrame, registry: DataFrame | None = None
-) -> DataFrame:
+    Both lists are small fixed tables, looked up for every dependency at once;
+    each dependency then gives the findings that apply to it.  A registry
+    snapshot, whose size is not known, takes a join of its own.
+    """
     spark = files.sparkSession
     deps = dependencies(files)
     names = bad_package_table(spark)
-    common = {
-        "file_path": F.col("path"),
-        "rule_category": "sca",
-        "source_rank": SOURCE_RANK["dependencies"],
-    }
-
-    def invented(df, why):
-        return as_findings(
-            df,
-            rule_id="dep-unknown-package",
-            severity="CRITICAL",
-            message=F.format_string("Package '%s' " + why, F.col("package")),
-            fix_guidance="Check that the package exists before it is installed",
-            cwe_id="CWE-829",
-            **common,
+    bad = F.broadcast(
+        names.select("ecosystem", F.col("name").alias("package"), F.lit(True).alias("is_bad"))
+    )
+    vulns = F.broadcast(vulnerability_table(spark).withColumnRenamed("name", "package"))
+    looked_up = deps.join(bad, ["ecosystem", "package"], "left").join(
+        vulns, ["ecosystem", "package"], "left"
+    )
+    package, version = F.col("package"), F.col("version")
+
+    def found(condition, rule_id, severity, message, advice, cwe):
+        return F.when(
+            condition,
+            F.struct(
+                F.lit(rule_id).alias("rule_id"), severity.alias("severity"),
+                message.alias("message"), advice.alias("fix_guidance"), F.lit(cwe).alias("cwe_id"),
+            ),
         )
 
-    found = invented(bad_packages(deps, names), "is a known invented name")
-    if registry is not None:
-        found = found.unionByName(
-            invented(unknown_packages(deps, registry, names), "is not in the registry")
+    hits = F.array_compact(
+        F.array(
+            found(
+                F.col("is_bad"), "dep-unknown-package", F.lit("CRITICAL"),
+                F.format_string("Package '%s' is a known invented name", package),
+                F.lit(_CHECK_ADVICE), "CWE-829",
+            ),
+            found(
+                (version != "")
+                & (F.col("safe_from") != "")
+                & version_lt(version, F.col("safe_from")),
+                "dep-known-vulnerability", F.col("severity"),
+                F.format_string(
+                    "Package '%s' %s has known advisories: %s",
+                    package, version, F.array_join("known_cves", ", "),
+                ),
+                F.concat(F.lit("Upgrade to "), package, F.lit(">="), F.col("safe_from")),
+                "CWE-1395",
+            ),
+            found(
+                version == "", "dep-unpinned", F.lit("MEDIUM"),
+                F.format_string("Package '%s' has no version", package),
+                F.lit("Pin the package to a version"), "CWE-1357",
+            ),
         )
-    vulnerable = as_findings(
-        vulnerable_versions(deps, vulnerability_table(spark)),
-        rule_id="dep-known-vulnerability",
-        message=F.format_string(
-            "Package '%s' %s has known advisories: %s",
-            F.col("package"), F.col("version"), F.col("advisories"),
-        ),
-        fix_guidance=F.concat(
-            F.lit("Upgrade to "), F.col("package"), F.lit(">="), F.col("safe_from")
-        ),
-        cwe_id="CWE-1395",
-        **common,
     )
-    loose = as_findings(
-        unpinned(deps),
-        rule_id="dep-unpinned",
-        severity="MEDIUM",
-        message=F.format_string("Package '%s' has no version", F.col("package")),
-        fix_guidance="Pin the package to a version",
-        cwe_id="CWE-1357",
-        **common,
+    rows = looked_up.withColumn("hits", once(hits)).select(
+        "repo_id", "file_id", "path", "line", F.inline("hits")
     )
-    unlocked = as_findings(
-        missing_locks(files),
-        rule_id="dep-no-lock-file",
-        severity="MEDIUM",
-        line=1,
-        message=F.format_string("'%s' has no lock file", F.col("file_name")),
-        fix_guidance="Write a lock file",
-        cwe_id="CWE-1357",
+    common = {
+        "file_path": F.col("path"),
+        "rule_category": "sca",
+        "source_rank": SOURCE_RANK["dependencies"],
+    }
+    out = as_findings(rows, fix_guidance=F.col("fix_guidance"), **common)
+    if registry is None:
+        return out
+    missing = as_findings(
+        unknown_packages(deps, registry, names),
+        rule_id="dep-unknown-package",
+        severity="CRITICAL",
+        message=F.format_string("Package '%s' is not in the registry", package),
+        fix_guidance=_CHECK_ADVICE,
+        cwe_id="CWE-829",
         **common,
     )
-    return found.unionByName(vulnerable).unionByName(loose).unionByName(unlocked)
+    return out.unionByName(missing)

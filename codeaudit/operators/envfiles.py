@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import once
@@ -76,34 +76,47 @@ def env_secrets(files: DataFrame) -> DataFrame:
     )
 
 
-def env_not_ignored(files: DataFrame) -> DataFrame:
-    """Environment files no ignore pattern covers.
+def uncovered(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    """Candidates none of whose ``keys`` is a fact of their project.
 
-    A file is covered by its own name or by two fixed globs, so the theta
-    condition is three equalities and the anti join stays a hash join.
+    ``facts(repo_id, root, key)`` is distinct, and each candidate meets it once
+    per key by an equi join.  The verdict is an aggregate per file, combined
+    before the shuffle, so the candidates are read a single time.
     """
-    candidates = env_files(files).select(
-        "repo_id",
-        "root",
-        "file_id",
-        "path",
-        "file_name",
-        F.explode(F.array(F.col("file_name"), F.lit(".env*"), F.lit("*.env"))).alias("pattern"),
-    )
-    covered = (
-        candidates.join(ignore_patterns(files), ["repo_id", "root", "pattern"], "left_semi")
-        .select("repo_id", "root", "file_name")
-        .distinct()
-    )
+    names = [c for c in candidates.columns if c != "keys"]
+    present = facts.withColumn("_found", F.lit(1))
     return (
-        env_files(files)
-        .select("repo_id", "root", "file_id", "path", "file_name")
-        .join(covered, ["repo_id", "root", "file_name"], "left_anti")
+        candidates.withColumn("key", F.explode("keys"))
+        .drop("keys")
+        .join(present, ["repo_id", "root", "key"], "left")
+        .groupBy(*names)
+        .agg(F.count("_found").alias("_found"))
+        .where(F.col("_found") == 0)
+        .drop("_found")
+    )
+
+
+def ignore_keys(patterns: DataFrame) -> DataFrame:
+    return patterns.withColumnRenamed("pattern", "key")
+
+
+def env_keys(file_name: Column) -> Column:
+    """The patterns that cover an environment file: its name and two fixed globs."""
+    return F.array(file_name, F.lit(".env*"), F.lit("*.env"))
+
+
+def env_not_ignored(files: DataFrame) -> DataFrame:
+    """Environment files no ignore pattern covers."""
+    candidates = env_files(files).select(
+        "repo_id", "root", "file_id", "path", "file_name",
+        env_keys(F.col("file_name")).alias("keys"),
     )
+    return uncovered(candidates, ignore_keys(ignore_patterns(files)))
 
 
 def env_findings(files: DataFrame) -> DataFrame:
-    exposed = as_findings(
+    """Exposed values; whether the files are ignored is a check of the whole project."""
+    return as_findings(
         env_secrets(files),
         rule_id="env-exposed-secret",
         severity="CRITICAL",
@@ -114,16 +127,3 @@ def env_findings(files: DataFrame) -> DataFrame:
         rule_category="dotenv",
         source_rank=SOURCE_RANK["env"],
     )
-    open_files = as_findings(
-        env_not_ignored(files),
-        rule_id="env-not-ignored",
-        severity="CRITICAL",
-        file_path=F.col("path"),
-        line=1,
-        message=F.lit("The environment file is not in the ignore file"),
-        fix_guidance="Add the file to the ignore file",
-        cwe_id="CWE-538",
-        rule_category="dotenv",
-        source_rank=SOURCE_RANK["env"],
-    )
-    return open_files.unionByName(exposed)

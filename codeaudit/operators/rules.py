@@ -8,6 +8,7 @@ the rule table that is joined to them has a fixed size.
 
 from __future__ import annotations
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -297,11 +298,9 @@ def _piece_hits(rules, tier) -> Column:
     return F.when(wanted, F.flatten(F.transform(pieces, hits)).cast(_HITS)).otherwise(_no_hits())
 
 
-def with_rule_hits(model: DataFrame, tier: Column | None = None, rules=RULES) -> DataFrame:
-    """Add ``rule_hits`` to a code model; with ``tier``, a file meets its tier's rules only."""
-    languages = sorted({lang for r in rules for lang in r.languages})
+def _hits_by_language(tier: Column | None, rules) -> Column:
     by_language = None
-    for lang in languages:
+    for lang in sorted({lang for r in rules for lang in r.languages}):
         mine = [r for r in rules if lang in r.languages]
         hits = F.concat(
             _statement_hits([r for r in mine if r.scope in "LB"], tier),
@@ -312,9 +311,26 @@ def with_rule_hits(model: DataFrame, tier: Column | None = None, rules=RULES) ->
         by_language = (
             F.when(is_lang, hits) if by_language is None else by_language.when(is_lang, hits)
         )
+    return by_language.otherwise(_no_hits())
+
+
+# Expressions over the whole catalogue are long to build and refer to columns by
+# name only, so each is built once per JVM.
+_BUILT: dict[tuple, Column] = {}
+
+
+def _built_hits(tier: str | None, rules) -> Column:
+    key = (id(SparkContext._active_spark_context._jvm), tier, tuple(r.rule_id for r in rules))
+    if key not in _BUILT:
+        _BUILT[key] = _hits_by_language(F.col(tier) if tier else None, rules)
+    return _BUILT[key]
+
+
+def with_rule_hits(model: DataFrame, tier: str | None = None, rules=RULES) -> DataFrame:
+    """Add ``rule_hits`` to a code model; ``tier`` names the column that gates the rules."""
     return (
         model.withColumn("file_text", once(F.array_join("raw", "\n")))
-        .withColumn("rule_hits", once(by_language.otherwise(_no_hits())))
+        .withColumn("rule_hits", once(_built_hits(tier, rules)))
         .drop("file_text")
     )
 

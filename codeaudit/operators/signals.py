@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import once
+from codeaudit.functions.plan import once, settled
 from codeaudit.functions.text import BLANKS, identifiers, stripped
 from codeaudit.operators.code import (
     with_blocks,
@@ -381,22 +381,22 @@ def with_features(model: DataFrame) -> DataFrame:
     )
     parts = counted.withColumns(
         {
-            "c_headings": section_headings(),
-            "c_underline": parameter_underline(),
-            "c_restating": capped(F.col("f_restating"), 0.05, 0.15),
-            "c_todo": feature_todo(),
-            "c_long_doc": capped(F.col("f_long_doc"), 0.08, 0.15),
-            "c_density": comment_density(),
-            "s_regularity": function_regularity(F.col("f_variation")),
-            "s_stock": F.round(F.least(F.col("f_stock") / 5, F.lit(1.0)) * 0.25, 4),
-            "s_uniform": py(uniform_classes(class_method_counts())),
-            "s_documented": F.when(F.col("f_documented") >= 0.80, 0.20).otherwise(0.0),
-            "t_swallowed": py(swallowed_exception()),
-            "t_assign_return": capped(F.col("f_assign_return"), 0.15, 0.20),
-            "t_guards": capped(F.col("f_guards"), 0.15, 0.20),
-            "t_double_import": py(double_import()),
-            "t_gets": F.when(F.col("f_gets") > 0, 0.10).otherwise(0.0),
-            "t_annotated": capped(F.col("f_annotated"), 0.05, 0.10),
+            "c_headings": once(section_headings()),
+            "c_underline": once(parameter_underline()),
+            "c_restating": once(capped(F.col("f_restating"), 0.05, 0.15)),
+            "c_todo": once(feature_todo()),
+            "c_long_doc": once(capped(F.col("f_long_doc"), 0.08, 0.15)),
+            "c_density": once(comment_density()),
+            "s_regularity": once(function_regularity(F.col("f_variation"))),
+            "s_stock": once(F.round(F.least(F.col("f_stock") / 5, F.lit(1.0)) * 0.25, 4)),
+            "s_uniform": once(py(uniform_classes(class_method_counts()))),
+            "s_documented": once(F.when(F.col("f_documented") >= 0.80, 0.20).otherwise(0.0)),
+            "t_swallowed": once(py(swallowed_exception())),
+            "t_assign_return": once(capped(F.col("f_assign_return"), 0.15, 0.20)),
+            "t_guards": once(capped(F.col("f_guards"), 0.15, 0.20)),
+            "t_double_import": once(py(double_import())),
+            "t_gets": once(F.when(F.col("f_gets") > 0, 0.10).otherwise(0.0)),
+            "t_annotated": once(capped(F.col("f_annotated"), 0.05, 0.10)),
         }
     )
 
@@ -432,9 +432,13 @@ def scan_tier(value: Column, threshold: float = AI_THRESHOLD) -> Column:
 
 def detect(files: DataFrame, threshold: float = AI_THRESHOLD) -> DataFrame:
     """One row per file: the three signals, the confidence, the tier and the AI flag."""
-    return (
-        with_features(code_model(files))
-        .select("file_id", "repo_id", "path", "comments", "structure", "tokens", "confidence")
-        .withColumn("scan_tier", scan_tier(F.col("confidence"), threshold))
-        .withColumn("is_ai", F.col("confidence") >= AI_THRESHOLD)
+    scored = with_features(code_model(files)).withColumns(
+        {
+            "scan_tier": once(scan_tier(F.col("confidence"), threshold)),
+            "is_ai": F.col("confidence") >= AI_THRESHOLD,
+        }
+    )
+    return settled(
+        scored, "file_id", "repo_id", "path", "comments", "structure", "tokens", "confidence",
+        "scan_tier", "is_ai",
     )

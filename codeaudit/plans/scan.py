@@ -27,6 +27,7 @@ from codeaudit.operators.findings import (
     suppress,
     tier_rank,
 )
+from codeaudit.operators.project import project_findings
 from codeaudit.operators.rules import located, with_rule_hits
 from codeaudit.operators.signals import code_model, scan_tier, with_features
 from codeaudit.sources.catalogue import RULES, Rule
@@ -36,7 +37,9 @@ from codeaudit.sources.corpus import changed_only, is_skipped, is_source, source
 # A detector turns the file table into findings; scans take any number of them.
 Detector = Callable[[DataFrame], DataFrame]
 
-PROJECT_DETECTORS: tuple[Detector, ...] = (dependency_findings, env_findings, config_findings)
+PROJECT_DETECTORS: tuple[Detector, ...] = (
+    dependency_findings, env_findings, config_findings, project_findings,
+)
 
 # Detectors that report lines found inside a file, described like rules.
 _LINE_RULES = [
@@ -55,7 +58,7 @@ def tiered_model(files: DataFrame, threshold: float = AI_THRESHOLD) -> DataFrame
     scored = with_features(code_model(files)).withColumn(
         "scan_tier", once(scan_tier(F.col("confidence"), threshold))
     )
-    return with_rule_hits(scored, F.col("scan_tier"))
+    return with_rule_hits(scored, "scan_tier")
 
 
 def unreported_secrets(model: DataFrame) -> DataFrame:
