@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -35,3 +38,32 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def broadcast_if_small(keys: DataFrame, max_rows: int = 200_000) -> DataFrame:
+    """Broadcast a key table after counting it; a larger one is left to a shuffle join.
+
+    It saves the other side, often file contents, from being shuffled when the
+    keys are few, and never forces a broadcast that would not fit.
+    """
+    few = keys.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(keys) if few else keys
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder of the session.
+
+    Only a session without one (a test on one machine) falls back to a local folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="codeaudit-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """``df`` written as a table and read back: later plans start from the files."""
+    spark = df.sparkSession
+    path = folder or work_folder(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

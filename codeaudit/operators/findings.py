@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeaudit.functions.plan import broadcast_if_small
 from codeaudit.functions.text import stripped
 from codeaudit.operators.code import with_lines
 from codeaudit.sources.constants import MATCHER_SEVERITIES, SEVERITIES
@@ -48,7 +49,7 @@ def tier_rank(tier: Column) -> Column:
     return F.when(tier == "FULL", 0).when(tier == "MEDIUM", 1).otherwise(2)
 
 
-def as_findings(df: DataFrame, **columns) -> DataFrame:
+def as_findings(df: DataFrame, *extra: str, **columns) -> DataFrame:
     """Project detector output to the finding shape; plain values become literals.
 
     Missing columns get the defaults every detector shares: column 1, no
@@ -71,7 +72,7 @@ def as_findings(df: DataFrame, **columns) -> DataFrame:
     out = [
         (value(c).cast(typed[c]) if c in typed else value(c)).alias(c) for c in FINDING_COLUMNS
     ]
-    return df.select(*out).where((F.col("rule_id") != "") & (F.col("file_path") != ""))
+    return df.select(*out, *extra).where((F.col("rule_id") != "") & (F.col("file_path") != ""))
 
 
 def filter_severity(findings: DataFrame, minimum: str = "MEDIUM") -> DataFrame:
@@ -133,21 +134,24 @@ def ordered(findings: DataFrame) -> DataFrame:
     )
 
 
+def context_of(window: int = 5) -> Column:
+    """The lines of ``raw`` from ``window`` before to ``window`` after ``line``."""
+    first = F.greatest(F.col("line") - window, F.lit(1))
+    last = F.least(F.col("line") + window, F.size("raw"))
+    return F.array_join(F.slice("raw", first, F.greatest(last - first + 1, F.lit(0))), "\n")
+
+
 def with_context(findings: DataFrame, files: DataFrame, window: int = 5) -> DataFrame:
-    """Add the lines around each finding.
+    """Add the lines around findings that were stored without them.
 
-    Findings are few next to files: only files that have findings are split into
-    lines, and the window is a slice of the line array, so no line table is
-    shuffled.
+    Only files with findings are split into lines, and the window is a slice of
+    the line array, so no line table is shuffled.
     """
-    wanted = files.join(findings.select("file_id").distinct(), "file_id", "left_semi")
-    lines = with_lines(wanted).select("file_id", "raw")
-    first = F.greatest(F.col("line") - window, F.lit(1))
-    last = F.least(F.col("line") + window, F.size("raw"))
-    context = F.array_join(
-        F.slice("raw", first, F.greatest(last - first + 1, F.lit(0))), "\n"
+    keys = broadcast_if_small(findings.select("file_id").distinct())
+    lines = with_lines(files.join(keys, "file_id", "left_semi")).select("file_id", "raw")
+    return (
+        findings.join(lines, "file_id").withColumn("context", context_of(window)).drop("raw")
     )
-    return findings.join(lines, "file_id").withColumn("context", context).drop("raw")
 
 
 def with_explanations(findings: DataFrame, explanations: DataFrame) -> DataFrame:
@@ -181,7 +185,7 @@ def apply_line_fixes(files: DataFrame, replacements: DataFrame) -> DataFrame:
     )
     return (
         with_lines(files)
-        .join(per_file, "path")
+        .join(broadcast_if_small(per_file), "path")
         .withColumn("fixed_content", F.concat(F.array_join(fixed, "\n"), F.lit("\n")))
         .drop("raw", "_fixes")
     )
@@ -189,7 +193,9 @@ def apply_line_fixes(files: DataFrame, replacements: DataFrame) -> DataFrame:
 
 def fix_diff_rows(files: DataFrame, replacements: DataFrame) -> DataFrame:
     """Removed and added lines of each replacement; an unchanged line gives no row."""
-    lines = with_lines(files).select("path", "raw")
+    paths = replacements.select(F.col("file_path").alias("path")).distinct()
+    wanted = files.join(broadcast_if_small(paths), "path", "left_semi")
+    lines = with_lines(wanted).select("path", "raw")
     at = replacements.withColumnRenamed("file_path", "path").join(lines, "path").where(
         (F.col("line") >= 1) & (F.col("line") <= F.size("raw"))
     )

@@ -120,12 +120,14 @@ def scan_summary(
     removed: int = 0,
 ) -> DataFrame:
     """One row for the whole scan with its summary line."""
-    files = detector.agg(
-        F.count(F.lit(1)).alias("files_scanned"),
-        F.count_if(F.col("confidence") >= AI_THRESHOLD).alias("ai_files"),
+    scored = detector.select(
+        (F.col("confidence") >= AI_THRESHOLD).alias("ai"), F.lit(None).cast("string").alias("severity")
     )
-    counts = findings.agg(
-        F.count(F.lit(1)).alias("findings"),
+    found = findings.select(F.lit(None).cast("boolean").alias("ai"), "severity")
+    counts = scored.unionByName(found).agg(
+        F.count("ai").alias("files_scanned"),
+        F.count_if("ai").alias("ai_files"),
+        F.count("severity").alias("findings"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in SEVERITIES],
     )
     parts = F.array_compact(
@@ -152,7 +154,7 @@ def scan_summary(
         head, F.lit(" ("), F.col("ai_files").cast("string"), F.lit(" AI-generated), "),
         F.col("findings").cast("string"), F.lit(" findings"), listed, F.lit(tail),
     )
-    return files.crossJoin(F.broadcast(counts)).withColumn("summary", line)
+    return counts.withColumn("summary", line)
 
 
 def append_history(scored: DataFrame, path: str, timestamp: Column | None = None) -> None:

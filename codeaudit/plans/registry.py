@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import spread
+from codeaudit.functions.plan import spread, written
 from codeaudit.functions.text import entropy, version_key, version_lt
 from codeaudit.operators import agentconfig, dependencies, envfiles, injection, score, signals
 from codeaudit.operators import findings as fx
@@ -335,18 +335,20 @@ def tier_rules(spark, sf_dir):
 def tier_containment(spark, sf_dir):
     """Per tier in use, the packs it has and those the next wider tier lacks (none)."""
     packs = rule_tiers(spark).select("tier", "pack").distinct()
-    out = None
-    for wide, narrow in zip(TIER_NAMES, TIER_NAMES[1:]):
-        mine = packs.where(F.col("tier") == narrow).select("pack")
-        lost = mine.exceptAll(packs.where(F.col("tier") == wide).select("pack"))
-        row = (
-            mine.agg(F.count(F.lit(1)).alias("packs"))
-            .crossJoin(F.broadcast(lost.agg(F.count(F.lit(1)).alias("missing"))))
-            .withColumn("scan_tier", F.lit(narrow))
+    wider = packs.select(F.col("tier").alias("wide"), "pack", F.lit(1).alias("kept"))
+    narrow = packs.where(F.col("tier") != TIER_NAMES[0]).withColumn(
+        "wide", F.when(F.col("tier") == TIER_NAMES[1], TIER_NAMES[0]).otherwise(TIER_NAMES[1])
+    )
+    checked = (
+        narrow.join(F.broadcast(wider), ["wide", "pack"], "left")
+        .groupBy(F.col("tier").alias("scan_tier"))
+        .agg(
+            F.count(F.lit(1)).alias("packs"),
+            F.count_if(F.col("kept").isNull()).alias("missing"),
         )
-        out = row if out is None else out.unionByName(row)
+    )
     files = detector_of(spark, sf_dir).groupBy("scan_tier").agg(F.count(F.lit(1)).alias("files"))
-    return files.join(F.broadcast(out), "scan_tier").select(
+    return files.join(F.broadcast(checked), "scan_tier").select(
         "scan_tier", "files", "packs", "missing"
     )
 
@@ -591,9 +593,8 @@ def diff_scan(spark, sf_dir):
 
 @query
 def finding_context(spark, sf_dir):
-    files = files_of(spark, sf_dir)
-    found = scan.rule_findings(source_files(files))
-    return fx.with_context(found, files).select("file_id", "rule_id", "line", "context")
+    found = scan.rule_findings_with_context(source_of(spark, sf_dir))
+    return found.select("file_id", "rule_id", "line", "context")
 
 
 def verdicts_of(spark, sf_dir, found) -> DataFrame:
@@ -606,14 +607,14 @@ def verdicts_of(spark, sf_dir, found) -> DataFrame:
 
 @query
 def apply_verdicts(spark, sf_dir):
-    found = scan.rule_findings(source_of(spark, sf_dir))
+    found = written(scan.rule_findings(source_of(spark, sf_dir)), "findings")
     kept = fx.apply_verdicts(found, verdicts_of(spark, sf_dir, found))
     return kept.select("rule_id", "severity", "file_path", "line")
 
 
 @query
 def finding_explanations(spark, sf_dir):
-    found = scan.rule_findings(source_of(spark, sf_dir))
+    found = written(scan.rule_findings(source_of(spark, sf_dir)), "findings")
     texts = (
         found.join(
             labels_of(spark, sf_dir).where(F.col("quality") == 1), "file_id", "left_semi"
@@ -629,7 +630,7 @@ def finding_explanations(spark, sf_dir):
 
 def replacements_of(spark, sf_dir) -> DataFrame:
     hits = ungated_hits(spark, sf_dir).select(F.col("path").alias("file_path"), "line").distinct()
-    return hits.withColumn("new_text", F.lit("fixed(1)\nfixed(2)"))
+    return written(hits.withColumn("new_text", F.lit("fixed(1)\nfixed(2)")), "replacements")
 
 
 @query
@@ -650,8 +651,8 @@ def fix_diff_rows(spark, sf_dir):
 
 
 def scored_of(spark, sf_dir) -> DataFrame:
-    inputs = score.score_inputs(detector_of(spark, sf_dir), findings_of(spark, sf_dir))
-    return score.security_score(inputs)
+    detector, found = scan.scan_tables(files_of(spark, sf_dir))
+    return score.security_score(score.score_inputs(detector, found))
 
 
 @query
@@ -666,7 +667,7 @@ def highest_severity(spark, sf_dir):
 
 @query
 def scan_summary(spark, sf_dir):
-    return score.scan_summary(detector_of(spark, sf_dir), findings_of(spark, sf_dir))
+    return score.scan_summary(*scan.scan_tables(files_of(spark, sf_dir)))
 
 
 @query
@@ -732,7 +733,8 @@ def sarif_rules(spark, sf_dir):
 
 @query
 def sarif_results(spark, sf_dir):
-    return report.sarif_results(findings_of(spark, sf_dir)).select(
+    found = written(findings_of(spark, sf_dir), "findings")
+    return report.sarif_results(found).select(
         "rule_id", "rule_index", "level", "uri", "start_line", "start_column", "file_confidence"
     )
 

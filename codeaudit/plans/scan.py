@@ -14,8 +14,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import once
+from codeaudit.functions.plan import broadcast_if_small, once, written
 from codeaudit.operators import injection, secrets
+from codeaudit.operators import findings as fx
 from codeaudit.operators.agentconfig import config_findings
 from codeaudit.operators.dependencies import dependency_findings
 from codeaudit.operators.envfiles import env_findings
@@ -30,7 +31,7 @@ from codeaudit.operators.findings import (
 from codeaudit.operators.project import project_findings
 from codeaudit.operators.rules import located, with_rule_hits
 from codeaudit.operators.signals import code_model, scan_tier, with_features
-from codeaudit.sources.catalogue import RULES, Rule
+from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, Rule
 from codeaudit.sources.constants import AI_THRESHOLD, SOURCE_EXTENSIONS
 from codeaudit.sources.corpus import changed_only, is_skipped, is_source, source_files
 
@@ -84,8 +85,28 @@ def rule_findings(files: DataFrame, threshold: float = AI_THRESHOLD) -> DataFram
     hits = tiered_model(files, threshold).select(
         "repo_id", "file_id", "path", "confidence", "scan_tier", "rule_hits"
     )
+    return _placed_findings(located(hits, files.sparkSession))
+
+
+def rule_findings_with_context(
+    files: DataFrame, window: int = 5, threshold: float = AI_THRESHOLD
+) -> DataFrame:
+    """Rule findings with the lines around them, taken while the file is at hand.
+
+    Looking the lines up afterwards would join findings back to file contents;
+    here each finding takes its slice of the line array in the same pass.
+    """
+    hits = tiered_model(files, threshold).select(
+        "repo_id", "file_id", "path", "confidence", "scan_tier", "raw", "rule_hits"
+    )
+    placed = located(hits, files.sparkSession).withColumn("context", fx.context_of(window))
+    return _placed_findings(placed, "context")
+
+
+def _placed_findings(placed: DataFrame, *extra: str) -> DataFrame:
     return as_findings(
-        located(hits, files.sparkSession),
+        placed,
+        *extra,
         file_path=F.col("path"),
         cwe_id=F.col("cwe"),
         rule_category=F.col("category"),
@@ -110,7 +131,7 @@ def secret_findings(files: DataFrame, threshold: float = AI_THRESHOLD) -> DataFr
         file_path=F.col("path"),
         line=F.col("hit.n"),
         message="A credential is written in the file",
-        fix_guidance="Read credentials from the environment or a vault and rotate this one",
+        fix_guidance=FIX_GUIDANCE["secrets"],
         cwe_id="CWE-798",
         rule_category="secrets",
         file_confidence=F.col("confidence"),
@@ -125,22 +146,40 @@ def injection_findings(files: DataFrame) -> DataFrame:
         severity="CRITICAL",
         file_path=F.col("path"),
         message="A text tries to steer a reviewing model",
-        fix_guidance="Remove the text and report the package it came with",
+        fix_guidance=FIX_GUIDANCE["prompt_injection"],
         cwe_id="CWE-116",
         rule_category="prompt_injection",
         source_rank=SOURCE_RANK["injection"],
     )
 
 
-def content_findings(
-    scanned: DataFrame, files: DataFrame, threshold: float = AI_THRESHOLD
+def marked_files(
+    files: DataFrame,
+    changed_paths: DataFrame | None = None,
+    extensions=SOURCE_EXTENSIONS,
+    exclude_paths=(),
 ) -> DataFrame:
-    """Rules, credentials and injection texts in one pass over the file contents.
+    """The whole tree with ``is_scanned``, set where a file is scored and meets rules."""
+    keep = is_source(F.col("file_name"), F.col("ext"), extensions) & ~is_skipped(F.col("rel_path"))
+    for prefix in exclude_paths:
+        keep = keep & ~F.col("rel_path").startswith(prefix)
+    if changed_paths is None:
+        return files.withColumn("is_scanned", keep)
+    keys = changed_paths.select("repo_id", "path").distinct().withColumn("_changed", F.lit(True))
+    return (
+        files.join(broadcast_if_small(keys), ["repo_id", "path"], "left")
+        .withColumn("is_scanned", keep & F.coalesce(F.col("_changed"), F.lit(False)))
+        .drop("_changed")
+    )
+
+
+def file_results(marked: DataFrame, threshold: float = AI_THRESHOLD) -> DataFrame:
+    """One row per scanned or injection-checked file: its scores and the hits in its text.
 
-    ``files`` is the whole tree; the rows of ``scanned`` are those with the
-    column ``is_scanned`` set, so nothing is read twice.
+    This is the only pass over file contents.  Its rows are small, so a run that
+    needs both the detector's and the rules' results writes them once.
     """
-    wanted = scanned.where(
+    wanted = marked.where(
         F.col("is_scanned") | F.col("ext").isin(*injection.INJECTION_EXTENSIONS)
     )
     gated = wanted.withColumn(
@@ -172,11 +211,16 @@ def content_findings(
         found_secrets,
         ranked(injection.injection_lines(), SOURCE_RANK["injection"], injection.RULE_ID),
     )
-    rows = (
-        model.withColumn("rule_hits", once(hits))
-        .select("repo_id", "file_id", "path", "confidence", "rule_hits")
+    return model.withColumn("rule_hits", once(hits)).select(
+        "repo_id", "file_id", "path", "is_scanned", "comments", "structure", "tokens",
+        "confidence", "scan_tier", "rule_hits",
     )
-    placed = located(rows, files.sparkSession, RULES + _LINE_RULES, keep_rank=True)
+
+
+def content_findings(results: DataFrame) -> DataFrame:
+    """The findings held in ``file_results``, looked up in the catalogue and placed."""
+    rows = results.select("repo_id", "file_id", "path", "confidence", "rule_hits")
+    placed = located(rows, results.sparkSession, RULES + _LINE_RULES, keep_rank=True)
     by_rule = F.col("rank") < SOURCE_RANK["secrets"]
     return as_findings(
         placed,
@@ -193,34 +237,61 @@ def content_findings(
     )
 
 
+def detector_rows(results: DataFrame) -> DataFrame:
+    """The detector's rows held in ``file_results``."""
+    return results.where("is_scanned").select(
+        "file_id", "repo_id", "path", "comments", "structure", "tokens", "confidence", "scan_tier",
+        (F.col("confidence") >= AI_THRESHOLD).alias("is_ai"),
+    )
+
+
+def _with_project_checks(found: DataFrame, files: DataFrame, detectors) -> DataFrame:
+    for detector in detectors:
+        found = found.unionByName(detector(files))
+    return found
+
+
 def all_findings(
     files: DataFrame,
     threshold: float = AI_THRESHOLD,
     changed_paths: DataFrame | None = None,
-    extensions=SOURCE_EXTENSIONS,
-    exclude_paths=(),
     detectors: Iterable[Detector] = PROJECT_DETECTORS,
+    **options,
 ) -> DataFrame:
     """Findings of every detector, before filtering.
 
     With ``changed_paths`` only changed files are scored and meet rules; the
-    project checks still see the whole tree.
+    project checks and the injection search still see the whole tree.
     """
-    keep = is_source(F.col("file_name"), F.col("ext"), extensions) & ~is_skipped(F.col("rel_path"))
-    for prefix in exclude_paths:
-        keep = keep & ~F.col("rel_path").startswith(prefix)
-    marked = files
-    if changed_paths is not None:
-        keys = (
-            changed_paths.select("repo_id", "path").distinct().withColumn("_changed", F.lit(True))
-        )
-        marked = files.join(keys, ["repo_id", "path"], "left")
-        keep = keep & F.coalesce(F.col("_changed"), F.lit(False))
-    marked = marked.withColumn("is_scanned", keep).drop("_changed")
-    found = content_findings(marked, files, threshold)
-    for detector in detectors:
-        found = found.unionByName(detector(files))
-    return found
+    marked = marked_files(files, changed_paths, **options)
+    found = content_findings(file_results(marked, threshold))
+    return _with_project_checks(found, files, detectors)
+
+
+def _visible(found: DataFrame, minimum_severity: str, ignore_rules: DataFrame | None) -> DataFrame:
+    kept = filter_severity(found, minimum_severity)
+    if ignore_rules is not None:
+        kept = suppress(kept, ignore_rules)
+    return deduplicate(kept)
+
+
+def scan_tables(
+    files: DataFrame,
+    threshold: float = AI_THRESHOLD,
+    minimum_severity: str = "MEDIUM",
+    ignore_rules: DataFrame | None = None,
+    detectors: Iterable[Detector] = PROJECT_DETECTORS,
+    folder: str | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Detector rows and findings of one scan, with file contents read once.
+
+    The per-file results are written to ``folder`` (by default below the shared
+    checkpoint folder) and both tables are derived from there, so a lost
+    executor costs a read of a small table and not a second scan.
+    """
+    results = written(file_results(marked_files(files), threshold), "results", folder)
+    found = _with_project_checks(content_findings(results), files, detectors)
+    return detector_rows(results), _visible(found, minimum_severity, ignore_rules)
 
 
 def scan(
@@ -231,10 +302,7 @@ def scan(
     **options,
 ) -> DataFrame:
     """The findings a user sees: filtered by severity, suppressed rules and duplicates removed."""
-    found = filter_severity(all_findings(files, threshold, **options), minimum_severity)
-    if ignore_rules is not None:
-        found = suppress(found, ignore_rules)
-    return deduplicate(found)
+    return _visible(all_findings(files, threshold, **options), minimum_severity, ignore_rules)
 
 
 def diff_scan(files: DataFrame, changed_paths: DataFrame, **options) -> DataFrame:

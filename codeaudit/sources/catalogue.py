@@ -52,7 +52,7 @@ PACK_LANGUAGES = {
 _ROWS = [
     ("dockerfile-curl-pipe-bash", "dockerfile/curl-pipe-bash", "CRITICAL", "supply_chain", "CWE-494", "F", "F",
      r"(?im)^RUN\s+.*(curl|wget)[^|]*\|\s*(bash|sh)",
-     "", "RUN",
+     "", "",
      "An image build step pipes a download into a shell"),
     ("dockerfile-missing-user", "dockerfile/missing-user", "HIGH", "container_security", "CWE-250", "FM", "F",
      r"(?s).",
@@ -427,4 +427,5 @@ FIX_GUIDANCE = {
     "input_validation": "Validate input with a schema on the server",
     "type_assertion_bypass": "Narrow the type with a check",
     "transport": "Serve over TLS",
+    "prompt_injection": "Remove the text and report the package it came with",
 }

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeaudit.functions.plan import broadcast_if_small
 from codeaudit.functions.text import extension_of
 from codeaudit.sources.constants import (
     LANGUAGE_BY_EXTENSION,
@@ -57,11 +58,11 @@ def source_files(files: DataFrame, extensions=SOURCE_EXTENSIONS, exclude_paths=(
 def changed_only(files: DataFrame, changed_paths: DataFrame) -> DataFrame:
     """Keep the files named by ``changed_paths(repo_id, path)``.
 
-    The list of changes can be long, so Spark picks the join from its size; a
-    hot repository spreads because the path is part of the key.
+    A short list is broadcast, so contents stay where they are read; a long one
+    takes a shuffle join whose key holds the path, so a hot repository spreads.
     """
     keys = changed_paths.select("repo_id", "path").distinct()
-    return files.join(keys, ["repo_id", "path"], "left_semi")
+    return files.join(broadcast_if_small(keys), ["repo_id", "path"], "left_semi")
 
 
 def scan_tree(spark: SparkSession, root: str, repo_id: str = "local") -> DataFrame:

@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeaudit.functions.plan import work_folder
 from codeaudit.operators.code import with_lines
-from codeaudit.operators.injection import literals_of, is_injection
+from codeaudit.operators.injection import is_injection, literals_of
 from codeaudit.operators.rules import located, with_rule_hits
 from codeaudit.operators.signals import code_model
 from codeaudit.sources.constants import INJECTION_EXTENSIONS
 from codeaudit.sources.corpus import corpus_from_documents, source_files
 
 
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the session.
-
-    Only a session without one (a test on one machine) falls back to a local folder.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="codeaudit-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document table as a stream of files; the schema comes from the table itself."""
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema

@@ -1029,7 +1029,8 @@ def _injection_findings() -> str:
         f"(SELECT DISTINCT repo_id, file_id, path, line FROM literals WHERE {has('literal', INJECTION)})",
         7, rule_id="'prompt-injection-text'", severity="'CRITICAL'",
         message="'A text tries to steer a reviewing model'",
-        fix_guidance="''", cwe_id="'CWE-116'", rule_category="'prompt_injection'",
+        fix_guidance=lit(FIX_GUIDANCE["prompt_injection"]), cwe_id="'CWE-116'",
+        rule_category="'prompt_injection'",
     )
 
 

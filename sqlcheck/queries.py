@@ -313,3 +313,10 @@ add("stream_scan", "SELECT file_id, path, rule_id, line, col FROM placed", "plac
 add("stream_dedupe",
     "SELECT DISTINCT 'prompt-injection-text' AS rule_id, path AS file_path, line FROM literals "
     f"WHERE {has('literal', INJECTION)}", "literals")
+_NAMES = (
+    "rule_id", "severity", "file_path", "line", "col", "message", "fix_guidance", "cwe_id",
+    "ai_context", "file_confidence", "rule_category", "snippet")
+add("json_findings",
+    "SELECT repo_id, to_json({"
+    + ", ".join(f"{n}: round({n}, 4)" if n == "file_confidence" else f"{n}: {n}" for n in _NAMES)
+    + "})::VARCHAR AS value FROM findings", "findings")
