@@ -110,8 +110,3 @@ def any_of(conditions) -> Column:
 def extension_of(file_name: Column) -> Column:
     """Suffix with its dot, or an empty text: a leading dot opens no suffix."""
     return F.regexp_extract(file_name, r"^.+(\.[^.]+)$", 1)
-
-
-def dotted_extension(ext: Column) -> Column:
-    """``py`` and ``.py`` both become ``.py``."""
-    return F.when(ext.startswith("."), ext).otherwise(F.concat(F.lit("."), ext))

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import broadcast_if_small
-from codeaudit.functions.text import stripped
 from codeaudit.operators.code import with_lines
 from codeaudit.sources.constants import MATCHER_SEVERITIES, SEVERITIES
 
@@ -210,8 +209,3 @@ def fix_diff_rows(files: DataFrame, replacements: DataFrame) -> DataFrame:
         ),
     )
     return changed.select(F.col("path").alias("file_path"), "line", F.inline(rows))
-
-
-def snippet_of(text: Column) -> Column:
-    """First three lines of a match."""
-    return F.array_join(F.slice(F.split(stripped(text), "\n"), 1, 3), "\n")

@@ -17,6 +17,7 @@ from codeaudit.functions.text import any_of, newline_count, stripped, truncated
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, TIER_NAMES, Rule
 
 _HITS = "array<struct<rule_id:string,n:int,text:string>>"
+SNIPPET_LINES = 3
 CONSTANT_NAME = r"^(__name__|__version__|[A-Z0-9_]+)$"
 PLACED_VALUE = r"\{([^}]+)\}"
 CREDENTIAL_ROUTE = r"""(?i)@app\.\w+\(["'][^"']*(login|auth)"""
@@ -368,6 +369,6 @@ def located(
         "fix_guidance",
         (F.col("hit.n") + newline_count(F.col("_pre"))).cast("int").alias("line"),
         (F.length(F.element_at(F.split("_pre", "\n", -1), -1)) + 1).cast("int").alias("col"),
-        F.array_join(F.slice(F.split(matched, "\n"), 1, 3), "\n").alias("snippet"),
+        F.array_join(F.slice(F.split(matched, "\n"), 1, SNIPPET_LINES), "\n").alias("snippet"),
     )
 
