@@ -31,13 +31,14 @@ def settled(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when the input arrives in fewer pieces than there are cores.
+    """Use all cores on an input so small that its rows may sit in a single split.
 
-    Small inputs come as one file with one row group; a large table already has
-    more splits than cores and is left as it is.
+    Spark cuts a small input into about one split per core, but a file with one
+    row group leaves all of them empty but one.  An input of more than a full
+    split per core is left as it is and never shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= cores else df
 
 
 def broadcast_if_small(keys: DataFrame, max_rows: int = 200_000) -> DataFrame:
