@@ -4,11 +4,31 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+T = TypeVar("T")
+
+_BUILT: dict[tuple, object] = {}
+
+
+def built(key: tuple, make: Callable[[], T]) -> T:
+    """Columns that refer to others by name only, built once per JVM and then reused.
+
+    Each function call on a Column is a message to the JVM, and the expressions
+    of the code model and the rules take thousands of them.
+    """
+    full = (id(SparkContext._active_spark_context._jvm), *key)
+    if full not in _BUILT:
+        _BUILT[full] = make()
+    return _BUILT[full]
+
+
 def once(value: Column) -> Column:
     """``value``, computed in exactly the projection that names it.
 
@@ -54,10 +74,12 @@ def broadcast_if_small(keys: DataFrame, max_rows: int = 200_000) -> DataFrame:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder of the session.
 
-    Only a session without one (a test on one machine) falls back to a local folder.
+    Only a session on one machine, such as a test, may go without and gets a local folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="codeaudit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

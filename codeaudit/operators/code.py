@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import once
+from codeaudit.functions.plan import built, once
 from codeaudit.functions.text import BLANKS, indent_of, split_lines, stripped
 
 STRUCTURED_LANGUAGES = ("python", "javascript", "typescript")
@@ -24,8 +24,10 @@ STRUCTURED_LANGUAGES = ("python", "javascript", "typescript")
 # Marks put where a triple-quoted text opens and closes; counted as brackets.
 TEXT_OPEN, TEXT_CLOSE = "\x02", "\x03"
 
-_STRING = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
-_TEMPLATE = r"`[^`\\]*(?:\\.[^`\\]*)*`"
+# Loops over escapes are possessive: they never need to give back, and a literal
+# with many thousand escapes must not exhaust the stack of the regex engine.
+_STRING = r""""[^"\\]*(?:\\.[^"\\]*)*+"|'[^'\\]*(?:\\.[^'\\]*)*+'"""
+_TEMPLATE = r"`[^`\\]*(?:\\.[^`\\]*)*+`"
 PY_COMMENT = f"(?s)({_STRING})|#.*"
 PY_STRING = f"(?s){_STRING}"
 JS_COMMENT = f"(?s)({_STRING}|{_TEMPLATE})|//.*"
@@ -38,8 +40,7 @@ IMPORT_ALIAS = r"^\s*(?:from\s+[\w.]+\s+)?import\s+([\w.]+)\s+as\s+(\w+)"
 
 _SPANS = "array<struct<s:int,e:int>>"
 _CODE = (
-    "array<struct<n:int,raw:string,m:string,b:string,indent:int,delta:int,"
-    "seg:boolean,sig:boolean,stmt_end:int>>"
+    "array<struct<n:int,m:string,b:string,indent:int,seg:boolean,sig:boolean,stmt_end:int>>"
 )
 _STATEMENTS = "array<struct<n:int,e:int,indent:int,text:string>>"
 _BLOCK = "struct<line:int,indent:int,kind:string,name:string,parent_line:int,parent_kind:string>"
@@ -99,20 +100,24 @@ def _bracket_delta(blanked: Column, is_py: Column) -> Column:
     )
 
 
-def with_code(files: DataFrame) -> DataFrame:
-    """Add ``raw`` and ``code``, one element per line of a Python, JS or TS file.
+def _structure_lines() -> Column:
+    """Lines with triple-quoted text masked; empty for files without a code model."""
+    content, masked = F.col("content"), F.slice(
+        _masked_lines(F.col("content")), F.lit(1), F.size("raw")
+    )
+    quoted = (F.col("language") == "python") & content.rlike("\"\"\"|'''")
+    return (
+        F.when(quoted, masked)
+        .when(F.col("language").isin(*STRUCTURED_LANGUAGES), F.col("raw"))
+        .otherwise(F.array().cast("array<string>"))
+    )
 
-    ``m`` is the line with triple-quoted text masked, ``b`` the same without
-    comments and with string literals emptied, ``sig`` tells code lines from
-    blank and comment lines, and ``stmt_end`` is the last line of the logical
-    statement that starts here (0 inside a statement).  A statement goes on
-    while brackets are open; a Python header or the line after a JS block
-    opener always starts a new one.
-    """
+
+def _blanked_lines() -> Column:
+    """Number each line and drop its comments and the text of its string literals."""
     is_py = F.col("language") == "python"
-    structured = F.col("language").isin(*STRUCTURED_LANGUAGES)
 
-    def blank_literals(m):
+    def blank(m):
         start = F.ltrim(m, F.lit(BLANKS))
         py = F.regexp_replace(F.regexp_replace(m, PY_COMMENT, "$1"), PY_STRING, '""')
         js = F.regexp_replace(F.regexp_replace(m, JS_COMMENT, "$1"), JS_STRING, '""')
@@ -124,112 +129,116 @@ def with_code(files: DataFrame) -> DataFrame:
             .otherwise(js)
         )
 
-    df = with_lines(files).withColumn(
+    return F.transform(
         "_m",
-        once(F.when(
-            is_py & F.col("content").rlike("\"\"\"|'''"),
-            F.slice(_masked_lines(F.col("content")), F.lit(1), F.size("raw")),
-        )
-        .when(structured, F.col("raw"))
-        .otherwise(F.array().cast("array<string>"))),
-    )
-    df = df.withColumn(
-        "_l",
-        once(F.transform(
-            "_m",
-            lambda m, i: F.struct(
-                (i + 1).alias("n"),
-                F.get(F.col("raw"), i).alias("raw"),
-                m.alias("m"),
-                blank_literals(m).alias("b"),
-            ),
-        )),
+        lambda m, i: F.struct((i + 1).alias("n"), m.alias("m"), blank(m).alias("b")),
     )
-    df = df.withColumn(
+
+
+def _measured_lines() -> Column:
+    """Add the indent, the bracket balance, and whether a line must start a statement."""
+    is_py = F.col("language") == "python"
+
+    def starts(l, i):
+        header = (l.m.contains("def") | l.m.contains("class")) & l.m.rlike(PY_HEADER)
+        after_opener = F.get(F.col("_l"), i - 1).b.rlike(JS_BLOCK_OPENER)
+        return F.coalesce(F.when(is_py, header).otherwise(after_opener), F.lit(False))
+
+    return F.transform(
         "_l",
-        once(F.transform(
-            "_l",
-            lambda l, i: F.struct(
-                l.n.alias("n"),
-                l.raw.alias("raw"),
-                l.m.alias("m"),
-                l.b.alias("b"),
-                indent_of(l.m).alias("indent"),
-                _bracket_delta(l.b, is_py).alias("delta"),
-                F.coalesce(
-                    F.when(
-                        is_py, (l.m.contains("def") | l.m.contains("class")) & l.m.rlike(PY_HEADER)
-                    ).otherwise(
-                        F.get(F.col("_l"), i - 1).b.rlike(JS_BLOCK_OPENER)
-                    ),
-                    F.lit(False),
-                ).alias("seg"),
-                (stripped(l.b) != "").alias("sig"),
-            ),
-        )),
+        lambda l, i: F.struct(
+            l.n.alias("n"),
+            l.m.alias("m"),
+            l.b.alias("b"),
+            indent_of(l.m).alias("indent"),
+            _bracket_delta(l.b, is_py).alias("delta"),
+            starts(l, i).alias("seg"),
+            (stripped(l.b) != "").alias("sig"),
+        ),
     )
 
+
+def _span(s: Column, e: Column) -> Column:
+    return F.array(F.struct(s.alias("s"), e.alias("e")))
+
+
+def _bracket_fold() -> Column:
+    """Fold the lines that change the depth into the spans with open brackets."""
     events = F.filter("_l", lambda l: (l.delta != 0) | l.seg)
     start = F.struct(
         F.lit(0).alias("depth"), F.lit(0).alias("s"), F.array().cast(_SPANS).alias("spans")
     )
 
-    def span(s, e):
-        return F.array(F.struct(s.alias("s"), e.alias("e")))
-
     def step(st, l):
         cut = l.seg & (st.depth > 0)
         before = F.when(l.seg, 0).otherwise(st.depth)
         after = F.greatest(F.lit(0), before + l.delta)
-        spans = F.when(cut, F.concat(st.spans, span(st.s, l.n - 1))).otherwise(st.spans)
+        spans = F.when(cut, F.concat(st.spans, _span(st.s, l.n - 1))).otherwise(st.spans)
         return F.struct(
             after.alias("depth"),
             F.when((before == 0) & (after > 0), l.n).otherwise(st.s).alias("s"),
-            F.when((before > 0) & (after == 0), F.concat(spans, span(st.s, l.n)))
+            F.when((before > 0) & (after == 0), F.concat(spans, _span(st.s, l.n)))
             .otherwise(spans)
             .alias("spans"),
         )
 
-    df = df.withColumn("_f", once(F.aggregate(events, start, step)))
-    open_end = F.when(
-        F.col("_f.depth") > 0, F.concat("_f.spans", span(F.col("_f.s"), F.size("_l")))
-    ).otherwise(F.col("_f.spans"))
-    df = df.withColumn(
-        "_spans",
-        once(
-            F.concat(
-                F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))),
-                F.filter(open_end, lambda p: p.e > p.s),
-            )
-        ),
-    )
+    return F.aggregate(events, start, step)
+
+
+def _long_spans() -> Column:
+    """Spans of more than one line in order, after an empty one at line 0."""
+    last = _span(F.col("_f.s"), F.size("_l"))
+    spans = F.when(F.col("_f.depth") > 0, F.concat("_f.spans", last)).otherwise(F.col("_f.spans"))
+    return F.concat(_span(F.lit(0), F.lit(0)), F.filter(spans, lambda p: p.e > p.s))
 
-    def extended(l, stmt_end):
-        names = ("n", "raw", "m", "b", "indent", "delta", "seg", "sig")
-        return F.struct(*[l[c].alias(c) for c in names], stmt_end.cast("int").alias("stmt_end"))
 
+def _code_lines() -> Column:
+    """The lines with the last line of the statement each one starts."""
     lines, spans = F.col("_l"), F.col("_spans")
-    pieces = F.transform(
-        spans,
-        lambda p, k: F.concat(
-            F.when(
-                p.e > 0,
-                F.transform(
-                    F.slice(lines, F.greatest(p.s, F.lit(1)), p.e - p.s + 1),
-                    lambda l, j: extended(l, F.when(j == 0, p.e).otherwise(0)),
-                ),
-            ).otherwise(F.array().cast(_CODE)),
-            F.transform(
-                F.slice(
-                    lines,
-                    p.e + 1,
-                    F.coalesce(F.get(spans, k + 1).s, F.size(lines) + 1) - p.e - 1,
-                ),
-                lambda l: extended(l, l.n),
-            ),
-        ),
+
+    def placed(l, stmt_end):
+        names = ("n", "m", "b", "indent", "seg", "sig")
+        return F.struct(*[l[c].alias(c) for c in names], stmt_end.cast("int").alias("stmt_end"))
+
+    def piece(p, k):
+        inside = F.transform(
+            F.slice(lines, F.greatest(p.s, F.lit(1)), p.e - p.s + 1),
+            lambda l, j: placed(l, F.when(j == 0, p.e).otherwise(0)),
+        )
+        next_start = F.coalesce(F.get(spans, k + 1).s, F.size(lines) + 1)
+        outside = F.transform(
+            F.slice(lines, p.e + 1, next_start - p.e - 1), lambda l: placed(l, l.n)
+        )
+        return F.concat(F.when(p.e > 0, inside).otherwise(F.array().cast(_CODE)), outside)
+
+    return F.flatten(F.transform(spans, piece))
+
+
+def with_code(files: DataFrame) -> DataFrame:
+    """Add ``raw`` and ``code``, one element per line of a Python, JS or TS file.
+
+    ``m`` is the line with triple-quoted text masked, ``b`` the same without
+    comments and with string literals emptied, ``sig`` tells code lines from
+    blank and comment lines, and ``stmt_end`` is the last line of the logical
+    statement that starts here (0 inside a statement).  A statement goes on
+    while brackets are open; a Python header or the line after a JS block
+    opener always starts a new one.
+    """
+    steps = built(
+        ("code",),
+        lambda: [
+            ("_m", once(_structure_lines())),
+            ("_l", once(_blanked_lines())),
+            ("_l", once(_measured_lines())),
+            ("_f", once(_bracket_fold())),
+            ("_spans", once(_long_spans())),
+            ("code", once(_code_lines())),
+        ],
     )
-    return df.withColumn("code", once(F.flatten(pieces))).drop("_m", "_l", "_f", "_spans")
+    df = with_lines(files)
+    for name, column in steps:
+        df = df.withColumn(name, column)
+    return df.drop("_m", "_l", "_f", "_spans")
 
 
 def statement_text(lines: Column, first: Column, last: Column) -> Column:
@@ -238,8 +247,7 @@ def statement_text(lines: Column, first: Column, last: Column) -> Column:
     )
 
 
-def with_statements(coded: DataFrame) -> DataFrame:
-    """Add ``statements``: logical statements of structured files, else non-blank lines."""
+def _statements() -> Column:
     starts = F.filter("code", lambda l: (l.stmt_end > 0) & l.sig)
     logical = F.transform(
         starts,
@@ -247,7 +255,7 @@ def with_statements(coded: DataFrame) -> DataFrame:
             l.n.alias("n"),
             l.stmt_end.alias("e"),
             l.indent.alias("indent"),
-            F.when(l.stmt_end == l.n, l.raw)
+            F.when(l.stmt_end == l.n, F.get(F.col("raw"), l.n - 1))
             .otherwise(statement_text(F.col("raw"), l.n, l.stmt_end))
             .alias("text"),
         ),
@@ -261,16 +269,18 @@ def with_statements(coded: DataFrame) -> DataFrame:
         ),
         lambda s: stripped(s.text) != "",
     )
-    return coded.withColumn(
-        "statements",
-        once(
-            F.when(F.col("language").isin(*STRUCTURED_LANGUAGES), logical)
-            .otherwise(physical)
-            .cast(_STATEMENTS)
-        ),
+    return (
+        F.when(F.col("language").isin(*STRUCTURED_LANGUAGES), logical)
+        .otherwise(physical)
+        .cast(_STATEMENTS)
     )
 
 
+def with_statements(coded: DataFrame) -> DataFrame:
+    """Add ``statements``: logical statements of structured files, else non-blank lines."""
+    return coded.withColumn("statements", built(("statements",), lambda: once(_statements())))
+
+
 def with_aliases(df: DataFrame) -> DataFrame:
     """Add ``aliases``, the (short, full) name pairs of ``import … as …`` lines."""
     hits = F.filter(
@@ -328,27 +338,15 @@ def with_resolved_statements(df: DataFrame) -> DataFrame:
     )
 
 
-def with_blocks(coded: DataFrame) -> DataFrame:
-    """Add ``blocks``: functions and classes of a Python file with their line spans.
+def _block_fold() -> Column:
+    """One pass over the code lines that keeps the open blocks on a stack.
 
-    One pass over the code lines keeps the open blocks on a stack: a line pops
-    every block indented at least as deep, a header is pushed.
+    A line pops every block indented at least as deep, a header is pushed.
     """
     lines = F.when(F.col("language") == "python", F.filter("code", lambda l: l.sig)).otherwise(
         F.array().cast(_CODE)
     )
 
-    def end_block(b, last):
-        return F.struct(
-            b.line.alias("line"),
-            b.indent.alias("indent"),
-            b.kind.alias("kind"),
-            b["name"].alias("name"),
-            b.parent_line.alias("parent_line"),
-            b.parent_kind.alias("parent_kind"),
-            last.alias("end"),
-        )
-
     def opened(l, stack):
         top = F.get(stack, F.size(stack) - 1)
         is_async = F.regexp_extract(l.m, DEF_LINE, 1) != ""
@@ -369,7 +367,7 @@ def with_blocks(coded: DataFrame) -> DataFrame:
             F.array().cast(f"array<{_BLOCK}>")
         )
         is_header = l.seg & l.m.rlike(DEF_LINE)
-        done = F.concat(st.done, F.transform(ended, lambda b: end_block(b, st.last)))
+        done = F.concat(st.done, F.transform(ended, lambda b: _ended(b, st.last)))
         return F.struct(
             F.when(is_header, F.concat(kept, F.array(opened(l, kept)))).otherwise(kept).alias("stack"),
             F.when(F.size(ended) > 0, done).otherwise(st.done).alias("done"),
@@ -381,16 +379,20 @@ def with_blocks(coded: DataFrame) -> DataFrame:
         F.array().cast(_BLOCKS).alias("done"),
         F.lit(0).alias("last"),
     )
-    return (
-        coded.withColumn("_f", once(F.aggregate(lines, start, step)))
-        .withColumn(
-            "blocks",
-            once(
-                F.concat(
-                    "_f.done",
-                    F.transform("_f.stack", lambda b: end_block(b, F.col("_f.last"))),
-                ).cast(_BLOCKS)
-            ),
-        )
-        .drop("_f")
-    )
+    return F.aggregate(lines, start, step)
+
+
+def _ended(b: Column, last: Column) -> Column:
+    names = ("line", "indent", "kind", "name", "parent_line", "parent_kind")
+    return F.struct(*[b[c].alias(c) for c in names], last.alias("end"))
+
+
+def _blocks() -> Column:
+    still_open = F.transform("_f.stack", lambda b: _ended(b, F.col("_f.last")))
+    return F.concat("_f.done", still_open).cast(_BLOCKS)
+
+
+def with_blocks(coded: DataFrame) -> DataFrame:
+    """Add ``blocks``: functions and classes of a Python file with their line spans."""
+    fold, blocks = built(("blocks",), lambda: (once(_block_fold()), once(_blocks())))
+    return coded.withColumn("_f", fold).withColumn("blocks", blocks).drop("_f")

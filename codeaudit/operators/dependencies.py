@@ -21,7 +21,7 @@ from codeaudit.sources.constants import (
 
 PROJECT_SECTION = r"(?s)(?:^|\n)\[project\][ \t]*\n(.*?)(?:\n\[|\z)"
 DEPENDENCY_LIST = (
-    r"""(?:^|\n)dependencies\s*=\s*\[([^\]"']*(?:(?:"[^"]*"|'[^']*')[^\]"']*)*)\]"""
+    r"""(?:^|\n)dependencies\s*=\s*\[([^\]"']*(?:(?:"[^"]*"|'[^']*')[^\]"']*)*+)\]"""
 )
 QUOTED = r""""[^"]*"|'[^']*'"""
 _CHECK_ADVICE = "Check that the package exists before it is installed"

@@ -10,7 +10,7 @@ from codeaudit.operators.code import with_lines
 from codeaudit.sources.constants import INJECTION_EXTENSIONS, INJECTION_PATTERNS
 
 RULE_ID = "prompt-injection-text"
-STRING_LITERAL = r""""[^"\\]*(?:\\.[^"\\]*)*"|'[^'\\]*(?:\\.[^'\\]*)*'"""
+STRING_LITERAL = r""""[^"\\]*(?:\\.[^"\\]*)*+"|'[^'\\]*(?:\\.[^'\\]*)*+'"""
 WHOLE_LINE_EXTENSIONS = (".json", ".yaml", ".yml")
 
 

@@ -8,11 +8,10 @@ the rule table that is joined to them has a fixed size.
 
 from __future__ import annotations
 
-from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import once
+from codeaudit.functions.plan import built, once
 from codeaudit.functions.text import any_of, newline_count, stripped, truncated
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, TIER_NAMES, Rule
 
@@ -315,23 +314,15 @@ def _hits_by_language(tier: Column | None, rules) -> Column:
     return by_language.otherwise(_no_hits())
 
 
-# Expressions over the whole catalogue are long to build and refer to columns by
-# name only, so each is built once per JVM.
-_BUILT: dict[tuple, Column] = {}
-
-
-def _built_hits(tier: str | None, rules) -> Column:
-    key = (id(SparkContext._active_spark_context._jvm), tier, tuple(r.rule_id for r in rules))
-    if key not in _BUILT:
-        _BUILT[key] = _hits_by_language(F.col(tier) if tier else None, rules)
-    return _BUILT[key]
-
-
 def with_rule_hits(model: DataFrame, tier: str | None = None, rules=RULES) -> DataFrame:
     """Add ``rule_hits`` to a code model; ``tier`` names the column that gates the rules."""
+    hits = built(
+        ("rule_hits", tier, tuple(rules)),
+        lambda: once(_hits_by_language(F.col(tier) if tier else None, rules)),
+    )
     return (
         model.withColumn("file_text", once(F.array_join("raw", "\n")))
-        .withColumn("rule_hits", once(_built_hits(tier, rules)))
+        .withColumn("rule_hits", hits)
         .drop("file_text")
     )
 

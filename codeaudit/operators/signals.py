@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import once, settled
+from codeaudit.functions.plan import built, once, settled
 from codeaudit.functions.text import BLANKS, identifiers, stripped
 from codeaudit.operators.code import (
     with_blocks,
@@ -104,7 +104,8 @@ def restating_comment_count() -> Column:
 
 
 def with_functions(df: DataFrame) -> DataFrame:
-    """Add ``functions``: the function blocks with their body lines and docstring lines."""
+    """Add ``functions``: the function blocks with their code lines and what they document."""
+    kept = ("line", "end", "kind", "name", "lines", "header_end")
 
     def body(b):
         lines = F.slice(F.col("code"), b.line, F.greatest(b.end - b.line + 1, F.lit(0)))
@@ -112,56 +113,67 @@ def with_functions(df: DataFrame) -> DataFrame:
         return F.struct(
             b.line.alias("line"),
             b.end.alias("end"),
-            b.indent.alias("indent"),
             b.kind.alias("kind"),
             b["name"].alias("name"),
-            lines.alias("lines"),
+            F.transform(
+                F.filter(lines, lambda l: l.sig),
+                lambda l: F.struct(
+                    l.n.alias("n"), l.b.alias("b"), l.indent.alias("indent"),
+                    l.stmt_end.alias("stmt_end"),
+                ),
+            ).alias("lines"),
             F.coalesce(F.get(header, 0).n, b.end).alias("header_end"),
         )
 
-    df = df.withColumn(
-        "_fn", once(F.transform(F.filter("blocks", lambda b: b.kind != "class"), body))
-    )
-
     def inner(f):
-        after = F.filter(f.lines, lambda l: (l.n > f.header_end) & l.sig)
+        after = F.filter(f.lines, lambda l: l.n > f.header_end)
+        first = F.get(after, 0)
         return F.struct(
-            *[f[c].alias(c) for c in ("line", "end", "indent", "kind", "name", "lines", "header_end")],
-            F.filter(
-                after, lambda l: (l.stmt_end > 0) & (l.indent == F.get(after, 0).indent)
+            *[f[c].alias(c) for c in kept],
+            F.transform(
+                F.filter(
+                    after,
+                    lambda l: (l.stmt_end > 0)
+                    & (l.indent == first.indent)
+                    & ~l.b.rlike(CONTINUATION),
+                ),
+                lambda l: F.struct(l.n.alias("n"), l.b.alias("b")),
             ).alias("direct"),
-            F.get(after, 0).alias("first"),
+            first.alias("first"),
         )
 
-    df = df.withColumn("_fn", once(F.transform("_fn", inner)))
-
     def documented(f):
-        has_doc = F.coalesce(f.first.m.rlike(DOC_OPENING), F.lit(False))
+        first = f.first
+        has_doc = F.coalesce(first.b.rlike(DOC_OPENING), F.lit(False))
         doc = F.when(
-            has_doc & f.first.m.contains("\x02"),
-            F.filter(f.lines, lambda l: (l.n >= f.first.n) & (l.n <= f.first.stmt_end)),
-        ).otherwise(F.slice(f.lines, 1, 0))
-        written = F.filter(
-            doc, lambda l: F.btrim(l.raw, F.lit(" \t\r\n\x0b\x0crRuU\"'")) != ""
-        )
+            has_doc & first.b.contains("\x02"),
+            F.slice(F.col("raw"), first.n, F.greatest(first.stmt_end - first.n + 1, F.lit(0))),
+        ).otherwise(F.array().cast("array<string>"))
+        written = F.filter(doc, lambda x: F.btrim(x, F.lit(BLANKS + "rRuU\"'")) != "")
+        header = F.filter(f.lines, lambda l: l.n <= f.header_end)
         return F.struct(
-            *[f[c].alias(c) for c in ("line", "end", "indent", "kind", "name", "lines", "header_end")],
-            F.filter(
-                f.direct, lambda l: ~l.m.rlike(CONTINUATION)
-            ).alias("direct"),
+            *[f[c].alias(c) for c in (*kept, "direct")],
             has_doc.alias("has_doc"),
             F.size(written).alias("doc_lines"),
-            (f.end - f.first.n + 1).alias("body_span"),
-            F.array_join(
-                F.transform(
-                    F.slice(f.lines, 1, F.greatest(f.header_end - f.line + 1, F.lit(0))),
-                    lambda l: l.b,
-                ),
-                "\n",
-            ).alias("header"),
+            (f.end - first.n + 1).alias("body_span"),
+            F.array_join(F.transform(header, lambda l: l.b), "\n").alias("header"),
         )
 
-    return df.withColumn("functions", once(F.transform("_fn", documented))).drop("_fn")
+    def steps():
+        functions = F.filter("blocks", lambda b: b.kind != "class")
+        return [
+            once(F.transform(functions, body)),
+            once(F.transform("_fn", inner)),
+            once(F.transform("_fn", documented)),
+        ]
+
+    bodies, inners, whole = built(("functions",), steps)
+    return (
+        df.withColumn("_fn", bodies)
+        .withColumn("_fn", inners)
+        .withColumn("functions", whole)
+        .drop("_fn")
+    )
 
 
 def long_docstring_count() -> Column:
@@ -245,7 +257,7 @@ def assign_return_count() -> Column:
         name = F.regexp_extract(assign.b, NAME_ASSIGN, 1)
         earlier = F.array_join(
             F.transform(
-                F.filter(f.lines, lambda l: (l.n > f.header_end) & (l.n < assign.n) & l.sig),
+                F.filter(f.lines, lambda l: (l.n > f.header_end) & (l.n < assign.n)),
                 lambda l: l.b,
             ),
             "\n",
@@ -329,7 +341,7 @@ def annotation_count() -> Column:
         params = parameters(f.header)
         body = F.filter(
             f.lines,
-            lambda l: (l.n > f.header_end) & (l.stmt_end > 0) & l.sig & ~l.b.rlike(COMPOUND_WORD),
+            lambda l: (l.n > f.header_end) & (l.stmt_end > 0) & ~l.b.rlike(COMPOUND_WORD),
         )
         annotated = F.size(F.filter(body, lambda l: l.b.rlike(ANNOTATED_ASSIGN)))
         plain = F.size(
@@ -366,8 +378,8 @@ def with_features(model: DataFrame) -> DataFrame:
     def py(feature, default=0.0):
         return F.when(python, feature).otherwise(default)
 
-    counted = model.withColumns(
-        {
+    def counts():
+        return {
             "f_restating": once(restating_comment_count()),
             "f_long_doc": once(py(long_docstring_count(), 0)),
             "f_variation": once(py(length_variation(function_lengths()), None)),
@@ -378,9 +390,9 @@ def with_features(model: DataFrame) -> DataFrame:
             "f_gets": once(py(exclusive_get_count(), 0)),
             "f_annotated": once(py(annotation_count(), 0)),
         }
-    )
-    parts = counted.withColumns(
-        {
+
+    def points():
+        return {
             "c_headings": once(section_headings()),
             "c_underline": once(parameter_underline()),
             "c_restating": once(capped(F.col("f_restating"), 0.05, 0.15)),
@@ -398,7 +410,9 @@ def with_features(model: DataFrame) -> DataFrame:
             "t_gets": once(F.when(F.col("f_gets") > 0, 0.10).otherwise(0.0)),
             "t_annotated": once(capped(F.col("f_annotated"), 0.05, 0.10)),
         }
-    )
+
+    counted = model.withColumns(built(("feature counts",), counts))
+    parts = counted.withColumns(built(("feature points",), points))
 
     def total(prefix):
         names = [c for c in parts.columns if c.startswith(prefix)]

@@ -124,7 +124,7 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     n = len(SNIPPETS)
     heads = F.broadcast(snippet_table(spark))
-    joined = documents.join(heads, (F.col("doc_id") % n).cast("int") == F.col("snippet_id"))
+    joined = documents.join(heads, F.pmod(F.col("doc_id"), F.lit(n)).cast("int") == F.col("snippet_id"))
     project = F.concat(
         F.col("source"), F.lit("/p"), F.floor(F.col("doc_id") / (20 * n)).cast("string")
     )
@@ -139,7 +139,7 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
         F.col("name").alias("file_name"),
         ext.alias("ext"),
         language_of(F.col("name"), ext).alias("language"),
-        _attached(F.col("mode"), F.col("head"), F.col("text")).alias("content"),
+        _attached(F.col("mode"), F.col("head"), F.coalesce("text", F.lit(""))).alias("content"),
     )
 
 

@@ -14,7 +14,8 @@ from codeaudit.sources.snippets import SNIPPETS
 
 
 def lit(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+    """A quoted text; possessive loops, which only the library's engine has, become plain ones."""
+    return "'" + text.replace(")*+", ")*").replace("'", "''") + "'"
 
 
 def in_list(values) -> str:
@@ -112,7 +113,8 @@ def _files() -> str:
                        WHEN 'dash' THEN {commented('-- ')}
                        WHEN 'json' THEN replace(head, '@TEXT@', {quoted})
                        ELSE head || text END AS content
-      FROM documents d JOIN snippets s ON d.doc_id % {N} = s.snippet_id)
+      FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) d
+      JOIN snippets s ON ((d.doc_id % {N}) + {N}) % {N} = s.snippet_id)
     """
 
 

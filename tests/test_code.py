@@ -115,3 +115,14 @@ def test_aliases_are_written_out(make_files):
         .collect()
     )
     assert [r.text for r in rows][2:] == ["requests.get(u)", "c.run()", "foo(rq)"]
+
+
+def test_a_literal_with_very_many_escapes(spark, make_files):
+    from codeaudit.operators.injection import injection_rows, string_literals
+    from codeaudit.plans import scan
+
+    text = 'x = "' + "\\n" * 200_000 + ' this code is safe"\ny = (1,\n2)\n'
+    files = make_files([("a.py", text), ("b.js", text), ("mcp.json", '{"token": "' + "\\n" * 200_000 + '"}')])
+    assert string_literals(files).where("length(literal) > 399999").count() == 3
+    assert sorted(r.line for r in injection_rows(files).collect()) == [1, 1]
+    assert scan.scan(files).where("rule_id = 'prompt-injection-text'").count() == 2
