@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeaudit.functions.arrays import fold
 from codeaudit.functions.plan import built, once
 from codeaudit.functions.text import BLANKS, indent_of, split_lines, stripped
 
@@ -165,9 +166,7 @@ def _span(s: Column, e: Column) -> Column:
 def _bracket_fold() -> Column:
     """Fold the lines that change the depth into the spans with open brackets."""
     events = F.filter("_l", lambda l: (l.delta != 0) | l.seg)
-    start = F.struct(
-        F.lit(0).alias("depth"), F.lit(0).alias("s"), F.array().cast(_SPANS).alias("spans")
-    )
+    start = {"depth": F.lit(0), "s": F.lit(0), "spans": F.array().cast(_SPANS)}
 
     def step(st, l):
         cut = l.seg & (st.depth > 0)
@@ -182,7 +181,7 @@ def _bracket_fold() -> Column:
             .alias("spans"),
         )
 
-    return F.aggregate(events, start, step)
+    return fold(events, start, "spans", step)
 
 
 def _long_spans() -> Column:
@@ -374,12 +373,12 @@ def _block_fold() -> Column:
             l.n.alias("last"),
         )
 
-    start = F.struct(
-        F.array().cast(f"array<{_BLOCK}>").alias("stack"),
-        F.array().cast(_BLOCKS).alias("done"),
-        F.lit(0).alias("last"),
-    )
-    return F.aggregate(lines, start, step)
+    start = {
+        "stack": F.array().cast(f"array<{_BLOCK}>"),
+        "done": F.array().cast(_BLOCKS),
+        "last": F.lit(0),
+    }
+    return fold(lines, start, "done", step)
 
 
 def _ended(b: Column, last: Column) -> Column:
