@@ -76,9 +76,10 @@ def work_folder(spark: SparkSession, name: str) -> str:
 
     Only a session on one machine, such as a test, may go without and gets a local folder.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="codeaudit-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

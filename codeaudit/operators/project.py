@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit.operators.agentconfig import config_keys, is_config
 from codeaudit.operators.dependencies import lock_facts, lock_keys
 from codeaudit.operators.envfiles import env_keys, ignore_keys, ignore_patterns, uncovered
 from codeaudit.operators.findings import SOURCE_RANK, as_findings
-from codeaudit.sources.constants import ENV_FILES, LOCK_FILES
+from codeaudit.sources.constants import DEPENDENCY_FILES, ENV_FILES, LOCK_FILES
+
+
+def is_project_file(rel_path: Column, file_name: Column) -> Column:
+    """Files the project detectors read: manifests, locks, environment, ignore and config files."""
+    locks = {lock for names in LOCK_FILES.values() for lock in names}
+    at_top = sorted({*DEPENDENCY_FILES, *locks, *ENV_FILES, ".gitignore"})
+    return ((rel_path == file_name) & file_name.isin(*at_top)) | is_config(rel_path, file_name)
 
 
 def project_findings(files: DataFrame) -> DataFrame:

@@ -535,7 +535,7 @@ def unknown_packages(spark, sf_dir):
 
 
 def findings_of(spark, sf_dir) -> DataFrame:
-    return scan.scan(files_of(spark, sf_dir))
+    return scan.scan_tables(files_of(spark, sf_dir))[1]
 
 
 @query
@@ -574,7 +574,7 @@ def dedupe_findings(spark, sf_dir):
 @query
 def suppressed_findings(spark, sf_dir):
     ignored = spark.createDataFrame([(r,) for r in SUPPRESSED], "rule_id string")
-    found = scan.scan(files_of(spark, sf_dir), ignore_rules=ignored)
+    found = scan.scan_tables(files_of(spark, sf_dir), ignore_rules=ignored)[1]
     return found.select("rule_id", "file_path", "line")
 
 

@@ -28,7 +28,7 @@ from codeaudit.operators.findings import (
     suppress,
     tier_rank,
 )
-from codeaudit.operators.project import project_findings
+from codeaudit.operators.project import is_project_file, project_findings
 from codeaudit.operators.rules import located, with_rule_hits
 from codeaudit.operators.signals import code_model, scan_tier, with_features
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, Rule
@@ -173,15 +173,25 @@ def marked_files(
     )
 
 
-def file_results(marked: DataFrame, threshold: float = AI_THRESHOLD) -> DataFrame:
+def file_results(
+    marked: DataFrame, threshold: float = AI_THRESHOLD, keep_projects: bool = False
+) -> DataFrame:
     """One row per scanned or injection-checked file: its scores and the hits in its text.
 
-    This is the only pass over file contents.  Its rows are small, so a run that
-    needs both the detector's and the rules' results writes them once.
+    Its rows are small next to the contents.  With ``keep_projects`` the files the
+    project detectors read are kept with their text, so that a run that writes
+    the results has read the contents exactly once.
     """
-    wanted = marked.where(
-        F.col("is_scanned") | F.col("ext").isin(*injection.INJECTION_EXTENSIONS)
-    )
+    keep = F.col("is_scanned") | F.col("ext").isin(*injection.INJECTION_EXTENSIONS)
+    extra = []
+    if keep_projects:
+        is_project = is_project_file(F.col("rel_path"), F.col("file_name"))
+        keep = keep | is_project
+        extra = [
+            "root", "rel_path", "file_name", "ext", is_project.alias("is_project"),
+            F.when(is_project, F.col("content")).alias("content"),
+        ]
+    wanted = marked.where(keep)
     gated = wanted.withColumn(
         "language", once(F.when(F.col("is_scanned"), F.col("language")).otherwise(""))
     )
@@ -213,7 +223,15 @@ def file_results(marked: DataFrame, threshold: float = AI_THRESHOLD) -> DataFram
     )
     return model.withColumn("rule_hits", once(hits)).select(
         "repo_id", "file_id", "path", "is_scanned", "comments", "structure", "tokens",
-        "confidence", "scan_tier", "rule_hits",
+        "confidence", "scan_tier", "rule_hits", *extra,
+    )
+
+
+def project_files(results: DataFrame) -> DataFrame:
+    """The file table of the project detectors, held in ``file_results``."""
+    return results.where("is_project").select(
+        "file_id", "repo_id", "root", "path", "rel_path", "file_name", "ext",
+        F.lit("").alias("language"), "content",
     )
 
 
@@ -289,8 +307,17 @@ def scan_tables(
     checkpoint folder) and both tables are derived from there, so a lost
     executor costs a read of a small table and not a second scan.
     """
-    results = written(file_results(marked_files(files), threshold), "results", folder)
-    found = _with_project_checks(content_findings(results), files, detectors)
+    detectors = tuple(detectors)
+    results = written(
+        file_results(marked_files(files), threshold, keep_projects=True), "results", folder
+    )
+    own = [d for d in detectors if d not in PROJECT_DETECTORS]
+    found = _with_project_checks(
+        content_findings(results),
+        project_files(results),
+        [d for d in detectors if d in PROJECT_DETECTORS],
+    )
+    found = _with_project_checks(found, files, own)
     return detector_rows(results), _visible(found, minimum_severity, ignore_rules)
 
 

@@ -6,10 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import work_folder
-from codeaudit.operators.code import with_lines
+from codeaudit.operators.code import (
+    with_code,
+    with_lines,
+    with_resolved_statements,
+    with_statements,
+)
 from codeaudit.operators.injection import is_injection, literals_of
 from codeaudit.operators.rules import located, with_rule_hits
-from codeaudit.operators.signals import code_model
 from codeaudit.sources.constants import INJECTION_EXTENSIONS
 from codeaudit.sources.corpus import corpus_from_documents, source_files
 
@@ -22,7 +26,8 @@ def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rule_hit_rows(files: DataFrame) -> DataFrame:
     """Rule hits of each file on its own: stateless, so the same for batches and streams."""
-    hits = with_rule_hits(code_model(source_files(files))).select("file_id", "path", "rule_hits")
+    statements = with_resolved_statements(with_statements(with_code(source_files(files))))
+    hits = with_rule_hits(statements).select("file_id", "path", "rule_hits")
     return located(hits, files.sparkSession).select("file_id", "path", "rule_id", "line", "col")
 
 
