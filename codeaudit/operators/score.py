@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeaudit.operators.findings import severity_rank, severity_table
+from codeaudit.sources.catalogue import RULES, TIER_NAMES
 from codeaudit.sources.constants import (
     AI_THRESHOLD,
     DEDUCTIONS,
@@ -113,6 +114,15 @@ def quality_gate(scored: DataFrame, fail_below: int = 0, no_fail: bool = False)
     )
 
 
+def applied_rules(tier: Column, active_detectors: int = 4) -> Column:
+    """Rule packs of the widest tier in use, which holds those of the others, plus detectors."""
+    used = F.lit(0)
+    for name in reversed(TIER_NAMES):
+        packs = len({r.pack for r in RULES if name in r.tier_names})
+        used = F.when(F.count_if(tier == name) > 0, packs).otherwise(used)
+    return used + active_detectors
+
+
 def scan_summary(
     detector: DataFrame,
     findings: DataFrame,
@@ -121,13 +131,18 @@ def scan_summary(
 ) -> DataFrame:
     """One row for the whole scan with its summary line."""
     scored = detector.select(
-        (F.col("confidence") >= AI_THRESHOLD).alias("ai"), F.lit(None).cast("string").alias("severity")
+        (F.col("confidence") >= AI_THRESHOLD).alias("ai"),
+        F.col("scan_tier").alias("tier"),
+        F.lit(None).cast("string").alias("severity"),
+    )
+    found = findings.select(
+        F.lit(None).cast("boolean").alias("ai"), F.lit(None).cast("string").alias("tier"), "severity"
     )
-    found = findings.select(F.lit(None).cast("boolean").alias("ai"), "severity")
     counts = scored.unionByName(found).agg(
         F.count("ai").alias("files_scanned"),
         F.count_if("ai").alias("ai_files"),
         F.count("severity").alias("findings"),
+        applied_rules(F.col("tier")).alias("rules_applied"),
         *[F.count_if(F.col("severity") == s).alias(f"n_{s.lower()}") for s in SEVERITIES],
     )
     parts = F.array_compact(

@@ -165,7 +165,9 @@ def detector_objects(detector: DataFrame) -> DataFrame:
     )
 
 
-def summary_object(detector: DataFrame, findings: DataFrame) -> DataFrame:
+def summary_object(
+    detector: DataFrame, findings: DataFrame, duration_seconds: float = 0.0
+) -> DataFrame:
     row = scan_summary(detector, findings)
     return row.select(
         F.to_json(
@@ -184,6 +186,8 @@ def summary_object(detector: DataFrame, findings: DataFrame) -> DataFrame:
                         F.col("n_medium").alias("MEDIUM"),
                         F.col("n_low").alias("LOW"),
                     ).alias("findings_by_severity"),
+                    F.lit(round(duration_seconds, 4)).alias("scan_duration_seconds"),
+                    "rules_applied",
                 ).alias("summary"),
             )
         ).alias("value")

@@ -261,7 +261,10 @@ add("scan_summary",
         CASE WHEN n_medium > 0 THEN n_medium || ' MEDIUM' END,
         CASE WHEN n_low > 0 THEN n_low || ' LOW' END], lambda x: x IS NOT NULL), ', ') || ']' AS summary
     FROM (SELECT count(*) AS files_scanned, count_if(is_ai)::BIGINT AS ai_files FROM detector),
-         (SELECT count(*) AS findings, {_COUNTS} FROM findings)""", *_BOTH)
+         (SELECT count(*) AS findings, {_COUNTS} FROM findings),
+         (SELECT count(DISTINCT pack) + 4 AS rules_applied
+          FROM (SELECT pack, unnest(tiers) AS tier FROM rules)
+          WHERE tier IN (SELECT scan_tier FROM detector))""", *_BOTH, "rules")
 add("security_score", f"SELECT * EXCLUDE (grade) FROM ({_SCORED})", *_BOTH)
 add("security_grade", f"SELECT repo_id, score, grade FROM ({_SCORED})", *_BOTH)
 add("score_breakdown",

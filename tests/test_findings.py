@@ -124,7 +124,10 @@ def test_counts_breakdown_and_gate(spark, make):
     }
     assert score.highest_severity(df).collect()[0].highest_severity == "CRITICAL"
     assert {r.severity: r.points for r in score.score_breakdown(df).collect()} == {"CRITICAL": 25, "LOW": 2}
-    detector = spark.createDataFrame([("x", 0.9), ("x", 0.1), ("y", 0.1)], "repo_id string, confidence double")
+    detector = spark.createDataFrame(
+        [("x", 0.9, "MEDIUM"), ("x", 0.1, "CRITICAL_ONLY"), ("y", 0.1, "CRITICAL_ONLY")],
+        "repo_id string, confidence double, scan_tier string")
+    assert score.scan_summary(detector, df).collect()[0].rules_applied == 23
     scored = score.security_score(score.score_inputs(detector, df))
     gate = {r.repo_id: r.passed for r in score.quality_gate(scored).collect()}
     assert gate == {"x": False, "y": True}
@@ -173,6 +176,7 @@ def test_reports(spark, make, tmp_path):
     scored = json.loads(spark.read.text(str(tmp_path / "json/detector")).collect()[0].value)
     assert scored["confidence"] == 0.1235 and scored["signals"]["tokens"] == 0.3
     summary = json.loads(spark.read.text(str(tmp_path / "json/summary")).collect()[0].value)["summary"]
+    assert summary["rules_applied"] == 71
     assert summary["findings_by_severity"] == {"CRITICAL": 0, "HIGH": 2, "MEDIUM": 0, "LOW": 1}
     results = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "sarif/results")).collect()]
     by_line = {r["locations"][0]["physicalLocation"]["region"]["startLine"]: r for r in results}
