@@ -35,6 +35,8 @@ def config_strings(files: DataFrame) -> DataFrame:
     Each level is one pass over the row's own nodes, so the walk neither
     recurses over rows nor shuffles.  Text that is not JSON gives no rows.
     """
+    # A key repeated in one object takes its last value; by default Spark refuses the text.
+    files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = config_files(files).select(
         "repo_id",
         "file_id",

@@ -133,6 +133,12 @@ def test_config_walk_equals_brute_force(make_files):
     assert got == sorted((i, k, v) for i, d in enumerate(docs) for k, v in walk(d))
 
 
+def test_repeated_key_takes_its_last_value(make_files):
+    text = '{"a": "x", "b": {"c": "1", "c": "2"}, "a": "y"}'
+    rows = agentconfig.config_strings(make_files([("mcp.json", text)])).collect()
+    assert sorted((r.key, r.value) for r in rows) == sorted(walk(json.loads(text)))
+
+
 def test_config_secrets(make_files):
     doc = {"api_key": "abcdefgh", "short_token": "abc", "token_url": "https://a.b/cdefgh",
            "note": "aaaaaaaaaaaaaaaaaaaa", "random": "q8Zx1Vb9fJ2kLm4Qw"}
