@@ -7,7 +7,9 @@ import pytest
 
 import __spark_entry__ as entry_module
 
+from codeaudit.plans.registry import QUERIES
 from conftest import DATA
+from sqlcheck.queries import SQL
 
 SF = f"{DATA}/sf0.001"
 TABLES = (
@@ -31,11 +33,11 @@ def plain(value):
     return str(value)
 
 
-def test_every_query_has_a_check():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+def test_every_library_query_has_a_check():
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
     df = entry_module.queries()[name](spark, SF)
     cols = sorted(df.columns)
