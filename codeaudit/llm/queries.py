@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codeaudit.llm.decontaminate import op1_decontamination
+from codeaudit.llm.jaccard import op9_jaccard
 from codeaudit.llm.licenses import op4_license
 from codeaudit.llm.mixing import op5_mixing
 from codeaudit.llm.quality import op7_quality
@@ -9,10 +11,12 @@ from codeaudit.llm.sharding import op10_sharding
 from codeaudit.llm.warc import op3_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op3_warc": op3_warc,
     "op4_license": op4_license,
     "op5_mixing": op5_mixing,
     "op7_quality": op7_quality,
+    "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
 }
 
