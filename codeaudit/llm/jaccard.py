@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from codeaudit.functions.plan import written
 from codeaudit.llm.common import free_name, table
 from codeaudit.llm.components import components
+from codeaudit.llm.frequency import PACKED, bucket_count, packed, shared_codes
 from codeaudit.llm.tokens import (
     NONBLANK, Words, bitmap_of, in_bitmap, scramble, shingles, signed, whole_code, words_of,
 )
@@ -47,8 +48,6 @@ from codeaudit.llm.tokens import (
 SHINGLE = 5
 #: Similarity at which two documents link, in percent.
 PERCENT = 80
-#: Shingles that a bucket of the frequency count holds on average.
-BUCKET = 1 << 20
 #: Sets that meet in one task.
 BLOCK = 1024
 
@@ -104,34 +103,6 @@ def members(docs: DataFrame) -> DataFrame:
     )
 
 
-PACKED = "bucket int, sets array<long>, owner binary, codes binary"
-
-
-def _packed(sets: list[tuple[int, np.ndarray]], n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """Shingles of some sets, dealt into buckets by code: per bucket one row of arrays."""
-    if not sets:
-        return
-    code = np.concatenate([c for _, c in sets])
-    owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(c) for _, c in sets])
-    bucket = ((code >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    code, owner, bucket = code[order], owner[order], bucket[order]
-    found, starts = np.unique(bucket, return_index=True)
-    ends = np.append(starts[1:], len(bucket))
-    ids = np.array([i for i, _ in sets], np.int64)
-    rows: dict[str, list] = {"bucket": [], "sets": [], "owner": [], "codes": []}
-    for b, lo, hi in zip(found, starts, ends):
-        there, local = np.unique(owner[lo:hi], return_inverse=True)
-        rows["bucket"].append(int(b))
-        rows["sets"].append(ids[there])
-        rows["owner"].append(local.astype(np.uint32).tobytes())
-        rows["codes"].append(code[lo:hi].tobytes())
-    yield pa.RecordBatch.from_arrays([
-        pa.array(rows["bucket"], pa.int32()), pa.array(rows["sets"], pa.list_(pa.int64())),
-        pa.array(rows["owner"], pa.binary()), pa.array(rows["codes"], pa.binary()),
-    ], ["bucket", "sets", "owner", "codes"])
-
-
 def first_shingles(docs: DataFrame, n_buckets: int) -> DataFrame:
     """The first shingles, in hash order, of every document's set, packed by bucket."""
 
@@ -146,52 +117,13 @@ def first_shingles(docs: DataFrame, n_buckets: int) -> DataFrame:
                         if pending.setdefault(set_id(codes), first) is first:
                             size += len(first)
                 if size > 1 << 19:
-                    yield from _packed(list(pending.items()), n_buckets)
+                    yield from packed(list(pending.items()), n_buckets)
                     pending, size = {}, 0
-            yield from _packed(list(pending.items()), n_buckets)
+            yield from packed(list(pending.items()), n_buckets)
 
     return docs.select("text").mapInArrow(cut, PACKED)
 
 
-SHARED = "set_id long, codes array<long>, held array<int>"
-
-
-def shared_shingles(packed: DataFrame) -> DataFrame:
-    """(set_id, codes, held) a bucket and set: shingles that other sets hold too, and by how many.
-
-    A bucket holds about ``BUCKET`` shingles, whatever the input, since the number of
-    buckets follows it; a set has a shingle once, so even one that all sets hold adds no
-    more entries than sets.
-    """
-
-    def count(group: pa.Table) -> pa.Table:
-        owners, codes = [], []
-        columns = (group.column(c).to_pylist() for c in ("sets", "owner", "codes"))
-        for ids, owner, code in zip(*columns):
-            owners.append(np.array(ids, np.int64)[np.frombuffer(owner, np.uint32)])
-            codes.append(np.frombuffer(code, np.uint64))
-        owner, code = np.concatenate(owners), np.concatenate(codes)
-        order = np.lexsort((owner, code))
-        owner, code = owner[order], code[order]
-        new = np.append(True, (code[1:] != code[:-1]) | (owner[1:] != owner[:-1]))
-        owner, code = owner[new], code[new]  # copies of a set in other tasks
-        starts = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-        held = np.diff(np.append(starts, len(code)))
-        held = np.repeat(held, held)
-        keep = held > 1
-        owner, code, held = owner[keep], code[keep], held[keep]
-        order = np.argsort(owner, kind="stable")
-        owner, code, held = owner[order], code[order], held[order]
-        starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, int)
-        bounds = pa.array(np.append(starts, len(owner)).astype(np.int32))
-        return pa.Table.from_arrays([
-            pa.array(owner[starts]), pa.ListArray.from_arrays(bounds, pa.array(signed(code))),
-            pa.ListArray.from_arrays(bounds, pa.array(held.astype(np.int32))),
-        ], ["set_id", "codes", "held"])
-
-    return packed.groupBy("bucket").applyInArrow(count, SHARED)
-
-
 def candidate_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
     """(set_id, n, codes) of the documents whose class has its bit set."""
 
@@ -221,9 +153,9 @@ def repacked(sets: DataFrame, n_buckets: int) -> DataFrame:
                 pending.append((key, np.frombuffer(codes.as_buffer(), np.uint64)))
                 size += len(pending[-1][1])
                 if size > 1 << 19:
-                    yield from _packed(pending, n_buckets)
+                    yield from packed(pending, n_buckets)
                     pending, size = [], 0
-            yield from _packed(pending, n_buckets)
+            yield from packed(pending, n_buckets)
 
     return sets.select("set_id", "codes").mapInArrow(cut, PACKED)
 
@@ -467,8 +399,8 @@ def set_labels(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     total = classes.agg(F.sum("n").alias("n")).first().n or 0
     if not total:
         return None
-    buckets = _bucket_count(classes, total * 3 // 10)
-    counted = shared_shingles(first_shingles(docs, buckets)).select(
+    buckets = bucket_count(docs.sparkSession, total * 3 // 10)
+    counted = shared_codes(first_shingles(docs, buckets)).select(
         "set_id", F.size("codes").alias("shared")
     )
     held = counted.groupBy("set_id").agg(F.sum("shared").alias("shared"))
@@ -480,7 +412,7 @@ def set_labels(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     picked = candidate_sets(docs, wanted).dropDuplicates(["set_id"])
     picked = written(picked.join(chosen.select("set_id"), "set_id", "left_semi"), "jaccard-sets")
     size = chosen.agg(F.sum("n").alias("n")).first().n or 0
-    shared = shared_shingles(repacked(picked, _bucket_count(classes, size)))
+    shared = shared_codes(repacked(picked, bucket_count(docs.sparkSession, size)))
     gathered = shared.groupBy("set_id").agg(
         F.flatten(F.collect_list("codes")).alias("codes"),
         F.flatten(F.collect_list("held")).alias("held"),
@@ -511,11 +443,6 @@ def _labels(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("set_id"), F.col("root").alias("label"))
 
 
-def _bucket_count(df: DataFrame, entries: int) -> int:
-    at_least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(at_least, -(-entries // BUCKET))
-
-
 def classes_of(docs: DataFrame) -> DataFrame:
     """(doc_id, n, set_id, label): documents with equal label are reachable over links."""
     classes = written(members(docs), "jaccard-classes")

@@ -6,7 +6,9 @@ from codeaudit.llm.decontaminate import op1_decontamination
 from codeaudit.llm.jaccard import op9_jaccard
 from codeaudit.llm.licenses import op4_license
 from codeaudit.llm.mixing import op5_mixing
+from codeaudit.llm.passages import op8_passages
 from codeaudit.llm.quality import op7_quality
+from codeaudit.llm.secrets import op6_secrets
 from codeaudit.llm.sharding import op10_sharding
 from codeaudit.llm.warc import op3_warc
 
@@ -15,7 +17,9 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_license": op4_license,
     "op5_mixing": op5_mixing,
+    "op6_secrets": op6_secrets,
     "op7_quality": op7_quality,
+    "op8_passages": op8_passages,
     "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
 }
