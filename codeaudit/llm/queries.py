@@ -8,12 +8,14 @@ from codeaudit.llm.licenses import op4_license
 from codeaudit.llm.mixing import op5_mixing
 from codeaudit.llm.passages import op8_passages
 from codeaudit.llm.quality import op7_quality
+from codeaudit.llm.scoring import op2_scoring
 from codeaudit.llm.secrets import op6_secrets
 from codeaudit.llm.sharding import op10_sharding
 from codeaudit.llm.warc import op3_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_scoring": op2_scoring,
     "op3_warc": op3_warc,
     "op4_license": op4_license,
     "op5_mixing": op5_mixing,

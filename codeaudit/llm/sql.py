@@ -102,3 +102,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND n_words - lost >= n_words * 0.2 AS kept
 FROM b
 """
+
+OP2 = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all({low('text')}, '{WORD_RUN}') AS w FROM documents),
+t AS (SELECT r, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS w2,
+        CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS w3
+      FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+c AS (SELECT r, i,
+        count(*) OVER (PARTITION BY w1) - count(*) OVER (PARTITION BY w1, r) AS c1,
+        CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY w2) - count(*) OVER (PARTITION BY w2, r) ELSE 0 END AS c2,
+        CASE WHEN i > 2 THEN count(*) OVER (PARTITION BY w3) - count(*) OVER (PARTITION BY w3, r) ELSE 0 END AS c3
+      FROM t),
+x AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS b1, lag(c2) OVER (PARTITION BY r ORDER BY i) AS b2,
+        greatest(1, (SELECT count(*) FROM t) - count(*) OVER (PARTITION BY r)) AS n FROM c),
+s1 AS (SELECT *, CASE WHEN c1 > 0 THEN c1 / n ELSE 1 / (n + 1) END AS s1 FROM x),
+s2 AS (SELECT *, CASE WHEN c2 > 0 THEN c2 / b1 WHEN i > 1 THEN 0.4::DOUBLE * s1 ELSE s1 END AS s2 FROM s1),
+s3 AS (SELECT *, CASE WHEN c3 > 0 THEN c3 / b2 WHEN i > 2 THEN 0.4::DOUBLE * s2 ELSE s2 END AS s3 FROM s2),
+g AS (SELECT r, sum(ln(s3) ORDER BY i) AS log_score, count_if(c3 > 0) AS n_full FROM s3 GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_full, 0) AS BIGINT) AS n_full,
+       round(log_score, 4) AS log_score, round(log_score / len(w), 6) AS score
+FROM d LEFT JOIN g USING (r)
+"""
