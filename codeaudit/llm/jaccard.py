@@ -484,4 +484,4 @@ def _row_key(doc_id, digest):
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("set_id")

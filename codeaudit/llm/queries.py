@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from codeaudit.llm import sql
 from codeaudit.llm.decontaminate import op1_decontamination
 from codeaudit.llm.jaccard import op9_jaccard
 from codeaudit.llm.licenses import op4_license
@@ -26,4 +27,13 @@ QUERIES = {
     "op10_sharding": op10_sharding,
 }
 
-SQL: dict[str, str] = {}
+#: Patterns with places, min-hashes and edits of the slot map have no SQL form; tests hold
+#: those queries against brute force.
+SQL = {
+    "op1_decontamination": sql.OP1,
+    "op2_scoring": sql.OP2,
+    "op3_warc": sql.OP3,
+    "op5_mixing": sql.OP5,
+    "op7_quality": sql.OP7,
+    "op9_jaccard": sql.OP9,
+}

@@ -124,3 +124,19 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_full, 0) AS BI
        round(log_score, 4) AS log_score, round(log_score / len(w), 6) AS score
 FROM d LEFT JOIN g USING (r)
 """
+
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+             regexp_extract_all({low('text')}, '{WORD_RUN}') AS w FROM documents),
+sh AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g
+       FROM d, unnest(range(1, greatest(2, len(w) - 3))) AS u(i) WHERE len(w) > 0),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS x
+           FROM sh AS a JOIN sh AS b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+links AS (SELECT a, b FROM common JOIN n AS p ON a = p.r JOIN n AS q ON b = q.r
+          WHERE 100 * x >= 80 * (p.n + q.n - x)),
+reach(r, c) AS (SELECT r, r FROM d UNION SELECT reach.r, b FROM reach JOIN links ON a = c),
+least AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d AS o ON o.r = c GROUP BY reach.r)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r) JOIN least USING (r)
+"""
