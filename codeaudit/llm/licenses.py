@@ -17,13 +17,14 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import once
-from codeaudit.llm.common import lower_ascii, table
+from codeaudit.llm.common import free_name, lower_ascii, table
 
 # Phrases of the base scan with their labels.
 BASE_PHRASES = (
@@ -41,7 +42,7 @@ ONLY = r"(?: only| or later| or any later version)?"
 #: Licenses: label, identifier as words, names as they stand in running text.
 LICENSES = (
     ("mit", "mit", r"mit license|expat license|mit x11 license"),
-    ("mit-0", "mit 0", r"mit no attribution(?: license)?|mit 0 license"),
+    ("mit-0", "mit 0", r"mit no attribution license|mit 0 license"),
     ("apache-1", r"apache 1 [01]", rf"apache(?: software)? license{V} 1(?: [01])?"),
     ("apache-2", "apache 2 0", rf"apache(?: software)? license{V} 2(?: 0)?|apache 2(?: 0)? license"),
     ("bsd-2-clause", r"bsd 2 clause(?: patent| views)?", r"bsd 2 clause(?: license)?|(?:simplified|freebsd|two clause|2 clause) bsd license"),
@@ -97,7 +98,7 @@ LICENSES = (
     ("cdla-permissive", r"cdla permissive [12] 0", r"community data license agreement permissive"),
     ("cdla-sharing", "cdla sharing 1 0", r"community data license agreement sharing"),
     ("eupl", r"eupl 1 [012]", rf"european union public licen[cs]e(?:{V} 1 [012])?"),
-    ("cecill", r"cecill (?:1 [01]|2 [01]|b|c)", r"cecill (?:free software )?license"),
+    ("cecill", r"cecill (?:1 [01]|2 [01]|b|c)", r"cecill license|cecill free software license"),
     ("osl-3", "osl 3 0", rf"open software license(?:{V} 3(?: 0)?)?"),
     ("afl-3", "afl 3 0", rf"academic free license(?:{V} 3(?: 0)?)?"),
     ("apsl-2", "apsl 2 0", rf"apple public source license(?:{V} 2(?: 0)?)?"),
@@ -165,7 +166,7 @@ SENTENCES = (
     ("see-license", 5, "license", r"see(?: the)? license(?: file)? for (?:details|more information|the full license text)"),
 )
 
-#: Every rule's keyword holds one of these, or it is never tried.
+#: Every text with a match of any rule holds one of these.
 GATES = (
     "licen", "apache", "bsd", "cc by", "cc0", "creative", "eclipse", "mozilla", "gpl", "public",
     "permission", "redistribution", "endorse", "advertising", "software", "rights", "fuck",
@@ -173,29 +174,43 @@ GATES = (
 )
 
 
+def alternatives(rule: str) -> list[str]:
+    """The alternatives of a regular expression outside its groups."""
+    out, depth, start = [], 0, 0
+    for i, c in enumerate(rule):
+        depth += (c == "(") - (c == ")")
+        if c == "|" and not depth:
+            out.append(rule[start:i])
+            start = i + 1
+    return [*out, rule[start:]]
+
+
+def keyword_of(rule: str) -> str:
+    """The longest text that every match of a rule without outer alternatives holds."""
+    last = None
+    while last != rule:  # groups from the inside out
+        last, rule = rule, re.sub(r"\((?:\?:)?[^()]*\)(?:[?*+]|\{[^}]*\})?", "#", rule)
+    rule = re.sub(r"\[[^\]]*\](?:[?*+]|\{[^}]*\})?|.[?*]", "#", rule)
+    return max(re.findall(r"[a-z0-9 ]+", rule), key=len).strip()
+
+
 def signatures() -> list[tuple[str, str, int, str]]:
     """(label, keyword, priority, regular expression) in rule order."""
     rules = [(label, phrase, 0, phrase) for phrase, label in BASE_PHRASES]
-    for label, identifier, names in LICENSES:
-        rules.append((label, "license identifier", 1, rf"spdx license identifier (?:{identifier})"))
+    for label, identifier, _ in LICENSES:
+        rules.append((label, "spdx license identifier", 1, rf"spdx license identifier (?:{identifier})"))
     rules += [(label, word, priority, rule) for label, priority, word, rule in SENTENCES]
+    grant = r"(?:licensed|released|distributed|available|provided)(?: to you)? under(?: the)?(?: terms of)?(?: the)?"
     for label, identifier, names in LICENSES:
-        grant = rf"(?:licensed|released|distributed|available|provided)(?: to you)? under(?: the)?(?: terms of)?(?: the)? (?:{names})"
-        rules.append((label, "under", 3, grant))
-        rules.append((label, "licen", 3, rf"licen[cs]e (?:is |name |type )?(?:{identifier}|{names})"))
-        rules.append((label, keyword_of(names), 4, rf"(?:{names})"))
+        for name in alternatives(names):
+            rules.append((label, keyword_of(name), 3, rf"{grant} (?:{name})"))
+            rules.append((label, keyword_of(name), 4, rf"(?:{name})"))
+        for name in alternatives(identifier):
+            stated = r"licen[cs]e(?: is| name| type)?"
+            rules.append((label, keyword_of(name), 3, rf"{stated} (?:{name})"))
     return [(a, b, p, rf"(?<= )(?:{rule})(?= )") for a, b, p, rule in rules]
 
 
-def keyword_of(names: str) -> str:
-    """A gate word that all names of a license hold, for names without one the blank."""
-    plain = names.replace("(?: ", " ").replace(")?", "")
-    for word in GATES:
-        if all(word in name for name in plain.split("|")):
-            return word
-    return " "
-
-
 @cache
 def _rules_sql() -> str:
     def quoted(value: str) -> str:
@@ -210,7 +225,7 @@ def _rules_sql() -> str:
 
 
 def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit("")))
 
 
 def word_text(text: str | Column) -> Column:
@@ -290,23 +305,28 @@ def unsuppressed(found: Column) -> Column:
 
 
 def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words and detections: spans in words, with rule, priority and label."""
-    spelled = docs.withColumn("words", once(word_text(text)))
-    low = F.lower("words")
+    """``docs`` with n_words and detections: spans in words, with rule, priority and label.
+
+    Columns of these two names are replaced.
+    """
+    kept = [c for c in docs.columns if c not in ("n_words", "detections")]
+    name, low = free_name(docs, "words"), free_name(docs, "low_words")
+    words = F.col(name)
+    spelled = docs.select(*kept, once(word_text(text)).alias(name))
+    spelled = spelled.select(*kept, name, once(F.lower(words)).alias(low))
     gate = F.lit(False)
     for word in GATES:
-        gate = gate | F.contains(low, F.lit(word))
-    n_words = F.when(F.col("words") == "  ", 0).otherwise(_spaces(F.col("words")) - 1)
+        gate = gate | F.contains(F.col(low), F.lit(word))
+    n_words = F.when(words == "  ", 0).otherwise(_spaces(words) - 1)
     # one copy in lower case for the gate, and the exact one only for texts that pass it
     passed = spelled.select(
-        *docs.columns, n_words.cast("long").alias("n_words"),
-        once(F.when(gate, lower_ascii("words"))).alias("words"),
+        *kept, n_words.cast("long").alias("n_words"),
+        once(F.when(gate, lower_ascii(words))).alias(name),
     )
     kind = "array<struct<first:int,last:int,priority:int,rule:int,label:string>>"
-    found = F.when(F.col("words").isNotNull(), unsuppressed(detections(F.col("words"))))
+    found = F.when(words.isNotNull(), unsuppressed(detections(words)))
     return passed.select(
-        *docs.columns, "n_words",
-        once(F.coalesce(found, F.array().cast(kind))).alias("detections"),
+        *kept, "n_words", once(F.coalesce(found, F.array().cast(kind))).alias("detections")
     )
 
 

@@ -124,30 +124,26 @@ def mix(docs: DataFrame) -> DataFrame:
     target is cut after the words that still fit.  Rows are range-partitioned by virtual
     finish time and sorted inside, so files written from them read in mix order.
     """
-    names = [free_name(docs, n) for n in ("n_words", "mix_key")]
-    size, key = names
-    sized = docs.withColumn(size, word_count("text"))
-    sized = sized.withColumn(key, F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    plan = schedule(sized, size, key)
-    taken, full = F.col("taken"), F.col(size)
-    copies = F.when(taken > 0, F.ceil(taken / full).cast("int")).otherwise(0)
-    lap, at = free_name(plan, "lap"), free_name(plan, "at")
-    out = plan.filter(taken > 0).withColumn(lap, F.explode(F.sequence(F.lit(1), copies)))
-    left = taken - (F.col(lap) - 1) * full
-    ends = F.split("text", rf"(?<=[^{BLANK}])(?=[{BLANK}])")
+    work = docs.select(
+        F.struct(*docs.columns).alias("row"), "source", word_count("text").alias("size"),
+        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key"),
+    )
+    plan = schedule(work, "size", "key").filter("taken > 0")
+    taken, full, text = F.col("taken"), F.col("size"), F.col("row.text")
+    laps = F.sequence(F.lit(1), F.ceil(taken / full).cast("int"))
+    out = plan.withColumn("lap", F.explode(laps))
+    left = taken - (F.col("lap") - 1) * full
+    ends = F.split(text, rf"(?<=[^{BLANK}])(?=[{BLANK}])")
     cut = F.array_join(F.slice(ends, F.lit(1), left.cast("int")), "")
-    out = out.withColumn("text", F.when(left >= full, F.col("text")).otherwise(cut))
-    if "n_chars" in docs.columns:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn(
-            "n_chars", F.when(left >= full, F.col("n_chars"))
-            .otherwise(F.length("text")).cast(kind)
-        )
-    step = F.col("source_size") / F.col("target")
-    out = out.withColumn(at, F.col("finish") + (F.col(lap) - 1) * step)
+    out = out.withColumn("text", F.when(left >= full, text).otherwise(cut))
+    at = F.col("finish") + (F.col("lap") - 1) * F.col("source_size") / F.col("target")
     parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    ordered = out.repartitionByRange(parts, at).sortWithinPartitions(at)
-    return ordered.select(docs.columns)
+    out = out.withColumn("at", at).repartitionByRange(parts, "at").sortWithinPartitions("at")
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        length = F.when(left >= full, F.col("row.n_chars")).otherwise(F.length("text"))
+        changed["n_chars"] = length.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,8 +142,11 @@ def assign(docs: DataFrame, n_shards: int = SHARDS, n_slots: int = SLOTS) -> Dat
 
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, folder: str) -> None:
-    """The documents in one folder a shard, under the given version of the map."""
-    held = with_slot(docs).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
+    """The documents in one folder a shard, under the given version of the map.
+
+    Columns named vslot or shard are replaced.
+    """
+    held = with_slot(docs.drop("vslot", "shard")).join(F.broadcast(slot_map.select("vslot", "shard")), "vslot")
     held.drop("vslot").write.partitionBy("shard").mode("overwrite").parquet(folder)
 
 
