@@ -29,8 +29,8 @@ def config_files(files: DataFrame) -> DataFrame:
     return files.where(is_config(F.col("rel_path"), F.col("file_name")))
 
 
-def config_strings(files: DataFrame) -> DataFrame:
-    """Every string value down to depth 20 with the key above it; list items keep theirs.
+def config_strings(files: DataFrame, max_depth: int = CONFIG_MAX_DEPTH) -> DataFrame:
+    """Every string value down to ``max_depth`` with the key above it; list items keep theirs.
 
     Each level is one pass over the row's own nodes, so the walk neither
     recurses over rows nor shuffles.  Text that is not JSON gives no rows.
@@ -50,7 +50,7 @@ def config_strings(files: DataFrame) -> DataFrame:
         ).alias("nodes"),
     )
     kind = "schema_of_variant(n.value)"
-    for _ in range(CONFIG_MAX_DEPTH):
+    for _ in range(max_depth):
         children = F.expr(
             f"""
             flatten(transform(nodes, n -> CASE

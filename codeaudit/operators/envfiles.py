@@ -13,7 +13,6 @@ from codeaudit.sources.constants import (
     ENTROPY_LIMIT,
     ENV_ENTRY,
     ENV_FILES,
-    ENV_MAX_LINES,
     PLACEHOLDER,
     SECRET_NAME,
 )
@@ -39,17 +38,14 @@ def ignore_patterns(files: DataFrame) -> DataFrame:
     )
 
 
-def env_entries(files: DataFrame) -> DataFrame:
-    """Key and value per line of the first 200 lines of each environment file.
-
-    The limit is the feature: longer files are cut there by definition.
-    """
+def env_entries(files: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """Key and value per line of each environment file, or of its first ``max_lines`` lines."""
     lines = with_lines(env_files(files))
     rows = lines.select(
         "repo_id",
         "file_id",
         "path",
-        F.posexplode(F.slice("raw", 1, ENV_MAX_LINES)).alias("pos", "raw"),
+        F.posexplode("raw" if max_lines is None else F.slice("raw", 1, max_lines)).alias("pos", "raw"),
     )
     text = stripped(F.col("raw"))
     value = F.btrim(

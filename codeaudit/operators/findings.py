@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import broadcast_if_small
+from codeaudit.functions.plan import broadcast_if_small, once
 from codeaudit.operators.code import with_lines
 from codeaudit.sources.constants import MATCHER_SEVERITIES, SEVERITIES
 
@@ -169,7 +169,8 @@ def apply_line_fixes(files: DataFrame, replacements: DataFrame) -> DataFrame:
     """Replace single lines of files by new text; lines that do not exist are ignored.
 
     ``replacements(file_path, line, new_text)`` is grouped per file, at most one
-    entry per line, so a group is bounded by the length of its file.
+    entry per line, so a group is bounded by the length of its file.  Every line
+    keeps the line break it had, and a last line without one stays so.
     """
     per_file = (
         replacements.groupBy("file_path", "line")
@@ -178,34 +179,50 @@ def apply_line_fixes(files: DataFrame, replacements: DataFrame) -> DataFrame:
         .agg(F.map_from_entries(F.collect_list(F.struct("line", "new_text"))).alias("_fixes"))
         .withColumnRenamed("file_path", "path")
     )
+    breaks = F.regexp_extract_all("content", F.lit(r"\r\n|\n|\r"), F.lit(0))
     fixed = F.transform(
         "raw",
-        lambda x, i: F.coalesce(F.element_at(F.col("_fixes"), i + 1), x),
+        lambda x, i: F.concat(
+            F.coalesce(F.element_at(F.col("_fixes"), i + 1), x),
+            F.coalesce(F.get(F.col("_breaks"), i), F.lit("")),
+        ),
     )
     return (
         with_lines(files)
         .join(broadcast_if_small(per_file), "path")
-        .withColumn("fixed_content", F.concat(F.array_join(fixed, "\n"), F.lit("\n")))
-        .drop("raw", "_fixes")
+        .withColumn("_breaks", once(breaks))
+        .withColumn("fixed_content", F.array_join(fixed, ""))
+        .drop("raw", "_fixes", "_breaks")
     )
 
 
 def fix_diff_rows(files: DataFrame, replacements: DataFrame) -> DataFrame:
     """Removed and added lines of each replacement; an unchanged line gives no row."""
-    paths = replacements.select(F.col("file_path").alias("path")).distinct()
-    wanted = files.join(broadcast_if_small(paths), "path", "left_semi")
-    lines = with_lines(wanted).select("path", "raw")
-    at = replacements.withColumnRenamed("file_path", "path").join(lines, "path").where(
-        (F.col("line") >= 1) & (F.col("line") <= F.size("raw"))
+    per_file = replacements.groupBy(F.col("file_path").alias("path")).agg(
+        F.collect_list(F.struct("line", "new_text")).alias("_fixes")
     )
-    old = F.get(F.col("raw"), F.col("line") - 1)
-    new = F.split("new_text", "\n", -1)
-    changed = at.where(old != F.col("new_text"))
-    rows = F.concat(
-        F.array(F.struct(F.lit("-").alias("mark"), F.lit(1).alias("seq"), old.alias("text"))),
-        F.transform(
+    lines = with_lines(files.join(broadcast_if_small(per_file), "path"))
+    raw = F.col("raw")
+
+    def rows(fix):
+        old = F.get(raw, fix["line"] - 1)
+        new = F.split(fix["new_text"], "\n", -1)
+        removed = F.struct(
+            fix["line"].alias("line"), F.lit("-").alias("mark"), F.lit(1).alias("seq"),
+            old.alias("text"),
+        )
+        added = F.transform(
             new,
-            lambda x, i: F.struct(F.lit("+").alias("mark"), (i + 1).alias("seq"), x.alias("text")),
-        ),
-    )
-    return changed.select(F.col("path").alias("file_path"), "line", F.inline(rows))
+            lambda x, i: F.struct(
+                fix["line"].alias("line"), F.lit("+").alias("mark"), (i + 1).alias("seq"),
+                x.alias("text"),
+            ),
+        )
+        return F.when(
+            (fix["line"] >= 1) & (fix["line"] <= F.size(raw)) & (old != fix["new_text"]),
+            F.concat(F.array(removed), added),
+        )
+
+    # a file with its replacements gives only the rows that differ; its text goes no further
+    found = F.flatten(F.array_compact(F.transform("_fixes", rows)))
+    return lines.select(F.col("path").alias("file_path"), F.inline(found))

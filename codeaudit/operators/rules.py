@@ -16,6 +16,8 @@ from codeaudit.functions.text import any_of, newline_count, stripped, truncated
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, TIER_NAMES, Rule
 
 _HITS = "array<struct<rule_id:string,n:int,text:string>>"
+_PLACE = "struct<breaks:int,col:int,match:string>"
+_PLACED = f"array<{_PLACE}>"
 SNIPPET_LINES = 3
 CONSTANT_NAME = r"^(__name__|__version__|[A-Z0-9_]+)$"
 PLACED_VALUE = r"\{([^}]+)\}"
@@ -327,10 +329,46 @@ def with_rule_hits(model: DataFrame, tier: str | None = None, rules=RULES) -> Da
     )
 
 
+def _matches_in(text: Column, pattern: Column) -> Column:
+    """Every match of a pattern in a text: (breaks before it, column, matched text).
+
+    The texts between the matches are walked once; of what lies before a match only
+    the count of line breaks and the open line are kept.
+    """
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
+    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    start = F.struct(
+        F.lit(0).alias("breaks"), F.lit("").alias("open"), F.array().cast(_PLACED).alias("out")
+    )
+
+    def last_line(value):
+        return F.element_at(F.split(value, "\n", -1), -1)
+
+    def step(state, pair):
+        head = F.concat(state["open"], pair["gap"])
+        breaks = state["breaks"] + newline_count(head)
+        place = F.struct(
+            breaks.alias("breaks"), (F.length(last_line(head)) + 1).alias("col"),
+            pair["match"].alias("match"),
+        )
+        body = F.concat(last_line(head), pair["match"])
+        return F.struct(
+            (breaks + newline_count(pair["match"])).cast("int").alias("breaks"),
+            last_line(body).alias("open"),
+            F.array_append(state["out"], place.cast(_PLACE)).alias("out"),
+        )
+
+    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
+    whole = F.array(F.struct(F.lit(0), F.lit(1), F.lit("")).cast(_PLACE))
+    return F.when(pattern == "", whole).otherwise(
+        F.aggregate(pairs, start, step, lambda state: state["out"])
+    )
+
+
 def located(
     hits: DataFrame, spark: SparkSession, rules=RULES, keep_rank: bool = False
 ) -> DataFrame:
-    """Explode hits, look up their rules and place them: line, column and snippet.
+    """Explode hits, look up their rules and place every match: line, column and snippet.
 
     The line is the first line of the hit text plus the line breaks before the
     match; a rule without a pattern is placed at the first line.
@@ -338,17 +376,9 @@ def located(
     table = F.broadcast(rule_table(spark, rules)).drop("languages", "tiers")
     rows = hits.withColumn("hit", F.explode("rule_hits")).drop("rule_hits")
     joined = rows.join(table, F.col("hit.rule_id") == F.col("rule_id")).withColumn(
-        "_pre",
-        F.call_function(
-            "regexp_extract",
-            F.col("hit.text"),
-            F.concat(F.lit("(?s)^(.*?)(?:"), F.col("pos_regex"), F.lit(")")),
-            F.lit(1),
-        ),
-    )
-    matched = stripped(
-        F.call_function("regexp_extract", F.col("hit.text"), F.col("pos_regex"), F.lit(0))
+        "_place", F.explode(_matches_in(F.col("hit.text"), F.col("pos_regex")))
     )
+    matched = stripped(F.col("_place.match"))
     return joined.select(
         *[c for c in rows.columns if c != "hit"],
         *([F.col("hit.rank").alias("rank")] if keep_rank else []),
@@ -358,8 +388,8 @@ def located(
         "cwe",
         "message",
         "fix_guidance",
-        (F.col("hit.n") + newline_count(F.col("_pre"))).cast("int").alias("line"),
-        (F.length(F.element_at(F.split("_pre", "\n", -1), -1)) + 1).cast("int").alias("col"),
+        (F.col("hit.n") + F.col("_place.breaks")).cast("int").alias("line"),
+        F.col("_place.col").alias("col"),
         F.array_join(F.slice(F.split(matched, "\n"), 1, SNIPPET_LINES), "\n").alias("snippet"),
     )
 

@@ -276,9 +276,14 @@ def assign_return_count() -> Column:
 
 def parameters(header: Column) -> Column:
     """Positional parameters of a signature, without ``self`` and ``cls``."""
-    text = F.regexp_extract(header, PARAMETERS, 1)
-    for _ in range(3):
-        text = F.regexp_replace(text, r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}", "")
+    whole = F.regexp_extract(header, PARAMETERS, 1)
+    # innermost brackets go first; as many rounds as there are brackets reach any depth
+    brackets = F.length(whole) - F.length(F.translate(whole, "([{", ""))
+    text = F.aggregate(
+        F.array_repeat(F.lit(0), brackets),
+        whole,
+        lambda t, _: F.regexp_replace(t, r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}", ""),
+    )
     items = F.transform(F.split(text, ","), stripped)
     star = F.array_position(
         F.transform(items, lambda p: p.startswith("*")), F.lit(True)

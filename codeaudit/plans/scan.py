@@ -54,12 +54,14 @@ SECRET_RULES = [r.rule_id for r in RULES if r.category == "secrets"]
 _RANKED = "array<struct<rank:int,rule_id:string,n:int,text:string>>"
 
 
-def tiered_model(files: DataFrame, threshold: float = AI_THRESHOLD) -> DataFrame:
+def tiered_model(
+    files: DataFrame, threshold: float = AI_THRESHOLD, rules: Iterable[Rule] = RULES
+) -> DataFrame:
     """Code model, signals, confidence, tier and the tier's rule hits of source files."""
     scored = with_features(code_model(files)).withColumn(
         "scan_tier", once(scan_tier(F.col("confidence"), threshold))
     )
-    return with_rule_hits(scored, "scan_tier")
+    return with_rule_hits(scored, "scan_tier", tuple(rules))
 
 
 def unreported_secrets(model: DataFrame) -> DataFrame:
@@ -174,7 +176,10 @@ def marked_files(
 
 
 def file_results(
-    marked: DataFrame, threshold: float = AI_THRESHOLD, keep_projects: bool = False
+    marked: DataFrame,
+    threshold: float = AI_THRESHOLD,
+    keep_projects: bool = False,
+    rules: Iterable[Rule] = RULES,
 ) -> DataFrame:
     """One row per scanned or injection-checked file: its scores and the hits in its text.
 
@@ -195,7 +200,7 @@ def file_results(
     gated = wanted.withColumn(
         "language", once(F.when(F.col("is_scanned"), F.col("language")).otherwise(""))
     )
-    model = unreported_secrets(tiered_model(gated, threshold))
+    model = unreported_secrets(tiered_model(gated, threshold, rules))
 
     def ranked(hits, rank, rule_id):
         return F.transform(
@@ -206,7 +211,7 @@ def file_results(
             ),
         )
 
-    rules = F.transform(
+    by_rules = F.transform(
         "rule_hits",
         lambda h: F.struct(
             tier_rank(F.col("scan_tier")).alias("rank"), h.rule_id.alias("rule_id"),
@@ -217,7 +222,7 @@ def file_results(
         F.col("is_scanned"), ranked(F.col("secret_hits"), SOURCE_RANK["secrets"], secrets.RULE_ID)
     ).otherwise(F.array().cast(_RANKED))
     hits = F.concat(
-        rules.cast(_RANKED),
+        by_rules.cast(_RANKED),
         found_secrets,
         ranked(injection.injection_lines(), SOURCE_RANK["injection"], injection.RULE_ID),
     )
@@ -235,10 +240,10 @@ def project_files(results: DataFrame) -> DataFrame:
     )
 
 
-def content_findings(results: DataFrame) -> DataFrame:
+def content_findings(results: DataFrame, rules: Iterable[Rule] = RULES) -> DataFrame:
     """The findings held in ``file_results``, looked up in the catalogue and placed."""
     rows = results.select("repo_id", "file_id", "path", "confidence", "rule_hits")
-    placed = located(rows, results.sparkSession, RULES + _LINE_RULES, keep_rank=True)
+    placed = located(rows, results.sparkSession, [*rules, *_LINE_RULES], keep_rank=True)
     by_rule = F.col("rank") < SOURCE_RANK["secrets"]
     return as_findings(
         placed,
@@ -269,21 +274,40 @@ def _with_project_checks(found: DataFrame, files: DataFrame, detectors) -> DataF
     return found
 
 
-def all_findings(
+def scanned(
     files: DataFrame,
     threshold: float = AI_THRESHOLD,
     changed_paths: DataFrame | None = None,
     detectors: Iterable[Detector] = PROJECT_DETECTORS,
+    rules: Iterable[Rule] = RULES,
+    folder: str | None = None,
     **options,
-) -> DataFrame:
-    """Findings of every detector, before filtering.
+) -> tuple[DataFrame, DataFrame]:
+    """(per-file results, findings of every detector before filtering), from one read.
 
-    With ``changed_paths`` only changed files are scored and meet rules; the
-    project checks and the injection search still see the whole tree.
+    The results are written to ``folder`` (by default below the shared checkpoint
+    folder) with the text of the few files that project detectors look at, and
+    everything else is derived from there.  With ``changed_paths`` only changed
+    files are scored and meet rules; the project checks and the injection search
+    still see the whole tree.  ``rules`` may hold rules of the caller's own.
     """
+    detectors, rules = tuple(detectors), tuple(rules)
     marked = marked_files(files, changed_paths, **options)
-    found = content_findings(file_results(marked, threshold))
-    return _with_project_checks(found, files, detectors)
+    results = written(
+        file_results(marked, threshold, keep_projects=True, rules=rules), "results", folder
+    )
+    found = _with_project_checks(
+        content_findings(results, rules),
+        project_files(results),
+        [d for d in detectors if d in PROJECT_DETECTORS],
+    )
+    own = [d for d in detectors if d not in PROJECT_DETECTORS]
+    return results, _with_project_checks(found, files, own)
+
+
+def all_findings(files: DataFrame, threshold: float = AI_THRESHOLD, **options) -> DataFrame:
+    """Findings of every detector, before filtering; options as for ``scanned``."""
+    return scanned(files, threshold, **options)[1]
 
 
 def _visible(found: DataFrame, minimum_severity: str, ignore_rules: DataFrame | None) -> DataFrame:
@@ -298,26 +322,14 @@ def scan_tables(
     threshold: float = AI_THRESHOLD,
     minimum_severity: str = "MEDIUM",
     ignore_rules: DataFrame | None = None,
-    detectors: Iterable[Detector] = PROJECT_DETECTORS,
-    folder: str | None = None,
+    **options,
 ) -> tuple[DataFrame, DataFrame]:
     """Detector rows and findings of one scan, with file contents read once.
 
-    The per-file results are written to ``folder`` (by default below the shared
-    checkpoint folder) and both tables are derived from there, so a lost
-    executor costs a read of a small table and not a second scan.
+    Both tables are derived from the written results, so a lost executor costs a
+    read of a small table and not a second scan.  Options as for ``scanned``.
     """
-    detectors = tuple(detectors)
-    results = written(
-        file_results(marked_files(files), threshold, keep_projects=True), "results", folder
-    )
-    own = [d for d in detectors if d not in PROJECT_DETECTORS]
-    found = _with_project_checks(
-        content_findings(results),
-        project_files(results),
-        [d for d in detectors if d in PROJECT_DETECTORS],
-    )
-    found = _with_project_checks(found, files, own)
+    results, found = scanned(files, threshold, **options)
     return detector_rows(results), _visible(found, minimum_severity, ignore_rules)
 
 

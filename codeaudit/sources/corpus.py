@@ -7,6 +7,10 @@ it.
 
 from __future__ import annotations
 
+import os
+import re
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,31 +69,62 @@ def changed_only(files: DataFrame, changed_paths: DataFrame) -> DataFrame:
     return files.join(broadcast_if_small(keys), ["repo_id", "path"], "left_semi")
 
 
-def scan_tree(spark: SparkSession, root: str, repo_id: str = "local") -> DataFrame:
-    """File table of a folder tree; unreadable files are left out, bytes are decoded leniently."""
+def scan_tree(
+    spark: SparkSession,
+    root: str,
+    repo_id: str = "local",
+    project_depth: int = 0,
+    skip_dirs=SKIP_DIRS,
+) -> DataFrame:
+    """File table of a folder tree or of one file; bytes are decoded leniently.
+
+    Files below ``skip_dirs`` are left out by their path before they are opened; parts of
+    ``root`` itself do not count.  With ``project_depth`` the tree holds many projects that
+    many folders down: the folders name the repository, and paths start below them.
+    Unreadable files are left out, and so, by Spark's file readers, are files and folders
+    whose names start with a dot or an underscore: add those as rows of their own.
+    """
+    top = root if "://" in root or root.startswith("/") else os.path.abspath(root)
+    top = top.rstrip("/") or "/"
+    place = re.sub(r"^[a-z0-9]+:/*", "/", top) if top.startswith("file:") else top
     raw = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("ignoreCorruptFiles", True)
         .option("ignoreMissingFiles", True)
-        .load(root)
+        .load(top)
     )
-    base = root.rstrip("/") + "/"
+
+    def below(path: Column, base: str) -> Column:
+        base = base.rstrip("/") + "/"
+        name = F.element_at(F.split(path, "/"), -1)
+        return F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(name)
+
+    # the listed path, in which characters are escaped; a filter on it prunes the listing
+    listed = F.regexp_replace("_metadata.file_path", "^file:/*", "/")
+    raw = raw.where(~is_skipped(below(listed, quote(place, safe="/:@")), skip_dirs))
     path = F.regexp_replace(F.col("path"), "^file:/*", "/")
-    rel = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path)
+    rel = below(path, place)
+    if project_depth:
+        parts = F.split(rel, "/")
+        project = F.array_join(F.slice(parts, 1, project_depth), "/")
+        repo, home = project, F.concat(F.lit(place.rstrip("/") + "/"), project)
+        rel = F.array_join(F.slice(parts, project_depth + 1, 1 << 30), "/")
+    else:
+        repo, home = F.lit(repo_id), F.lit(root)
     name = F.element_at(F.split(path, "/"), -1)
     ext = extension_of(name)
     return raw.select(
         F.xxhash64(path).alias("file_id"),
-        F.lit(repo_id).alias("repo_id"),
-        F.lit(root).alias("root"),
+        repo.alias("repo_id"),
+        home.alias("root"),
         path.alias("path"),
         rel.alias("rel_path"),
         name.alias("file_name"),
         ext.alias("ext"),
         language_of(name, ext).alias("language"),
         F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
-    )
+    ).where(F.col("rel_path") != "")
 
 
 def snippet_table(spark: SparkSession) -> DataFrame:
@@ -115,8 +150,18 @@ def _attached(mode: Column, head: Column, text: Column) -> Column:
     )
 
 
+def _content(mode: Column, head: Column, text: Column) -> Column:
+    """What the file of a document holds; it depends on the text, whatever the head.
+
+    A document without text is an empty file.  One text in four, told by its digest,
+    stands in its file bare, so its lines are read as code, entries or manifest lines.
+    """
+    bare = (text == "") | F.substring(F.md5(text.cast("binary")), 1, 1).isin("0", "4", "8", "c")
+    return F.when(bare, text).otherwise(_attached(mode, head, text))
+
+
 def corpus_from_documents(documents: DataFrame) -> DataFrame:
-    """One file per document: a literal head and the document's whole text.
+    """One file per document: its whole text, mostly below or inside a literal head.
 
     The list of heads has a fixed size, so it is broadcast; the documents are
     read once and never shuffled.
@@ -139,7 +184,7 @@ def corpus_from_documents(documents: DataFrame) -> DataFrame:
         F.col("name").alias("file_name"),
         ext.alias("ext"),
         language_of(F.col("name"), ext).alias("language"),
-        _attached(F.col("mode"), F.col("head"), F.coalesce("text", F.lit(""))).alias("content"),
+        _content(F.col("mode"), F.col("head"), F.coalesce("text", F.lit(""))).alias("content"),
     )
 
 

@@ -32,7 +32,11 @@ def rule_hit_rows(files: DataFrame) -> DataFrame:
 
 
 def injection_literal_rows(files: DataFrame) -> DataFrame:
-    """One row per steering string literal; a line with two of them gives two rows."""
+    """One row per steering string literal; a line with two of them gives two rows.
+
+    ``detected_at`` is the time at which the file arrived, that is of its micro-batch, so
+    whatever order files land in, none is late.
+    """
     wanted = files.where(
         F.col("ext").isin(*INJECTION_EXTENSIONS) & is_injection(F.col("content"))
     )
@@ -41,17 +45,22 @@ def injection_literal_rows(files: DataFrame) -> DataFrame:
         F.lit("prompt-injection-text").alias("rule_id"),
         F.col("path").alias("file_path"),
         (F.col("pos") + 1).alias("line"),
-        F.timestamp_seconds(F.lit(1700000000) + F.col("file_id")).alias("detected_at"),
+        F.current_timestamp().alias("detected_at"),
         F.explode(literals_of(F.col("col"), F.col("ext"))).alias("literal"),
     )
     return literals.where(is_injection(F.col("literal")))
 
 
-def deduplicate_stream(findings: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """First finding per key; state is kept only as long as the watermark allows late rows."""
-    return findings.withWatermark("detected_at", delay).dropDuplicatesWithinWatermark(
-        ["rule_id", "file_path", "line"]
-    )
+def deduplicate_stream(findings: DataFrame, delay: str | None = "1 day") -> DataFrame:
+    """First finding per key; a key is forgotten ``delay`` after it was last found.
+
+    Without a delay keys are kept for good, and the stream equals a batch over everything
+    that has landed.
+    """
+    keys = ["rule_id", "file_path", "line"]
+    if delay is None:
+        return findings.dropDuplicates(keys)
+    return findings.withWatermark("detected_at", delay).dropDuplicatesWithinWatermark(keys)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:

@@ -108,11 +108,12 @@ def _files() -> str:
       SELECT d.doc_id AS file_id, d.source AS repo_id,
              d.source || '/p' || CAST(d.doc_id // {20 * N} AS VARCHAR) AS root,
              s.dir || s.name AS rel_path, s.name AS file_name,
+             CASE WHEN text = '' OR substr(md5(text), 1, 1) IN ('0', '4', '8', 'c') THEN text ELSE
              CASE mode WHEN 'hash' THEN {commented('# ')}
                        WHEN 'slash' THEN {commented('// ')}
                        WHEN 'dash' THEN {commented('-- ')}
                        WHEN 'json' THEN replace(head, '@TEXT@', {quoted})
-                       ELSE head || text END AS content
+                       ELSE head || text END END AS content
       FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) d
       JOIN snippets s ON ((d.doc_id % {N}) + {N}) % {N} = s.snippet_id)
     """
@@ -307,8 +308,9 @@ def _direct() -> str:
 
 def _params() -> str:
     text = part("header", signals.PARAMETERS, 1)
-    for _ in range(3):
-        text = swap(text, r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}", "")
+    brackets = f"length({text}) - length(translate({text}, '([{{', ''))"
+    inner = swap("a", r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}", "")
+    text = f"list_reduce([{text}] || list_transform(range({brackets}), lambda i: ''), lambda a, b: {inner})"
     return f"""
     WITH items AS (
       SELECT file_id, line, list_transform(string_split({text}, ','), lambda p: {strip('p')}) AS items
@@ -690,11 +692,15 @@ def _rule_matches() -> str:
 
 def _located(matches: str) -> str:
     return f"""
-    WITH found AS (
+    WITH split_at AS (
       SELECT h.file_id, f.repo_id, f.path, f.language, h.n, h.text, r.*,
-             regexp_extract(h.text, '(?s)^(.*?)(?:' || r.pos_regex || ')', 1) AS pre,
-             {strip('regexp_extract(h.text, r.pos_regex)')} AS matched
-      FROM {matches} h JOIN rules r USING (rule_id) JOIN source f USING (file_id))
+             CASE WHEN r.pos_regex = '' THEN [''] ELSE regexp_extract_all(h.text, r.pos_regex) END AS hits,
+             CASE WHEN r.pos_regex = '' THEN [''] ELSE regexp_split_to_array(h.text, r.pos_regex) END AS gaps
+      FROM {matches} h JOIN rules r USING (rule_id) JOIN source f USING (file_id)),
+    numbered AS (SELECT *, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM split_at),
+    found AS (
+      SELECT *, {strip('hit')} AS matched, array_to_string(list_transform(range(1, i + 1),
+             lambda j: gaps[j] || CASE WHEN j < i THEN hits[j] ELSE '' END), '') AS pre FROM numbered)
     SELECT file_id, repo_id, path, language, rule_id, severity, category, cwe, message, fix_guidance,
            n, text, (n + {newlines('pre')})::BIGINT AS line,
            length(string_split(pre, chr(10))[-1]) + 1 AS col,
@@ -707,11 +713,11 @@ def _located(matches: str) -> str:
 
 
 def _secret_lines() -> str:
-    value = part("raw", secrets.NAMED_VALUE, 2)
+    values = parts("raw", secrets.NAMED_VALUE, 2)
     tokens = parts("raw", secrets.QUOTED_TOKEN, 1)
     return f"""
     SELECT l.file_id, l.n AS line FROM lines l
-    WHERE ({has('raw', secrets.NAMED_VALUE)} AND NOT {has(value, k.PLACEHOLDER)})
+    WHERE len(list_filter({values}, lambda v: NOT {has('v', k.PLACEHOLDER)})) > 0
        OR len(list_filter({tokens}, lambda t: {entropy('t')} > {k.TOKEN_ENTROPY_LIMIT}
               AND NOT {has('t', k.PLACEHOLDER)})) > 0
     """
@@ -726,7 +732,7 @@ def _env_entries() -> str:
              generate_subscripts({split_lines('content')}, 1) AS line
       FROM files WHERE rel_path = file_name AND file_name IN {in_list(k.ENV_FILES)})
     SELECT repo_id, file_id, path, line, {part(text, k.ENV_ENTRY, 1)} AS key, {value} AS value
-    FROM l WHERE line <= {k.ENV_MAX_LINES} AND {has(text, k.ENV_ENTRY)}
+    FROM l WHERE {has(text, k.ENV_ENTRY)}
     """
 
 

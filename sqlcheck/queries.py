@@ -204,12 +204,14 @@ add("finding_explanations",
     "FROM rule_findings f LEFT JOIN labels l ON l.doc_id = f.file_id", "rule_findings")
 _FIXED = (
     "SELECT l.file_id, l.n, CASE WHEN h.line IS NULL THEN l.raw "
-    "ELSE 'fixed(1)' || chr(10) || 'fixed(2)' END AS raw FROM lines l "
+    "ELSE 'fixed(1)' || chr(10) || 'fixed(2)' END "
+    "|| coalesce(regexp_extract_all(f.content, '\\r\\n|\\n|\\r')[l.n], '') AS raw "
+    "FROM lines l JOIN source f USING (file_id) "
     "LEFT JOIN (SELECT DISTINCT file_id, line FROM placed) h ON h.file_id = l.file_id AND h.line = l.n "
     "WHERE l.file_id IN (SELECT file_id FROM placed)")
 add("apply_line_fixes",
     "SELECT file_id, path, length(t) AS n_chars, md5(t) AS digest FROM (SELECT file_id, "
-    f"string_agg(raw, chr(10) ORDER BY n) || chr(10) AS t FROM ({_FIXED}) GROUP BY 1) "
+    f"string_agg(raw, '' ORDER BY n) AS t FROM ({_FIXED}) GROUP BY 1) "
     "JOIN source USING (file_id)", "lines", "placed", "source")
 add("fix_diff_rows",
     "SELECT f.path AS file_path, l.n AS line, x.mark, x.seq::BIGINT AS seq, coalesce(x.text, l.raw) AS text "

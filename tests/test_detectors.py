@@ -52,10 +52,11 @@ def test_env_secrets_and_targets(make_files):
     assert rule_lines(envfiles.env_findings(files)) == [("env-exposed-secret", ".env", 1)]
 
 
-def test_env_first_200_lines_only(make_files):
+def test_env_lines(make_files):
     files = make_files([(".env", "A=1\n" * 200 + ENV)])
-    assert envfiles.env_secrets(files).count() == 0
-    assert envfiles.env_entries(files).count() == 200
+    assert envfiles.env_entries(files).where("line > 200").count() == ENV.count("\n")
+    assert envfiles.env_secrets(files).count() == 1
+    assert envfiles.env_entries(files, max_lines=200).count() == 200
 
 
 @pytest.mark.parametrize("pattern,covered", [
@@ -74,25 +75,21 @@ def test_ignore_file_of_another_project_does_not_count(make_files):
     assert envfiles.env_not_ignored(here.unionByName(there)).count() == 1
 
 
-def matches(rel, name, pattern):
-    p = pattern.rstrip("/")
-    return (
-        p in (rel, name)
-        or (p.endswith("/*") and rel.startswith(p[:-2] + "/"))
-        or rel.startswith(p + "/")
-        or (p.startswith("*") and rel.endswith(p[1:]))
-    )
+CONFIGS = {".cursor/mcp.json", ".mcp.json", "a/b/mcp-x.json", "a/MyMcp.json"}
 
 
-@pytest.mark.parametrize("pattern", [
-    ".cursor", ".cursor/", ".cursor/*", "*.json", "*", "mcp.json", ".cursor/mcp.json", "cursor/*",
-    "*sor/mcp.json", "tools", "a/*", "*.env", ".mcp.json", "a/b", "a/b/*",
+@pytest.mark.parametrize("pattern,covered", [
+    (".cursor", {".cursor/mcp.json"}), (".cursor/", {".cursor/mcp.json"}),
+    (".cursor/*", {".cursor/mcp.json"}), ("*.json", CONFIGS), ("*", CONFIGS),
+    ("mcp.json", {".cursor/mcp.json"}), (".cursor/mcp.json", {".cursor/mcp.json"}),
+    ("cursor/*", set()), ("*sor/mcp.json", {".cursor/mcp.json"}), ("tools", set()),
+    ("a/*", {"a/b/mcp-x.json", "a/MyMcp.json"}), ("*.env", set()), (".mcp.json", {".mcp.json"}),
+    ("a/b", {"a/b/mcp-x.json"}), ("a/b/*", {"a/b/mcp-x.json"}),
 ])
-def test_config_ignored_equals_brute_force(make_files, pattern):
-    paths = [".cursor/mcp.json", ".mcp.json", "a/b/mcp-x.json", "a/MyMcp.json"]
-    files = make_files([(p, "{}") for p in paths] + [(".gitignore", pattern + "\n")])
+def test_config_ignored(make_files, pattern, covered):
+    files = make_files([(p, "{}") for p in sorted(CONFIGS)] + [(".gitignore", pattern + "\n")])
     got = {r.rel_path for r in agentconfig.config_not_ignored(files).collect()}
-    assert got == {p for p in paths if not matches(p, p.split("/")[-1], pattern)}
+    assert got == CONFIGS - covered
 
 
 def test_config_discovery(make_files):
@@ -102,35 +99,23 @@ def test_config_discovery(make_files):
     assert got == set(names) - {"package.json", "mcp.yaml"}
 
 
-def walk(obj, key="", depth=0):
-    if depth > 20:
-        return
-    if isinstance(obj, dict):
-        for k, v in obj.items():
-            yield from walk(v, k, depth + 1)
-    elif isinstance(obj, list):
-        for v in obj:
-            yield from walk(v, key, depth + 1)
-    elif isinstance(obj, str):
-        yield key, obj
-
-
-def nested(depth):
-    value = "leaf"
-    for i in range(depth):
-        value = {f"k{i}": value} if i % 3 else [value]
-    return value
-
-
-def test_config_walk_equals_brute_force(make_files):
-    docs = [
-        {"a": "x", "b": ["y", ["z", {"c": "w"}]], "d": 5, "e": None, "f": True, "g": {}},
-        ["p", {"q": "r"}], "alone", 7, nested(19), nested(20), nested(21), nested(30),
-        {"dotted.key": {"sp ace": "v", "ünï": "ö"}},
+def test_config_strings(make_files):
+    cases = [
+        ('{"a": "x", "b": ["y", ["z", {"c": "w"}]], "d": 5, "e": null, "f": true, "g": {}}',
+         [("a", "x"), ("b", "y"), ("b", "z"), ("c", "w")]),
+        ('["p", {"q": "r"}]', [("", "p"), ("q", "r")]),
+        ('"alone"', [("", "alone")]),
+        ("7", []),
+        ('{"dotted.key": {"sp ace": "v", "ünï": "ö"}}', [("sp ace", "v"), ("ünï", "ö")]),
+        ('{"k": ' * 20 + '"leaf"' + "}" * 20, [("k", "leaf")]),
+        ('{"k": ' * 21 + '"leaf"' + "}" * 21, []),
+        ("{bad", []),
     ]
-    files = make_files([(f"d{i}/mcp.json", json.dumps(d)) for i, d in enumerate(docs)] + [("mcp.json", "{bad")])
+    files = make_files([(f"d{i}/mcp.json", text) for i, (text, _) in enumerate(cases)])
     got = sorted((r.file_id, r.key, r.value) for r in agentconfig.config_strings(files).collect())
-    assert got == sorted((i, k, v) for i, d in enumerate(docs) for k, v in walk(d))
+    assert got == sorted((i, k, v) for i, (_, found) in enumerate(cases) for k, v in found)
+    deeper = agentconfig.config_strings(files, max_depth=25).where("value = 'leaf'")
+    assert deeper.count() == 2
 
 
 def test_repeated_key_takes_its_last_value(make_files):
