@@ -1,5 +1,6 @@
 """Environment files, agent configurations, dependencies, secrets, injection texts, sources."""
 
+import json
 import os
 
 import pytest
