@@ -106,20 +106,15 @@ def members(docs: DataFrame) -> DataFrame:
 def first_shingles(docs: DataFrame, n_buckets: int) -> DataFrame:
     """The first shingles, in hash order, of every document's set, packed by bucket."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            pending: dict[int, np.ndarray] = {}
-            size = 0
             for _, words in words_of(batch.column("text"), NONBLANK):
                 for codes in set_codes(words):
                     if len(codes):
-                        first = codes[:first_length(len(codes))[0]]
-                        if pending.setdefault(set_id(codes), first) is first:
-                            size += len(first)
-                if size > 1 << 19:
-                    yield from packed(list(pending.items()), n_buckets)
-                    pending, size = {}, 0
-            yield from packed(list(pending.items()), n_buckets)
+                        yield set_id(codes), codes[:first_length(len(codes))[0]]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(firsts(batches), n_buckets)
 
     return docs.select("text").mapInArrow(cut, PACKED)
 
@@ -146,16 +141,13 @@ def candidate_sets(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
 
 
 def repacked(sets: DataFrame, n_buckets: int) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            pending, size = [], 0
             for key, codes in zip(batch.column("set_id").to_pylist(), batch.column("codes")):
-                pending.append((key, np.frombuffer(codes.as_buffer(), np.uint64)))
-                size += len(pending[-1][1])
-                if size > 1 << 19:
-                    yield from packed(pending, n_buckets)
-                    pending, size = [], 0
-            yield from packed(pending, n_buckets)
+                yield key, np.frombuffer(codes.as_buffer(), np.uint64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from packed(each(batches), n_buckets)
 
     return sets.select("set_id", "codes").mapInArrow(cut, PACKED)
 
@@ -400,10 +392,8 @@ def set_labels(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     if not total:
         return None
     buckets = bucket_count(docs.sparkSession, total * 3 // 10)
-    counted = shared_codes(first_shingles(docs, buckets)).select(
-        "set_id", F.size("codes").alias("shared")
-    )
-    held = counted.groupBy("set_id").agg(F.sum("shared").alias("shared"))
+    counted = shared_codes(first_shingles(docs, buckets), with_codes=False)
+    held = counted.groupBy("set_id").agg(F.max("shared").alias("shared"))
     sizes = classes.filter("n > 0").select("set_id", "n").distinct()
     many = F.greatest(F.lit(1), F.floor(F.col("n") / 10))
     chosen = held.join(sizes, "set_id").filter(F.col("shared") >= many).select("set_id", "n")
@@ -413,12 +403,8 @@ def set_labels(docs: DataFrame, classes: DataFrame) -> DataFrame | None:
     picked = written(picked.join(chosen.select("set_id"), "set_id", "left_semi"), "jaccard-sets")
     size = chosen.agg(F.sum("n").alias("n")).first().n or 0
     shared = shared_codes(repacked(picked, bucket_count(docs.sparkSession, size)))
-    gathered = shared.groupBy("set_id").agg(
-        F.flatten(F.collect_list("codes")).alias("codes"),
-        F.flatten(F.collect_list("held")).alias("held"),
-    )
-    # at most one list a bucket and set, of the set's own shingles
-    sets = written(prefixes(gathered.join(chosen, "set_id")), "jaccard-prefixes")
+    shared = written(shared.drop("shared"), "jaccard-shared")  # one Python step a stage
+    sets = written(prefixes(shared.join(chosen, "set_id")), "jaccard-prefixes")
     entries = sets.select("set_id", F.explode("prefix").alias("code"))
     met = entries.groupBy("code").agg(F.min("set_id").alias("leader"), F.count("*").alias("sets"))
     entries = entries.join(met.filter("sets > 1").select("code", "leader"), "code")
