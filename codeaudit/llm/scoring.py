@@ -36,8 +36,8 @@ from codeaudit.llm.tokens import NONBLANK, scramble, words_of
 
 ORDER = 3
 BACKOFF = 0.4
-#: Words of a block, and n-grams that a bucket holds on average.
-BLOCK_WORDS = 2_000_000
+#: Words of a block (a task holds some hundred bytes for each), and n-grams that a bucket holds on average.
+BLOCK_WORDS = 500_000
 BUCKET = 1 << 21
 
 _LOW = np.uint64((1 << 48) - 1)
