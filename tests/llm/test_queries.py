@@ -197,3 +197,66 @@ def test_jaccard_blocks_lose_no_link(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     got = jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == brute_components(rows)
+
+
+def brute_targets(sizes):
+    """Targets by raising the level until the budget is used, source by source."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    left, open_, target = sum(sizes.values()) * 1.5, set(names), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if weight[s] * level > 2 * sizes[s]]
+        for s in over or open_:
+            target[s] = 2 * sizes[s] if over else weight[s] * level
+        left -= sum(target[s] for s in over)
+        open_ = open_ - set(over) if over else set()
+    return target
+
+
+def brute_mix(rows):
+    """(doc_id, text) of every copy, from (doc_id, source, text)."""
+    queues, out = defaultdict(list), []
+    for i, source, text in rows:
+        queues[source].append((hashlib.md5(f"mix-1|{i}".encode()).hexdigest(), i, text))
+    target = brute_targets({s: sum(len(words(t)) for _, _, t in q) for s, q in queues.items()})
+    for source, queue in queues.items():
+        left = int(target[source] + 1e-9)
+        for _, i, text in sorted(queue) * 2:
+            n = min(left, len(words(text)))
+            if n:
+                ends = [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+                out.append((i, text if n == len(ends) else text[:ends[n - 1]]))
+            left -= n
+    return out
+
+
+def test_pipeline_equals_brute_force(spark, duck, documents):
+    kept = {i for i, ok in duck.sql(f"SELECT doc_id, kept FROM ({SQL['op7_quality']})").fetchall() if ok}
+    docs = [d for d in documents if d["doc_id"] in kept]
+    first = brute_components([(d["doc_id"], d["text"]) for d in docs])
+    docs = [d for d in docs if first[d["doc_id"]] == d["doc_id"]]
+    windows = set()
+    for (text,) in duck.sql("SELECT text FROM benchmark").fetchall():
+        w = letters(text)
+        n = min(13, len(w))
+        windows |= {tuple(w[k:k + n]) for k in range(len(w) - n + 1) if n}
+    lengths = {len(w) for w in windows}
+
+    def is_clean(text):
+        w, hit = letters(text), set()
+        for n in lengths:
+            for k in range(len(w) - n + 1):
+                if tuple(w[k:k + n]) in windows:
+                    hit.update(range(k, k + n))
+        return not hit or 20 * len(hit) < len(w)
+
+    docs = [d for d in docs if is_clean(d["text"])]
+    mixed = brute_mix([(d["doc_id"], d["source"], d["text"]) for d in docs])
+    want = Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in mixed)
+    rows = entry_module.queries()["pipeline"](spark, SF).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
+    places = defaultdict(list)
+    for r in rows:
+        places[r.shard].append(r.slot)
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
