@@ -228,6 +228,34 @@ def test_passages_near_copies(spark):
     assert got == [(1, "70-149", 2), (2, "20-99", 1), (3, "", None), (4, "", None)]
 
 
+def met(*rows):
+    return [(1, 2, 1 << fn, at, at + 60, at - shift, at - shift + 60, shift) for fn, at, shift in rows]
+
+
+def test_passage_bands_overlap(spark):
+    """Matches on both sides of every multiple of a cell are counted together."""
+    schema = "a long, b long, fns int, l int, r int, bl int, br int, shift int"
+    for border in range(-64, 65, 16):
+        rows = met((0, 100, border - 1), (1, 110, border - 1), (2, 130, border))
+        (got,) = passages.banded(spark.createDataFrame(rows, schema)).collect()
+        assert got.shift <= border - 1 and border < got.shift + passages.BAND
+        assert (got.a_lo, got.a_hi) == (100, 190)
+    assert passages.banded(spark.createDataFrame(met((0, 1, 5), (1, 1, 5), (2, 1, 90)), schema)).count() == 0
+    assert passages.banded(spark.createDataFrame(met((0, 1, 5), (1, 1, 5), (2, 1, 5)), schema)).count() == 1
+
+
+def test_passage_insertion_across_a_band_border(spark):
+    """A word put in where the shift goes from 31 to 32."""
+    rows = []
+    for g in range(40):
+        passage = [f"p{g}x{i}" for i in range(56)]
+        rows.append((2 * g, " ".join(passage + [f"z{g}"])))
+        own = [f"o{g}x{i}" for i in range(31)]
+        rows.append((2 * g + 1, " ".join(own + passage[:28] + ["new"] + passage[28:])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert passages.repeats(docs).filter("n_repeat_words >= 50").count() >= 76
+
+
 def test_scoring(docs, none, spark):
     rows = by_id(scoring.score(docs), "n_words", "log_score")
     assert (2, 0, None) in rows and (None, 0, None) in rows
