@@ -3,6 +3,7 @@
 import hashlib
 from base64 import b32encode
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,6 +257,15 @@ def test_passage_insertion_across_a_band_border(spark):
     assert passages.repeats(docs).filter("n_repeat_words >= 50").count() >= 76
 
 
+def test_windows_of_texts_longer_than_their_places(monkeypatch):
+    code = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
+    row = np.repeat([0, 1], [4000, 1000])
+    want = passages.compact_windows(code, row, 2)
+    monkeypatch.setattr(passages, "_PLACE", 8)
+    got = passages.compact_windows(code, row, 2)
+    assert all((x == y).all() for x, y in zip(got, want, strict=True))
+
+
 def test_scoring(docs, none, spark):
     rows = by_id(scoring.score(docs), "n_words", "log_score")
     assert (2, 0, None) in rows and (None, 0, None) in rows
