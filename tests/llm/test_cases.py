@@ -229,32 +229,37 @@ def test_passages_near_copies(spark):
     assert got == [(1, "70-149", 2), (2, "20-99", 1), (3, "", None), (4, "", None)]
 
 
-def met(*rows):
-    return [(1, 2, 1 << fn, at, at + 60, at - shift, at - shift + 60, shift) for fn, at, shift in rows]
+def test_passages_among_holders_that_are_not_the_ends(spark):
+    """Sixty wordings of a passage, each in two texts; most holders of a min-hash have another."""
+    rows = []
+    for g in range(60):
+        passage = [f"p{i}" for i in range(60)]
+        for at in (5 + g % 25, 33 + g % 22):
+            passage[at] = f"w{g}x{at}"
+        for side in "ab":
+            own = [f"{side}{g}x{i}" for i in range(20)]
+            rows.append((2 * g + (side == "b"), " ".join(own + passage + [f"end{g}{side}"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = by_id(passages.repeats(docs), "spans")
+    assert sum(s == "20-79" for _, s in spans) >= 0.95 * len(spans)
 
 
 def test_passage_bands_overlap(spark):
     """Matches on both sides of every multiple of a cell are counted together."""
-    schema = "a long, b long, fns int, l int, r int, bl int, br int, shift int"
-    for border in range(-64, 65, 16):
-        rows = met((0, 100, border - 1), (1, 110, border - 1), (2, 130, border))
-        (got,) = passages.banded(spark.createDataFrame(rows, schema)).collect()
-        assert got.shift <= border - 1 and border < got.shift + passages.BAND
-        assert (got.a_lo, got.a_hi) == (100, 190)
-    assert passages.banded(spark.createDataFrame(met((0, 1, 5), (1, 1, 5), (2, 1, 90)), schema)).count() == 0
-    assert passages.banded(spark.createDataFrame(met((0, 1, 5), (1, 1, 5), (2, 1, 5)), schema)).count() == 1
 
+    def aligned(*matches):
+        rows = []
+        for fn, (at, shift) in enumerate(matches):
+            rows += [(1, fn, fn, at, at + 20, at + 60), (2, fn, fn, at - shift, at - shift + 20, at - shift + 60)]
+        windows = spark.createDataFrame(rows, "text_id long, key long, fn int, l int, c int, r int")
+        return passages.alignments(windows).filter("a = 1").collect()
 
-def test_passage_insertion_across_a_band_border(spark):
-    """A word put in where the shift goes from 31 to 32."""
-    rows = []
-    for g in range(40):
-        passage = [f"p{g}x{i}" for i in range(56)]
-        rows.append((2 * g, " ".join(passage + [f"z{g}"])))
-        own = [f"o{g}x{i}" for i in range(31)]
-        rows.append((2 * g + 1, " ".join(own + passage[:28] + ["new"] + passage[28:])))
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert passages.repeats(docs).filter("n_repeat_words >= 50").count() >= 76
+    for border in (-32, 0, 16, 32, 48):
+        (got,) = aligned((100, border - 1), (110, border - 1), (130, border))
+        assert got.shift <= border - 1 and border < got.shift + passages.BAND
+        assert (got.a_lo, got.a_hi) == (100, 190)
+    assert not aligned((100, 5), (110, 5), (130, 90))
+    assert len(aligned((100, 5), (110, 5), (130, 5))) == 1
 
 
 def test_windows_of_texts_longer_than_their_places(monkeypatch):
