@@ -3,8 +3,8 @@
 A line is normalised (lower case, runs of blanks to one blank, digits to 0) and hashed.
 For each host (``source``) the distinct texts that hold the line are counted; a line in
 more than ``MAX_LINE_SHARE`` of the host's distinct texts, and in more than
-``MIN_LINE_TEXTS`` of them, is boilerplate and removed.  A document is depleted, and
-rejected, when less than ``MIN_LEFT_SHARE`` of its words are left.
+``MIN_LINE_TEXTS`` of them, is boilerplate; ``clean`` removes it from the texts.  A document
+is depleted, and rejected, when less than ``MIN_LEFT_SHARE`` of its words are left.
 
 Texts, not rows, are counted: a document copied ten thousand times is one text, so copies
 neither make their own lines frequent nor are they rejected for being copies; that is for
@@ -149,8 +149,12 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.groupBy("host", "text_key").agg(F.first("lines").alias("lines"))
 
 
-def depleted(docs: DataFrame) -> DataFrame:
-    """(host, text_key) of the texts that lose too many words with their host's frequent lines."""
+def losses(docs: DataFrame) -> DataFrame:
+    """(host, text_key, frequent, depleted) of the texts with frequent lines of their host.
+
+    ``frequent`` has the hashes of these lines; a text is depleted that loses too many
+    words with them.
+    """
     texts = written(line_table(docs), "quality-lines")
     per_host = texts.groupBy("host").agg(F.count("*").alias("texts"))
     lines = texts.select("host", F.explode(F.array_distinct("lines.line")).alias("line"))
@@ -165,16 +169,22 @@ def depleted(docs: DataFrame) -> DataFrame:
     # a text without any frequent line loses nothing, so an inner join is enough
     lost = (
         each.join(frequent, ["host", "line"])
-        .groupBy("host", "text_key").agg(F.sum("words").alias("lost"))
+        .groupBy("host", "text_key")
+        .agg(F.sum("words").alias("lost"), F.collect_set("line").alias("frequent"))
     )
     total = F.aggregate("lines.words", F.lit(0).cast("long"), lambda a, x: a + x)
+    few = F.col("n_words") - F.col("lost") < F.col("n_words") * MIN_LEFT_SHARE
     return (
         lost.join(texts.select("host", "text_key", total.alias("n_words")), ["host", "text_key"])
-        .filter(F.col("n_words") - F.col("lost") < F.col("n_words") * MIN_LEFT_SHARE)
-        .select("host", "text_key")
+        .select("host", "text_key", "frequent", few.alias("depleted"))
     )
 
 
+def depleted(docs: DataFrame) -> DataFrame:
+    """(host, text_key) of the texts that lose too many words with their host's frequent lines."""
+    return losses(docs).filter("depleted").select("host", "text_key")
+
+
 def judged(docs: DataFrame, carried: DataFrame) -> DataFrame:
     """``carried`` rows of ``docs`` with the base counts and ``kept``."""
     host, key, rejected = (free_name(docs, n) for n in ("host", "text_key", "rejected"))
@@ -194,6 +204,31 @@ def keep(docs: DataFrame) -> DataFrame:
     return passing.join(bad, [host, key], "left_anti").select(docs.columns)
 
 
+def clean(docs: DataFrame) -> DataFrame:
+    """The documents that pass, their texts without the frequent lines of their host.
+
+    All other lines stay as they are, blank ones too; ``n_chars``, where there is one, is the
+    length of a text that lost lines.  The text rules judge the full text.
+    """
+    host, key, frequent, bad = (free_name(docs, n) for n in ("host", "text_key", "frequent", "depleted"))
+    passing = _passing(docs.withColumns({host: host_of("source"), key: text_key()}))
+    lost = losses(docs).select(
+        F.col("host").alias(host), F.col("text_key").alias(key),
+        F.col("frequent").alias(frequent), F.col("depleted").alias(bad),
+    )
+    rows = passing.join(lost, [host, key], "left").filter(~F.coalesce(bad, F.lit(False)))
+    left = F.filter(
+        F.split("text", "\n"),
+        lambda x: ~(x.rlike(rf"[^{BLANK}]") & F.array_contains(F.col(frequent), F.xxhash64(normal_line(x)))),
+    )
+    hit = F.col(frequent).isNotNull()
+    rows = rows.withColumn("text", F.when(hit, F.array_join(left, "\n")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        length = F.when(hit, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", length.cast(docs.schema["n_chars"].dataType))
+    return rows.select(docs.columns)
+
+
 def _passing(docs: DataFrame) -> DataFrame:
     whole = free_name(docs, "whole_row")
     rows = docs.select(F.struct(*docs.columns).alias(whole), F.col("text"))

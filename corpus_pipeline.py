@@ -17,8 +17,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the text rules and are not depleted of their host's frequent lines."""
-    return quality.keep(docs)
+    """Documents that pass the text rules and are not depleted, without their host's frequent lines."""
+    return quality.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

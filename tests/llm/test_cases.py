@@ -69,6 +69,21 @@ def test_frequent_lines_deplete(spark):
     assert kept == {100 + i for i in range(20)} | {200 + i for i in range(30)}
 
 
+def test_frequent_lines_are_removed(spark):
+    menu = "Home  About 12\tContact"
+    own = ["\n".join(" ".join(f"{'t' * (i + 1)}l{k}w{j}" for j in range(8)) for k in range(4)) for i in range(30)]
+    rows = [(i, f"{menu}\n{t}\n\n{menu.upper()}", "hot", 1) for i, t in enumerate(own[:20])]
+    rows += [(100 + i, f"{menu}\n{t}", "calm", 1) for i, t in enumerate(own[20:])]  # ten texts: not above the limit
+    rows += [(200, own[0] + " more", "hot", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    want = [(i, f"{t}\n", len(t) + 1) for i, t in enumerate(own[:20])]
+    want += [(100 + i, f"{menu}\n{t}", 1) for i, t in enumerate(own[20:])] + [(200, own[0] + " more", 1)]
+    for cleaned in (quality.clean(df), corpus_pipeline.STAGES[0][1](spark, df, "")):
+        assert cleaned.schema == df.schema
+        assert by_id(cleaned, "text", "n_chars") == sorted(want, key=str)
+    assert quality.clean(df.limit(0)).count() == 0
+
+
 def test_decontamination(docs, none, items):
     rows = by_id(decontaminate.report(docs, items), "n_words", "n_hit", "item_ids", "contaminated")
     assert rows.count((1, 60, 60, ["1"], True)) == 2
