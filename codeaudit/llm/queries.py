@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from codeaudit.llm import sql
 from codeaudit.llm.decontaminate import op1_decontamination
+from codeaudit.llm.interaction import op11_interaction
 from codeaudit.llm.jaccard import op9_jaccard
 from codeaudit.llm.licenses import op4_license
 from codeaudit.llm.mixing import op5_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_passages": op8_passages,
     "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
+    "op11_interaction": op11_interaction,
 }
 
 #: Patterns with places, min-hashes and edits of the slot map have no SQL form; tests hold
@@ -36,4 +38,5 @@ SQL = {
     "op5_mixing": sql.OP5,
     "op7_quality": sql.OP7,
     "op9_jaccard": sql.OP9,
+    "op11_interaction": sql.OP11,
 }

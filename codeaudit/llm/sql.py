@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LETTER_RUN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_RUN = r"[^\x20\x09-\x0D]+"
@@ -140,3 +142,37 @@ least AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d AS o O
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM d LEFT JOIN n USING (r) JOIN least USING (r)
 """
+
+_ORDERS = ", ".join(f"('{''.join(p)}')" for p in permutations("ABCDE"))
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '{WORD_RUN}') AS w FROM documents),
+e AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+        (CASE WHEN len(w) < 50 THEN 'A' ELSE '' END)
+        || (CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END)
+        || (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END)
+        || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END)
+        || (CASE WHEN doc_id > first THEN 'E' ELSE '' END) AS fails
+      FROM d JOIN e USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, good, toxic, count(*) AS n FROM f GROUP BY ALL),
+o AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS name, filter_order[1:step - 1] AS before
+      FROM (VALUES {_ORDERS}) AS v(filter_order), unnest(range(1, 6)) AS u(step)),
+x AS (SELECT part, filter_order, step, name, n, good, toxic, contains(fails, name) AS failed, fails = name AS alone,
+        length(translate(fails, before, '')) < length(fails) AS gone FROM c, o),
+s AS (SELECT part, filter_order, step, name,
+        CAST(sum(n) FILTER (NOT gone AND NOT failed) AS BIGINT) AS kept,
+        CAST(sum(n) FILTER (failed AND NOT gone) AS BIGINT) AS removed,
+        CAST(sum(n) FILTER (failed AND gone) AS BIGINT) AS redundant,
+        CAST(sum(n) FILTER (alone) AS BIGINT) AS unique_fails,
+        CAST(sum(n) FILTER (failed AND NOT gone AND good) AS BIGINT) AS good_lost,
+        CAST(sum(n) FILTER (failed AND NOT gone AND toxic) AS BIGINT) AS toxic_lost
+      FROM x GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0) AS removed,
+       coalesce(redundant, 0) AS redundant, coalesce(unique_fails, 0) AS unique_fails,
+       coalesce(good_lost, 0) AS good_lost, coalesce(toxic_lost, 0) AS toxic_lost,
+       CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, name) AS BIGINT) AS shapley
+FROM s
+"""
