@@ -8,6 +8,7 @@ from codeaudit.llm.interaction import op11_interaction
 from codeaudit.llm.jaccard import op9_jaccard
 from codeaudit.llm.licenses import op4_license
 from codeaudit.llm.mixing import op5_mixing
+from codeaudit.llm.negatives import op13_negatives
 from codeaudit.llm.passages import op8_passages
 from codeaudit.llm.quality import op7_quality
 from codeaudit.llm.scoring import op2_scoring
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
     "op11_interaction": op11_interaction,
+    "op13_negatives": op13_negatives,
 }
 
 #: Patterns with places, min-hashes and edits of the slot map have no SQL form; tests hold
@@ -39,4 +41,5 @@ SQL = {
     "op7_quality": sql.OP7,
     "op9_jaccard": sql.OP9,
     "op11_interaction": sql.OP11,
+    "op13_negatives": sql.OP13,
 }

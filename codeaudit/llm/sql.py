@@ -176,3 +176,21 @@ SELECT part, filter_order, step, coalesce(kept, 0) AS kept, coalesce(removed, 0)
        CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, name) AS BIGINT) AS shapley
 FROM s
 """
+
+OP13 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND vec_id IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT a.vec_id AS a, a.label = b.label AS same, b.vec_id AS b,
+        CAST(list_dot_product(a.e, b.e) AS BIGINT) AS score
+      FROM v AS a JOIN v AS b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)),
+pos AS (SELECT a, b, score FROM p WHERE same
+        QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+r AS (SELECT pos.a, pos.b, pos.score, p.b AS n, p.score AS n_score,
+        row_number() OVER (PARTITION BY pos.a, pos.b ORDER BY p.score DESC, p.b) AS rank
+      FROM pos JOIN p ON p.a = pos.a AND NOT p.same
+        AND 80 * pos.score <= 100 * p.score AND 100 * p.score <= 100 * pos.score)
+SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id,
+       score AS positive_score, n_score AS negative_score FROM r WHERE rank <= 5
+"""
