@@ -39,13 +39,15 @@ from codeaudit.llm.common import table
 
 SCALE = 256
 #: One-bit codes a row, and bit planes of a query.
-CODES, PLANES = 4, 6
+CODES, PLANES = 6, 8
 #: Rows of a block at most, and bytes of its integer vectors at most.
 BLOCK_ROWS, BLOCK_BYTES = 1 << 18, 64 << 20
 #: Rows a block has at least before work is cut into more blocks than memory asks for.
 SMALL_BLOCK = 4096
 #: Anchors and rows compared at once.
 ANCHOR_TILE, ROW_TILE = 128, 4096
+#: Pairs whose vectors are gathered at once.
+PAIRS = 1 << 16
 POSITIVES, NEGATIVES = 5, 5
 #: Bounds are widened by this share of the product of norms, far above rounding errors.
 SLACK = 1e-9
@@ -165,44 +167,43 @@ class Queries:
     def __len__(self) -> int:
         return len(self.ids)
 
+    def take(self, at: np.ndarray) -> Queries:
+        """Some of the anchors."""
+        part = object.__new__(Queries)
+        part.__dict__.update({name: held[at] for name, held in self.__dict__.items()})
+        return part
 
-def _inner(codes: np.ndarray, planes: np.ndarray, low, step, total, dim: int) -> np.ndarray:
-    """<code, query> for a code of +-1/sqrt(dim), by popcounts; the last axis holds the words."""
-    count = np.bitwise_count(codes).sum(-1, dtype=np.int32)
-    weighted = np.zeros(np.broadcast_shapes(codes.shape[:-1], planes.shape[:-2]), np.int32)
-    for j in range(PLANES):
-        weighted += np.bitwise_count(codes & planes[..., j, :]).sum(-1, dtype=np.int32) << j
-    return (2 * (low * count + step * weighted) - total) / np.sqrt(max(dim, 1))
-
-
-def _bounds(estimate, last, code_norm, rest, error, scale) -> tuple[np.ndarray, np.ndarray]:
-    """Least and largest score.  ``last`` is the query's part along the last code, to which
-    the rest is orthogonal; ``error`` is the norm of what the bit planes leave out."""
-    along = np.maximum(np.abs(last) - error, 0)
-    half = rest * np.sqrt(np.maximum(1 + SLACK - along * along, 0)) + code_norm * error + SLACK
-    return (estimate - half) * scale, (estimate + half) * scale
 
+def _inner(q: Queries, codes: np.ndarray, dim: int) -> np.ndarray:
+    """<code, query> (anchors x rows) for codes of +-1/sqrt(dim), by popcounts."""
+    count = np.bitwise_count(codes).sum(1, dtype=np.int32)
+    weighted = np.zeros((len(q), len(codes)), np.int32)
+    for j in range(PLANES):
+        for word in range(codes.shape[1]):
+            common = np.bitwise_count(q.planes[:, j, word, None] & codes[None, :, word])
+            weighted += common.astype(np.int32) << j
+    signed = 2 * (q.low[:, None] * count[None] + q.step[:, None] * weighted) - q.total[:, None]
+    return signed / np.sqrt(max(dim, 1))
 
-def first_bounds(q: Queries, b: Block, rows: slice) -> tuple[np.ndarray, np.ndarray]:
-    """Score intervals (anchors x rows) from the first code alone."""
-    codes, figures = b.codes[rows, 0], b.figures[rows]
-    s = _inner(
-        codes[None], q.planes[:, None], q.low[:, None], q.step[:, None], q.total[:, None], b.dim
-    )
-    aligned = figures[:, 1][None]
-    rest = np.sqrt(np.maximum(1 - aligned * aligned, 0))
-    return _bounds(s * aligned, s, aligned, rest, q.error[:, None], q.norm[:, None] * figures[:, 0][None])
 
+def bounds(q: Queries, b: Block, rows: np.ndarray | slice, n_codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Score intervals (anchors x rows) from the first ``n_codes`` codes.
 
-def pair_bounds(q: Queries, b: Block, at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score intervals of pairs from all codes."""
-    figures, planes = b.figures[row], q.planes[at]
-    estimate = s = np.zeros(len(at))
-    for k in range(CODES):
-        s = _inner(b.codes[row, k], planes, q.low[at], q.step[at], q.total[at], b.dim)
-        estimate = estimate + figures[:, 1 + k] * s
-    code_norm = figures[:, 1 : 1 + CODES].sum(1)
-    return _bounds(estimate, s, code_norm, figures[:, -1], q.error[at], q.norm[at] * figures[:, 0])
+    The rest is orthogonal to the last code, so the query's part along that code, less what
+    the bit planes leave out, is no part of the query's product with the rest.
+    """
+    codes, figures = b.codes[rows], b.figures[rows]
+    aligned = figures[:, 1 : 1 + n_codes]
+    estimate = 0
+    for k in range(n_codes):
+        along = _inner(q, codes[:, k], b.dim)
+        estimate = estimate + along * aligned[:, k]
+    rest = figures[:, -1] if n_codes == CODES else np.sqrt(np.maximum(1 - (aligned**2).sum(1), 0))
+    error = q.error[:, None]
+    off = np.sqrt(np.maximum(1 + SLACK - np.maximum(np.abs(along) - error, 0) ** 2, 0))
+    half = (rest + SLACK) * off + aligned.sum(1) * error + SLACK
+    scale = q.norm[:, None] * figures[:, 0]
+    return (estimate - half) * scale, (estimate + half) * scale
 
 
 def _scores(q: Queries, b: Block, at: np.ndarray, row: np.ndarray) -> np.ndarray:
@@ -230,28 +231,43 @@ class Search:
         self.floor = least.astype(np.float64)
         self.group, self.score, self.ids = (np.zeros(0, np.int64) for _ in range(3))
 
-    def _fits(self, low: np.ndarray, high: np.ndarray, at: np.ndarray | None = None) -> np.ndarray:
-        out = np.zeros(low.shape, bool)
-        for k in range(self.most.shape[1]):
-            most, floor = self.most[:, k], self.floor[:, k]
-            if at is None:
-                most, floor = most[:, None], floor[:, None]
-            else:
-                most, floor = most[at], floor[at]
-            out |= (low <= most) & (high >= floor)
-        return out
+    def _fits(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        most, floor = self.most, self.floor
+        return np.any(
+            [(low <= most[:, k, None]) & (high >= floor[:, k, None]) for k in range(most.shape[1])], axis=0
+        )
 
     def tile(self, b: Block, rows: slice, allowed: np.ndarray) -> None:
         """Rows of a tile, against the anchors that ``allowed`` (anchors x rows) names."""
-        low, high = first_bounds(self.q, b, rows)
-        at, row = np.nonzero(self._fits(low, high) & allowed)
-        row = row + rows.start
-        for i in range(0, len(at), 1 << 16):
-            a, r = at[i : i + (1 << 16)], row[i : i + (1 << 16)]
-            fits = self._fits(*pair_bounds(self.q, b, a, r), a)
-            a, r = a[fits], r[fits]
+        fits = self._fits(*bounds(self.q, b, rows, 1)) & allowed
+        open_ = np.flatnonzero(fits.any(0))
+        fits, row = fits[:, open_], np.arange(rows.start, rows.stop)[open_]
+        low, high = bounds(self.q, b, row, CODES)
+        self._raise(fits, low, high)
+        at, column = np.nonzero(fits & self._fits(low, high))
+        for i in range(0, len(at), PAIRS):
+            a, r = at[i : i + PAIRS], row[column[i : i + PAIRS]]
             self._add(a, _scores(self.q, b, a, r), b.ids[r])
 
+    def _raise(self, fits: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Lift the floors to the last of ``keep`` scores that rows sure to fit reach at least."""
+        if fits.shape[1] < self.keep:
+            return
+        for k in range(self.most.shape[1]):
+            sure = fits & (high <= self.most[:, k, None]) & (low >= self.least[:, k, None])
+            reached = np.where(sure, low, -np.inf)
+            last = np.partition(reached, -self.keep, axis=1)[:, -self.keep]
+            self.floor[:, k] = np.maximum(self.floor[:, k], last)
+
+    def _lift(self, group: np.ndarray, score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Places of the best rows of every group, whose floor they lift where they are enough."""
+        best = _best(group, score, ids, self.keep)
+        full, count = np.unique(group[best], return_counts=True)
+        enough, last = count == self.keep, np.cumsum(count) - 1
+        floor = self.floor.reshape(-1)
+        floor[full[enough]] = np.maximum(floor[full[enough]], score[best][last[enough]])
+        return best
+
     def _add(self, at: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         n = self.most.shape[1]
         new = [(self.group, self.score, self.ids)]
@@ -259,29 +275,33 @@ class Search:
             fits = (score <= self.most[at, k]) & (score >= self.least[at, k])
             new.append((at[fits] * n + k, score[fits], ids[fits]))
         group, score, ids = (np.concatenate(x) for x in zip(*new, strict=True))
-        best = _best(group, score, ids, self.keep)
+        best = self._lift(group, score, ids)
         self.group, self.score, self.ids = group[best], score[best], ids[best]
-        full, count = np.unique(self.group, return_counts=True)
-        last = np.cumsum(count)[count == self.keep] - 1
-        self.floor.reshape(-1)[full[count == self.keep]] = self.score[last]
+
+    def batch(self) -> pa.RecordBatch:
+        """What was found, as rows of FOUND."""
+        at, place = np.divmod(self.group, self.most.shape[1])
+        columns = [self.q.ids[at], self.q.akeys[at], place.astype(np.int32), self.ids, self.score]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x) for x in columns], names=["anchor_id", "akey", "place", "found_id", "score"]
+        )
 
 
 NO_LIMIT = 1 << 62
 
 
-def _positives(q: Queries, b: Block) -> Search:
-    n = len(q)
-    search = Search(q, np.full((n, 1), NO_LIMIT), np.full((n, 1), -NO_LIMIT), POSITIVES)
+def _positives(q: Queries, b: Block) -> Iterator[Search]:
     for label in np.unique(q.labels):
+        mine = q.take(np.flatnonzero(q.labels == label))
+        search = Search(mine, np.full((len(mine), 1), NO_LIMIT), np.full((len(mine), 1), -NO_LIMIT), POSITIVES)
         start, end = np.searchsorted(b.labels, [label, label + 1])
         for s in range(start, end, ROW_TILE):
             rows = slice(s, min(end, s + ROW_TILE))
-            other = q.ids[:, None] != b.ids[rows][None]
-            search.tile(b, rows, other & (q.labels == label)[:, None])
-    return search
+            search.tile(b, rows, mine.ids[:, None] != b.ids[rows][None])
+        yield search
 
 
-def _negatives(q: Queries, b: Block, positives: np.ndarray) -> Search:
+def _negatives(q: Queries, b: Block, positives: np.ndarray) -> Iterator[Search]:
     """``positives``: scores (anchors x POSITIVES), those missing below zero."""
     most = np.where(positives < 0, -1, positives)
     least = np.where(positives < 0, 0, -(-80 * positives // 100))  # of no use: most < least
@@ -289,7 +309,7 @@ def _negatives(q: Queries, b: Block, positives: np.ndarray) -> Search:
     for s in range(0, len(b.ids), ROW_TILE):
         rows = slice(s, min(len(b.ids), s + ROW_TILE))
         search.tile(b, rows, q.labels[:, None] != b.labels[rows][None])
-    return search
+    yield search
 
 
 def _arrays(batch: pa.RecordBatch, dim: int) -> dict[str, np.ndarray]:
@@ -304,7 +324,7 @@ def _arrays(batch: pa.RecordBatch, dim: int) -> dict[str, np.ndarray]:
     blobs = batch.column("ints").to_pylist()
     for kind, held in ((np.int16, small), (np.int64, ~small)):
         part = b"".join(blobs[i] for i in np.flatnonzero(held))
-        ints[held] = np.frombuffer(part, kind).reshape(-1, dim) if held.any() else 0
+        ints[held] = np.frombuffer(part, kind).reshape(int(held.sum()), dim)
     out["ints"] = ints
     out["codes"] = joined("codes", np.uint64).reshape(n, CODES, -1)
     out["figures"] = joined("figures", np.float64).reshape(n, CODES + 2)
@@ -339,17 +359,11 @@ def _meet(batches: Iterator[pa.RecordBatch], negatives: bool) -> Iterator[pa.Rec
                     scores = np.full((len(q), POSITIVES), -1, np.int64)
                     for i, known in enumerate(tile.column("scores").to_pylist()):
                         scores[i, : len(known)] = known
-                    found = _negatives(q, block, scores)
+                    searches = _negatives(q, block, scores)
                 else:
-                    found = _positives(q, block)
-                n = found.most.shape[1]
-                at = found.group // n
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (
-                        q.ids[at], q.akeys[at], (found.group % n).astype(np.int32), found.ids, found.score
-                    )],
-                    names=["anchor_id", "akey", "place", "found_id", "score"],
-                )
+                    searches = _positives(q, block)
+                for found in searches:
+                    yield found.batch()
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

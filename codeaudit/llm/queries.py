@@ -11,6 +11,7 @@ from codeaudit.llm.mixing import op5_mixing
 from codeaudit.llm.negatives import op13_negatives
 from codeaudit.llm.passages import op8_passages
 from codeaudit.llm.quality import op7_quality
+from codeaudit.llm.redirects import op12_urls
 from codeaudit.llm.scoring import op2_scoring
 from codeaudit.llm.secrets import op6_secrets
 from codeaudit.llm.sharding import op10_sharding
@@ -28,6 +29,7 @@ QUERIES = {
     "op9_jaccard": op9_jaccard,
     "op10_sharding": op10_sharding,
     "op11_interaction": op11_interaction,
+    "op12_urls": op12_urls,
     "op13_negatives": op13_negatives,
 }
 
@@ -41,5 +43,6 @@ SQL = {
     "op7_quality": sql.OP7,
     "op9_jaccard": sql.OP9,
     "op11_interaction": sql.OP11,
+    "op12_urls": sql.OP12,
     "op13_negatives": sql.OP13,
 }

@@ -194,3 +194,42 @@ r AS (SELECT pos.a, pos.b, pos.score, p.b AS n, p.score AS n_score,
 SELECT a AS anchor_id, b AS positive_id, CAST(rank AS INTEGER) AS rank, n AS negative_id,
        score AS positive_score, n_score AS negative_score FROM r WHERE rank <= 5
 """
+
+_URL_RULES = ", ".join(
+    f"('{v}', '{h}', '{p}')" for v, h, p in (
+        ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+        ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+    )
+)
+
+
+def _url_parts(url: str) -> str:
+    return (
+        f"translate(regexp_extract(coalesce({url}, ''), '://([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, "
+        f"regexp_extract(coalesce({url}, ''), '://[^/?#]*([^?#]*)', 1) AS path, "
+        f"regexp_extract(coalesce({url}, ''), '://[^?#]*([?][^#]*)', 1) AS query"
+    )
+
+
+#: Targets of tags are taken where they are absolute and quoted, with rel or http-equiv first.
+OP12 = f"""
+WITH RECURSIVE raw AS (SELECT url, unnest(
+        regexp_extract_all(html, '(?i)<link\\s+rel="canonical"\\s+href="(https?://[^"]*)"', 1)
+        || regexp_extract_all(html, '(?i)<meta\\s+http-equiv="refresh"\\s+content="[0-9.]+\\s*;\\s*url=(https?://[^"]*)"', 1)
+      ) AS target FROM pages WHERE url LIKE '%://%'),
+u AS (SELECT url, {_url_parts('url')} FROM (SELECT url FROM pages UNION SELECT target FROM raw)),
+n AS (SELECT *, CASE WHEN host <> '' THEN host || (CASE WHEN path = '' THEN '/' ELSE path END) || query END AS node FROM u),
+r AS (SELECT * FROM (VALUES {_URL_RULES}) AS v(verdict, rh, rp)),
+j AS (SELECT n.url, node, host, path, rh || rp AS rule, verdict,
+        row_number() OVER (PARTITION BY n.url ORDER BY length(rh || rp) DESC, verdict) AS k
+      FROM n LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)),
+d AS (SELECT * FROM j WHERE k = 1),
+e AS (SELECT a.node AS a, b.node AS b FROM raw JOIN n AS a ON raw.url = a.url JOIN n AS b ON raw.target = b.url),
+ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, a FROM ways UNION SELECT reach.a, ways.b FROM reach JOIN ways ON reach.b = ways.a),
+bad AS (SELECT reach.a AS node FROM reach JOIN d ON d.node = reach.b GROUP BY reach.a
+        HAVING bool_or(d.verdict = 'block') AND NOT coalesce(bool_or(d.verdict = 'allow'), false))
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN bad.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN rule IS NOT NULL THEN 'rule' WHEN bad.node IS NOT NULL THEN 'alias' ELSE 'none' END AS decided_by
+FROM pages JOIN d ON pages.url IS NOT DISTINCT FROM d.url LEFT JOIN bad USING (node)
+"""

@@ -15,7 +15,7 @@ from codeaudit.llm.queries import QUERIES, SQL
 from conftest import DATA
 
 SF = f"{DATA}/sf0.001"
-TABLES = "documents pages benchmark labels conversations".split()
+TABLES = "documents pages benchmark labels conversations embeddings".split()
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -40,9 +40,9 @@ def letters(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
 
 
-def test_all_ten_and_the_pipeline_are_registered():
+def test_all_operators_and_the_pipeline_are_registered():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry_module.queries())
     assert set(SQL) <= set(entry_module.oracle_sql())
 
