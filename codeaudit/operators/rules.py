@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeaudit.functions.arrays import let, running_sums
 from codeaudit.functions.plan import built, once
 from codeaudit.functions.text import any_of, newline_count, stripped, truncated
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, TIER_NAMES, Rule
@@ -19,6 +20,8 @@ _HITS = "array<struct<rule_id:string,n:int,text:string>>"
 _PLACE = "struct<breaks:int,col:int,match:string>"
 _PLACED = f"array<{_PLACE}>"
 SNIPPET_LINES = 3
+#: A pattern that begins so takes the character before a name.
+CHARACTER_BEFORE = r"(^|[^"
 CONSTANT_NAME = r"^(__name__|__version__|[A-Z0-9_]+)$"
 PLACED_VALUE = r"\{([^}]+)\}"
 CREDENTIAL_ROUTE = r"""(?i)@app\.\w+\(["'][^"']*(login|auth)"""
@@ -332,46 +335,82 @@ def with_rule_hits(model: DataFrame, tier: str | None = None, rules=RULES) -> Da
 def _matches_in(text: Column, pattern: Column) -> Column:
     """Every match of a pattern in a text: (breaks before it, column, matched text).
 
-    The texts between the matches are walked once; of what lies before a match only
-    the count of line breaks and the open line are kept.
+    Matches and the texts between them follow one another, so a match starts at the
+    running sum of the lengths before it; the running sum of the line breaks says in
+    which line, and the array of line starts at which column.  Where a pattern begins
+    with the character before a name, the match is placed at the name.
     """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
-    start = F.struct(
-        F.lit(0).alias("breaks"), F.lit("").alias("open"), F.array().cast(_PLACED).alias("out")
+    between = F.split(text, pattern, -1)
+    # an empty match at the very start opens no piece of its own
+    between = F.when(F.size(between) > F.size(found), between).otherwise(
+        F.concat(F.array(F.lit("")), between)
     )
+    named = pattern.contains(CHARACTER_BEFORE)
 
-    def last_line(value):
-        return F.element_at(F.split(value, "\n", -1), -1)
+    def pair(gap, match):
+        lead = F.when(named, F.regexp_extract(match, r"^\W", 0)).otherwise("")
+        return F.struct(
+            F.concat(gap, lead).alias("gap"), F.substr(match, F.length(lead) + 1).alias("match")
+        )
+
+    pairs = let(found, lambda f: F.zip_with(F.slice(between, F.lit(1), F.size(f)), f, pair))
+
+    def before(pairs, measure):
+        both = F.transform(pairs, lambda p: (measure(p["gap"]) + measure(p["match"])).cast("bigint"))
+        own = F.transform(pairs, lambda p: measure(p["gap"]))
+        return F.zip_with(running_sums(both), own, lambda x, y: x + y)
+
+    line_lengths = F.transform(F.split(text, "\n", -1), lambda x: (F.length(x) + 1).cast("bigint"))
 
-    def step(state, pair):
-        head = F.concat(state["open"], pair["gap"])
-        breaks = state["breaks"] + newline_count(head)
-        place = F.struct(
-            breaks.alias("breaks"), (F.length(last_line(head)) + 1).alias("col"),
-            pair["match"].alias("match"),
+    def placed(st):
+        return F.transform(
+            F.arrays_zip(st["starts"], st["breaks"], st["pairs"]),
+            lambda m: F.struct(
+                m["breaks"].cast("int").alias("breaks"),
+                (m["starts"] - F.get(st["lines"], m["breaks"].cast("int")) + 1).cast("int").alias("col"),
+                m["pairs"]["match"].alias("match"),
+            ),
         )
-        body = F.concat(last_line(head), pair["match"])
-        return F.struct(
-            (breaks + newline_count(pair["match"])).cast("int").alias("breaks"),
-            last_line(body).alias("open"),
-            F.array_append(state["out"], place.cast(_PLACE)).alias("out"),
+
+    def places(pairs):
+        state = F.struct(
+            before(pairs, F.length).alias("starts"), before(pairs, newline_count).alias("breaks"),
+            pairs.alias("pairs"), running_sums(line_lengths).alias("lines"),
         )
+        return let(state, placed)
 
-    pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
     whole = F.array(F.struct(F.lit(0), F.lit(1), F.lit("")).cast(_PLACE))
-    return F.when(pattern == "", whole).otherwise(
-        F.aggregate(pairs, start, step, lambda state: state["out"])
-    )
+    return F.when(pattern == "", whole).otherwise(let(pairs, places).cast(_PLACED))
+
+
+def with_lines_around(model: DataFrame, window: int) -> DataFrame:
+    """``rule_hits`` with the lines a hit's matches may need around them, and the first one's number.
+
+    Each hit takes its slice while the lines are at hand, so the file's lines need not
+    follow every hit.
+    """
+    def around(h):
+        first = F.greatest(h["n"] - window, F.lit(1))
+        last = F.least(h["n"] + newline_count(h["text"]) + window, F.size("raw"))
+        return F.struct(
+            h["rule_id"].alias("rule_id"), h["n"].alias("n"), h["text"].alias("text"),
+            first.alias("first"),
+            F.slice("raw", first, F.greatest(last - first + 1, F.lit(0))).alias("around"),
+        )
+
+    return model.withColumn("rule_hits", once(F.transform("rule_hits", around)))
 
 
 def located(
-    hits: DataFrame, spark: SparkSession, rules=RULES, keep_rank: bool = False
+    hits: DataFrame, spark: SparkSession, rules=RULES, keep_rank: bool = False,
+    window: int | None = None,
 ) -> DataFrame:
     """Explode hits, look up their rules and place every match: line, column and snippet.
 
     The line is the first line of the hit text plus the line breaks before the
-    match; a rule without a pattern is placed at the first line.
+    match; a rule without a pattern is placed at the first line.  With ``window`` the
+    hits are those of ``with_lines_around`` and each row gets its ``context``.
     """
     table = F.broadcast(rule_table(spark, rules)).drop("languages", "tiers")
     rows = hits.withColumn("hit", F.explode("rule_hits")).drop("rule_hits")
@@ -379,6 +418,12 @@ def located(
         "_place", F.explode(_matches_in(F.col("hit.text"), F.col("pos_regex")))
     )
     matched = stripped(F.col("_place.match"))
+    line = (F.col("hit.n") + F.col("_place.breaks")).cast("int")
+    context = []
+    if window is not None:
+        above = F.greatest(line - window, F.lit(1))
+        lines = F.slice("hit.around", above - F.col("hit.first") + 1, line + window - above + 1)
+        context = [F.array_join(lines, "\n").alias("context")]
     return joined.select(
         *[c for c in rows.columns if c != "hit"],
         *([F.col("hit.rank").alias("rank")] if keep_rank else []),
@@ -388,8 +433,9 @@ def located(
         "cwe",
         "message",
         "fix_guidance",
-        (F.col("hit.n") + F.col("_place.breaks")).cast("int").alias("line"),
+        line.alias("line"),
         F.col("_place.col").alias("col"),
         F.array_join(F.slice(F.split(matched, "\n"), 1, SNIPPET_LINES), "\n").alias("snippet"),
+        *context,
     )
 

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import broadcast_if_small, once, written
 from codeaudit.operators import injection, secrets
-from codeaudit.operators import findings as fx
 from codeaudit.operators.agentconfig import config_findings
 from codeaudit.operators.dependencies import dependency_findings
 from codeaudit.operators.envfiles import env_findings
@@ -29,7 +28,7 @@ from codeaudit.operators.findings import (
     tier_rank,
 )
 from codeaudit.operators.project import is_project_file, project_findings
-from codeaudit.operators.rules import located, with_rule_hits
+from codeaudit.operators.rules import located, with_lines_around, with_rule_hits
 from codeaudit.operators.signals import code_model, scan_tier, with_features
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, Rule
 from codeaudit.sources.constants import AI_THRESHOLD, SOURCE_EXTENSIONS
@@ -96,13 +95,13 @@ def rule_findings_with_context(
     """Rule findings with the lines around them, taken while the file is at hand.
 
     Looking the lines up afterwards would join findings back to file contents;
-    here each finding takes its slice of the line array in the same pass.
+    here each hit takes its slice of the line array in the same pass, and no finding
+    carries the file's lines.
     """
-    hits = tiered_model(files, threshold).select(
-        "repo_id", "file_id", "path", "confidence", "scan_tier", "raw", "rule_hits"
+    hits = with_lines_around(tiered_model(files, threshold), window).select(
+        "repo_id", "file_id", "path", "confidence", "scan_tier", "rule_hits"
     )
-    placed = located(hits, files.sparkSession).withColumn("context", fx.context_of(window))
-    return _placed_findings(placed, "context")
+    return _placed_findings(located(hits, files.sparkSession, window=window), "context")
 
 
 def _placed_findings(placed: DataFrame, *extra: str) -> DataFrame:
@@ -351,10 +350,6 @@ def diff_scan(files: DataFrame, changed_paths: DataFrame, **options) -> DataFram
     return scan(files, changed_paths=changed_paths, **options)
 
 
-def changed_source_files(files: DataFrame, changed_paths: DataFrame) -> DataFrame:
-    return source_files(changed_only(files, changed_paths))
-
-
 def rules_applied(
     detector: DataFrame, rule_packs: DataFrame, active_detectors: int = 4
 ) -> DataFrame:

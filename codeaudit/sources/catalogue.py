@@ -55,7 +55,7 @@ _ROWS = [
      "", "",
      "An image build step pipes a download into a shell"),
     ("dockerfile-missing-user", "dockerfile/missing-user", "HIGH", "container_security", "CWE-250", "FM", "F",
-     r"(?s).",
+     r"(?s)\A.+",
      "", "",
      "The image runs as root because no other user is set"),
     ("gha-unpinned-action", "github-actions/unpinned-action", "HIGH", "supply_chain", "CWE-1357", "F", "L",

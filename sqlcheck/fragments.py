@@ -698,9 +698,12 @@ def _located(matches: str) -> str:
              CASE WHEN r.pos_regex = '' THEN [''] ELSE regexp_split_to_array(h.text, r.pos_regex) END AS gaps
       FROM {matches} h JOIN rules r USING (rule_id) JOIN source f USING (file_id)),
     numbered AS (SELECT *, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM split_at),
+    -- where a pattern takes the character before a name, the place is that of the name
+    led AS (SELECT *, CASE WHEN contains(pos_regex, '(^|[^') AND regexp_matches(hit, '^\W') THEN hit[1] ELSE '' END AS lead
+            FROM numbered),
     found AS (
-      SELECT *, {strip('hit')} AS matched, array_to_string(list_transform(range(1, i + 1),
-             lambda j: gaps[j] || CASE WHEN j < i THEN hits[j] ELSE '' END), '') AS pre FROM numbered)
+      SELECT *, {strip('hit[length(lead) + 1:]')} AS matched, array_to_string(list_transform(range(1, i + 1),
+             lambda j: gaps[j] || CASE WHEN j < i THEN hits[j] ELSE '' END), '') || lead AS pre FROM led)
     SELECT file_id, repo_id, path, language, rule_id, severity, category, cwe, message, fix_guidance,
            n, text, (n + {newlines('pre')})::BIGINT AS line,
            length(string_split(pre, chr(10))[-1]) + 1 AS col,

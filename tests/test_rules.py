@@ -106,6 +106,23 @@ def hit_ids(spark, make_files):
     return hits
 
 
+@pytest.fixture(scope="module")
+def probe_rows(spark, make_files):
+    """rule -> {case: (places, text)} of the cases made for that rule."""
+    cases = PROBES + CONTEXT
+    rows = [
+        (f"d{i}/{FILE_FOR[BY_ID[rule].pack.split('/')[0]]}", text)
+        for i, (rule, text, _) in enumerate(cases)
+    ]
+    model = with_rule_hits(with_resolved_statements(with_statements(with_code(make_files(rows)))))
+    out = {}
+    for r in located(model.select("file_id", "rule_hits"), spark).collect():
+        if cases[r.file_id][0] == r.rule_id:
+            places = out.setdefault(r.rule_id, {}).setdefault(r.file_id, ([], cases[r.file_id][1]))
+            places[0].append((r.line, r.col))
+    return out
+
+
 def test_probe_table_is_read():
     assert len(PROBES) >= 180
     assert len({p[0] for p in PROBES + CONTEXT}) == len(RULES)
@@ -143,6 +160,41 @@ def test_position_and_snippet(spark, make_files):
     assert rows["python-debug-mode-enabled"][:2] == (7, 5)
 
 
+def test_places_are_found_in_linear_time(spark):
+    """Ten thousand matches in one text, over lines and within them."""
+    import time
+
+    from codeaudit.operators.rules import _matches_in
+
+    unit = "ab xx\n\nxxy xx é"
+    text = unit * 5000
+    df = spark.createDataFrame([(text, "x+"), ("none", "x+"), ("", "x"), ("xx", "x*?"), ("a\neval(b)", r"(^|[^.\w])eval\(")], "t string, p string")
+    places = df.select("p", F.explode(_matches_in(F.col("t"), F.col("p"))).alias("m"))
+    places.count()
+    began = time.time()
+    got = [(r.p, r.m.breaks, r.m.col, r.m.match) for r in places.collect()]
+    assert time.time() - began < 2
+    want = []
+    for m in re.finditer("x+", text):
+        before = text[: m.start()]
+        want.append(("x+", before.count("\n"), len(before) - before.rfind("\n"), m[0]))
+    assert [g for g in got if g[0] == "x+"] == want and len(want) == 15_000
+    assert (r"(^|[^.\w])eval\(", 1, 1, "eval(") in got
+
+
+@pytest.mark.parametrize("rule", sorted(BY_ID))
+def test_one_row_for_one_hit(probe_rows, rule):
+    """As many rows as Python's own matcher finds places, and one for a rule on the whole file."""
+    rows, wanted = probe_rows.get(rule, {}), 0
+    for place, (lines, text) in rows.items():
+        assert len(lines) == len(set(lines)), (rule, text)
+        assert len(lines) <= max(1, text.count("\n") + text.count("(") + text.count("=") + 1), (rule, text)
+        wanted += len(lines)
+        if rule == "dockerfile-missing-user":
+            assert lines == [(1, 1)]
+    assert wanted
+
+
 def test_tiers_contain_each_other():
     packs = {t: {r.pack for r in RULES if t in r.tier_names} for t in TIER_NAMES}
     assert packs["CRITICAL_ONLY"] < packs["MEDIUM"] < packs["FULL"]
