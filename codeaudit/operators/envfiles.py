@@ -18,6 +18,10 @@ from codeaudit.sources.constants import (
 )
 
 
+#: Copies of a project's ignore keys, over which its files are dealt.
+SALTS = 16
+
+
 def at_root(files: DataFrame) -> DataFrame:
     return files.where(F.col("rel_path") == F.col("file_name"))
 
@@ -76,15 +80,19 @@ def uncovered(candidates: DataFrame, facts: DataFrame) -> DataFrame:
     """Candidates none of whose ``keys`` is a fact of their project.
 
     ``facts(repo_id, root, key)`` is distinct, and each candidate meets it once
-    per key by an equi join.  The verdict is an aggregate per file, combined
-    before the shuffle, so the candidates are read a single time.
+    per key by an equi join.  All candidates of a project share some keys, so these
+    are dealt over ``SALTS`` copies of the facts.  The verdict is an aggregate per
+    file, combined before the shuffle, so the candidates are read a single time.
     """
     names = [c for c in candidates.columns if c != "keys"]
-    present = facts.withColumn("_found", F.lit(1))
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    present = facts.select("*", F.explode(salts).alias("_salt"), F.lit(1).alias("_found"))
     return (
         candidates.withColumn("key", F.explode("keys"))
+        .withColumn("_salt", F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).cast("int"))
         .drop("keys")
-        .join(present, ["repo_id", "root", "key"], "left")
+        .join(present, ["repo_id", "root", "key", "_salt"], "left")
+        .drop("_salt")
         .groupBy(*names)
         .agg(F.count("_found").alias("_found"))
         .where(F.col("_found") == 0)

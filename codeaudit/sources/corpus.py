@@ -23,6 +23,7 @@ from codeaudit.sources.constants import (
     SOURCE_EXTENSIONS,
 )
 from codeaudit.sources.snippets import SNIPPETS
+from codeaudit.sources.tree import tree_reader
 
 FILE_COLUMNS = (
     "file_id", "repo_id", "root", "path", "rel_path", "file_name", "ext", "language", "content",
@@ -75,14 +76,16 @@ def scan_tree(
     repo_id: str = "local",
     project_depth: int = 0,
     skip_dirs=SKIP_DIRS,
+    hidden: bool = True,
 ) -> DataFrame:
     """File table of a folder tree or of one file; bytes are decoded leniently.
 
     Files below ``skip_dirs`` are left out by their path before they are opened; parts of
     ``root`` itself do not count.  With ``project_depth`` the tree holds many projects that
     many folders down: the folders name the repository, and paths start below them.
-    Unreadable files are left out, and so, by Spark's file readers, are files and folders
-    whose names start with a dot or an underscore: add those as rows of their own.
+    Unreadable files are left out.  Spark's file readers pass over files and folders whose
+    names start with a dot or an underscore; with ``hidden`` those are read by the data
+    source of ``sources.tree``, which needs a root that Python can reach as well.
     """
     top = root if "://" in root or root.startswith("/") else os.path.abspath(root)
     top = top.rstrip("/") or "/"
@@ -103,7 +106,10 @@ def scan_tree(
     # the listed path, in which characters are escaped; a filter on it prunes the listing
     listed = F.regexp_replace("_metadata.file_path", "^file:/*", "/")
     raw = raw.where(~is_skipped(below(listed, quote(place, safe="/:@")), skip_dirs))
-    path = F.regexp_replace(F.col("path"), "^file:/*", "/")
+    raw = raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    if hidden:
+        raw = raw.unionByName(hidden_files(spark, top, skip_dirs))
+    path = F.col("path")
     rel = below(path, place)
     if project_depth:
         parts = F.split(rel, "/")
@@ -127,6 +133,13 @@ def scan_tree(
     ).where(F.col("rel_path") != "")
 
 
+def hidden_files(spark: SparkSession, root: str, skip_dirs=SKIP_DIRS) -> DataFrame:
+    """(path, content) of the files below ``root`` that Spark's file readers pass over."""
+    source = tree_reader(spark).option("path", root).option("hidden", "true")
+    source = source.option("skip", "\n".join(skip_dirs)).option("skipSuffix", SKIP_DIR_SUFFIX)
+    return source.load().select("path", "content")
+
+
 def snippet_table(spark: SparkSession) -> DataFrame:
     rows = [(i, d, n, m, c) for i, (d, n, m, c) in enumerate(SNIPPETS)]
     return spark.createDataFrame(
