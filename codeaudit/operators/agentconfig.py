@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import once
+from codeaudit.functions.plan import once, written
 from codeaudit.functions.text import entropy, masked
 from codeaudit.operators.envfiles import ignore_keys, ignore_patterns, uncovered
 from codeaudit.operators.findings import SOURCE_RANK, as_findings
 from codeaudit.sources.constants import (
     AGENT_CONFIG_PATHS,
-    CONFIG_MAX_DEPTH,
     ENTROPY_LIMIT,
     SECRET_NAME,
 )
 
 _NODES = "array<struct<key:string,value:variant>>"
+#: Levels of nesting opened in one pass.
+LEVELS = 20
 
 
 def is_config(rel_path: Column, file_name: Column) -> Column:
@@ -29,28 +30,39 @@ def config_files(files: DataFrame) -> DataFrame:
     return files.where(is_config(F.col("rel_path"), F.col("file_name")))
 
 
-def config_strings(files: DataFrame, max_depth: int = CONFIG_MAX_DEPTH) -> DataFrame:
-    """Every string value down to ``max_depth`` with the key above it; list items keep theirs.
+def config_strings(files: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Every string value with the key above it; list items keep theirs.
 
-    Each level is one pass over the row's own nodes, so the walk neither
-    recurses over rows nor shuffles.  Text that is not JSON gives no rows.
+    ``LEVELS`` levels are one pass over the row's own nodes, so the walk neither
+    recurses over rows nor shuffles.  What is nested deeper is the frontier of a further
+    round, until there is none: few configurations need a second one.  Only with
+    ``max_depth`` are deeper strings left out.  Text that is not JSON, or nested deeper
+    than the JSON reader goes (1,000 levels), gives no rows.
     """
     # A key repeated in one object takes its last value; by default Spark refuses the text.
     files.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
-    df = config_files(files).select(
-        "repo_id",
-        "file_id",
-        "path",
-        once(
-            F.array(
-                F.struct(
-                    F.lit("").alias("key"), F.try_parse_json(F.col("content")).alias("value")
-                )
-            ).cast(_NODES)
-        ).alias("nodes"),
+    at = ["repo_id", "file_id", "path"]
+    open_ = config_files(files).select(*at, F.lit("").alias("key"), F.col("content").alias("text"))
+    if max_depth is not None:
+        return _leaves(_opened(open_, max_depth)).select(*at, "key", "value")
+    found = None
+    while True:
+        nodes = written(_leaves(_opened(open_, LEVELS), nested=True), "config-nodes")
+        leaves = nodes.where("NOT is_open").select(*at, "key", "value")
+        found = leaves if found is None else found.unionByName(leaves)
+        open_ = nodes.where("is_open").withColumnRenamed("value", "text").drop("is_open")
+        if open_.isEmpty():
+            return found
+
+
+def _opened(texts: DataFrame, levels: int) -> DataFrame:
+    """``nodes``: what JSON ``texts`` hold ``levels`` levels down, and strings above that."""
+    start = F.struct(F.col("key").alias("key"), F.try_parse_json(F.col("text")).alias("value"))
+    df = texts.select(
+        "repo_id", "file_id", "path", once(F.array(start).cast(_NODES)).alias("nodes")
     )
     kind = "schema_of_variant(n.value)"
-    for _ in range(max_depth):
+    for _ in range(levels):
         children = F.expr(
             f"""
             flatten(transform(nodes, n -> CASE
@@ -69,10 +81,19 @@ def config_strings(files: DataFrame, max_depth: int = CONFIG_MAX_DEPTH) -> DataF
         df = df.withColumn(
             "nodes", once(F.when(nested, children.cast(_NODES)).otherwise(F.col("nodes")))
         )
-    leaves = F.expr(f"filter(nodes, n -> {kind} = 'STRING')")
-    return df.select("repo_id", "file_id", "path", F.inline(leaves)).select(
-        "repo_id", "file_id", "path", "key", F.col("value").cast("string").alias("value")
-    )
+    return df
+
+
+def _leaves(opened: DataFrame, nested: bool = False) -> DataFrame:
+    """String values of ``nodes``; with ``nested`` also the values still to be opened, as JSON."""
+    kind = "schema_of_variant(n.value)"
+    open_ = f"{kind} LIKE 'OBJECT%' OR {kind} LIKE 'ARRAY%'" if nested else "false"
+    kept = F.expr(f"filter(nodes, n -> {kind} = 'STRING' OR {open_})")
+    rows = opened.select("repo_id", "file_id", "path", F.inline(kept))
+    is_open = F.expr("schema_of_variant(value) <> 'STRING'")
+    text = F.when(is_open, F.to_json("value")).otherwise(F.col("value").cast("string"))
+    columns = ["repo_id", "file_id", "path", "key", text.alias("value")]
+    return rows.select(*columns, *([is_open.alias("is_open")] if nested else []))
 
 
 def config_secrets(files: DataFrame) -> DataFrame:

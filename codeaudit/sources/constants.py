@@ -76,7 +76,6 @@ PLACEHOLDER = r"(?i)(YOUR_|<|>|XXXX|example|placeholder|changeme|todo|fixme|repl
 
 ENV_FILES = (".env", ".env.local", ".env.production", ".env.staging", ".env.development")
 ENV_ENTRY = r"^([A-Za-z_][A-Za-z0-9_]*)=(.*)"
-ENV_MAX_LINES = 200
 ENTROPY_LIMIT = 3.5
 TOKEN_ENTROPY_LIMIT = 4.5
 
@@ -84,7 +83,6 @@ AGENT_CONFIG_PATHS = (
     ".claude/settings.json", ".cursor/mcp.json", "mcp.config.json",
     ".mcp/config.json", ".mcp.json", "claude_desktop_config.json",
 )
-CONFIG_MAX_DEPTH = 20
 
 # --- prompt injection --------------------------------------------------------
 

@@ -764,7 +764,7 @@ AGENT_BROKEN = '''{"api_key": "abcdefghijkl",
 AGENT_DEEP = (
     '{"token": "deepdeepdeep", "a": '
     + "".join('{"k%d": ' % i for i in range(24))
-    + '"not-reached-9fJ2kLm4"'
+    + '"reached-9fJ2kLm4Qx"'
     + "}" * 24
     + "}\n"
 )

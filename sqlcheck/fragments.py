@@ -776,24 +776,20 @@ def _configs() -> str:
 
 
 def _config_strings() -> str:
-    depth = k.CONFIG_MAX_DEPTH
-    return f"""
-    SELECT repo_id, file_id, path, key, v ->> '$' AS value FROM walk WHERE json_type(v) = 'VARCHAR'
-    """.replace("{depth}", str(depth))
+    return "SELECT repo_id, file_id, path, key, v ->> '$' AS value FROM walk WHERE json_type(v) = 'VARCHAR'"
 
 
 def _walk() -> str:
-    depth = k.CONFIG_MAX_DEPTH
-    return f"""
-    SELECT repo_id, file_id, path, ''::VARCHAR AS key, content::JSON AS v, 0 AS d
+    return """
+    SELECT repo_id, file_id, path, ''::VARCHAR AS key, content::JSON AS v
     FROM configs WHERE json_valid(content)
     UNION ALL
-    SELECT repo_id, file_id, path, key, v, d + 1 FROM (
-      SELECT w.repo_id, w.file_id, w.path, e.key, e.value AS v, w.d
-      FROM walk w, json_each(w.v) e WHERE json_type(w.v) = 'OBJECT' AND w.d < {depth}
+    SELECT repo_id, file_id, path, key, v FROM (
+      SELECT w.repo_id, w.file_id, w.path, e.key, e.value AS v
+      FROM walk w, json_each(w.v) e WHERE json_type(w.v) = 'OBJECT'
       UNION ALL
-      SELECT w.repo_id, w.file_id, w.path, w.key, e.value AS v, w.d
-      FROM walk w, json_each(w.v) e WHERE json_type(w.v) = 'ARRAY' AND w.d < {depth})
+      SELECT w.repo_id, w.file_id, w.path, w.key, e.value AS v
+      FROM walk w, json_each(w.v) e WHERE json_type(w.v) = 'ARRAY')
     """
 
 

@@ -108,7 +108,8 @@ def test_config_strings(make_files):
         ("7", []),
         ('{"dotted.key": {"sp ace": "v", "ünï": "ö"}}', [("sp ace", "v"), ("ünï", "ö")]),
         ('{"k": ' * 20 + '"leaf"' + "}" * 20, [("k", "leaf")]),
-        ('{"k": ' * 21 + '"leaf"' + "}" * 21, []),
+        ('{"k": ' * 21 + '"leaf"' + "}" * 21, [("k", "leaf")]),
+        ('{"k": [' * 100 + '"leaf", {"m": "n"}' + "]}" * 100, [("k", "leaf"), ("m", "n")]),
         ("{bad", []),
     ]
     files = make_files([(f"d{i}/mcp.json", text) for i, (text, _) in enumerate(cases)])
