@@ -1,20 +1,26 @@
 """Registered queries against their SQL, or against brute force where SQL has no form for them."""
 
+import glob
 import hashlib
+import math
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__ as entry_module
-from codeaudit.llm import jaccard, licenses, passages, sharding
+from codeaudit.llm import jaccard, licenses, passages, secrets, sharding
 from codeaudit.llm.queries import QUERIES, SQL
 from conftest import DATA
 
 SF = f"{DATA}/sf0.001"
+MORE = f"{DATA}/sf0.01"
 TABLES = "documents pages benchmark labels conversations embeddings".split()
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -32,6 +38,11 @@ def documents():
     return pq.read_table(f"{SF}/documents.parquet").to_pylist()
 
 
+@pytest.fixture(scope="module")
+def more_documents():
+    return pq.read_table(f"{MORE}/documents.parquet").to_pylist()
+
+
 def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
 
@@ -40,6 +51,19 @@ def letters(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOW))
 
 
+def test_native_modules_run_no_python_in_tasks():
+    folder = os.path.dirname(licenses.__file__)
+    for name in ("licenses.py", "quality.py"):
+        text = open(os.path.join(folder, name)).read()
+        for banned in ("udf", "mapIn", "applyIn", ".rdd", "toPandas", "pyarrow", "numpy"):
+            assert banned not in text, (name, banned)
+
+
+def test_no_local_checkpoints():
+    for path in glob.glob(os.path.join(os.path.dirname(licenses.__file__), "*.py")):
+        assert "localCheckpoint" not in open(path).read(), path
+
+
 def test_all_operators_and_the_pipeline_are_registered():
     numbers = {int(n[2:].split("_")[0]) for n in QUERIES}
     assert numbers == set(range(1, 14))
@@ -90,15 +114,25 @@ def test_licenses_equal_brute_force(spark, documents):
     assert any(w[1] for w in want.values())
 
 
-def test_secrets_equal_brute_force(spark, documents):
+def test_secrets_equal_brute_force(spark, more_documents):
+    documents = more_documents
     assign = re.compile(
         r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
         re.I | re.A,
     )
     rank = {"assign": 0, "access": 1, "hex": 2}
-    got = {r.doc_id: r for r in QUERIES["op6_secrets"](spark, SF).collect()}
+    got = {r.doc_id: r for r in QUERIES["op6_secrets"](spark, MORE).collect()}
     assert len(got) == len(documents)
-    seen = 0
+    seen, patterns = 0, secrets.compiled()
+    owners, randoms = defaultdict(set), {}
+    held = {}
+    for d in documents:
+        held[d["doc_id"]] = values = [c[3] for c in secrets.candidates(d["text"] or "", patterns)]
+        for value in values:
+            owners[value].add(d["source"])
+            share = [values_n / len(value) for values_n in Counter(value).values()]
+            randoms[value] = -sum(x * math.log2(x) for x in share) >= secrets.MIN_ENTROPY
+    copied = {v for v, who in owners.items() if len(who) > secrets.MAX_OWNERS}
     for d in documents:
         text, spans = d["text"] or "", []
         spans += [("assign", *m.span()) for m in assign.finditer(text) if len(m[2]) >= 6]
@@ -110,10 +144,75 @@ def test_secrets_equal_brute_force(spark, documents):
         assert (r.n_assign, r.n_access, r.n_hex) == (n["assign"], n["access"], n["hex"])
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) - {""} <= set(r.spans.split(","))
+        mine = held[d["doc_id"]]
+        assert r.n_copied == sum(v in copied for v in mine)
+        assert r.n_live == sum(v not in copied and randoms[v] for v in mine)
         seen += len(spans)
     assert seen
 
 
+def test_secrets_of_many_and_of_few_owners(spark):
+    common, own = "k7Qz91LmXw", ["r4Tt%dZzQ81n" % i for i in range(9)]
+    rows = [(i, f"src{i}", f"token={common}" + (f" secret: {own[i]}" if i < 9 else "")) for i in range(12)]
+    rows += [(100 + i, "src0", f"secret: {own[0]} password = aaaaaaaa") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    judged = secrets.judged(secrets.find(docs)).collect()
+    seen = Counter((r["class"], r.n_repos, r.n_owners) for r in judged)
+    assert seen == {("copied", 12, 12): 12, ("live", 31, 1): 31, ("live", 1, 1): 8, ("weak", 30, 1): 30}
+
+
+def brute_passages(texts):
+    """Words in passages that two different texts share, over all pairs with common shingles.
+
+    The pairs come from comparing all texts, the bounds from the library's own alignment.
+    """
+    codes, holders = {}, defaultdict(set)
+    ids = {}
+    for name, w in texts.items():
+        grams = [tuple(w[k:k + 5]) for k in range(len(w) - 4)]
+        codes[name] = np.array([ids.setdefault(g, len(ids)) for g in grams], np.uint32)
+        for g in set(codes[name].tolist()):
+            holders[g].add(name)
+    common = Counter()
+    for held in holders.values():
+        if len(held) > 1:
+            common.update(combinations(sorted(held), 2))
+    covered = defaultdict(set)
+    for (a, b), n in common.items():
+        if n < passages.COMMON:
+            continue
+        x, y = codes[a], codes[b]
+        where = defaultdict(list)
+        for j, g in enumerate(y.tolist()):
+            where[g].append(j)
+        shifts = Counter()
+        for i, g in enumerate(x.tolist()):
+            shifts.update({(i - j) // passages.CELL for j in where.get(g, ())})
+        for cell in {c for c in shifts for c in (c, c - 1)}:
+            if shifts[cell] + shifts[cell + 1] < passages.COMMON:
+                continue
+            low = cell * passages.CELL
+            found = passages.matching(x, y, low - passages.SLACK, low + passages.BAND + passages.SLACK)
+            for first, last, start, stop in passages.segments(found):
+                covered[a].update(range(first, last + 5))
+                covered[b].update(range(start, stop + 5))
+    return covered
+
+
+def test_recall_of_near_duplicate_passages(spark, more_documents):
+    text = {d["doc_id"]: words(d["text"]) for d in more_documents}
+    by_text = {tuple(w): i for i, w in sorted(text.items(), reverse=True) if len(w) >= passages.MIN_WORDS}
+    want = brute_passages({i: list(w) for w, i in by_text.items()})
+    got = {}
+    for r in QUERIES["op8_passages"](spark, MORE).collect():
+        spans = [tuple(map(int, s.split("-"))) for s in r.spans.split(",") if s]
+        got[r.doc_id] = {k for first, last in spans for k in range(first, last + 1)}
+    total = sum(len(w) for w in want.values())
+    held = sum(len(w & got[i]) for i, w in want.items())
+    print("recall", held / total, "of", total)
+    assert total > 10_000 and held >= 0.9 * total
+
+
 def test_passages_hold_the_exact_repeats(spark, documents):
     """Words in 50-word runs that another document has too, against the spans reported."""
     text = {d["doc_id"]: words(d["text"]) for d in documents}
@@ -231,9 +330,33 @@ def brute_mix(rows):
     return out
 
 
-def test_pipeline_equals_brute_force(spark, duck, documents):
+def brute_clean(documents):
+    """doc_id -> text without the lines that too many texts of the source hold."""
+
+    def plain(line):
+        return re.sub("[0-9]", "0", re.sub(r"[\x20\x09-\x0D]+", " ", line.lower()).strip(" "))
+
+    holders, of_source = defaultdict(set), defaultdict(set)
+    for d in documents:
+        of_source[d["source"]].add(d["text"] or "")
+        for line in (d["text"] or "").split("\n"):
+            if re.search(r"[^\x20\x09-\x0D]", line):
+                holders[d["source"], plain(line)].add(d["text"])
+    often = {k for k, held in holders.items() if len(held) > 10 and len(held) > 0.05 * len(of_source[k[0]])}
+    return {
+        d["doc_id"]: "\n".join(x for x in (d["text"] or "").split("\n") if (d["source"], plain(x)) not in often)
+        for d in documents
+    }
+
+
+def test_pipeline_equals_brute_force(spark, more_documents):
+    duck = duckdb.connect()
+    for t in TABLES:
+        duck.sql(f"CREATE VIEW {t} AS SELECT * FROM '{MORE}/{t}.parquet'")
     kept = {i for i, ok in duck.sql(f"SELECT doc_id, kept FROM ({SQL['op7_quality']})").fetchall() if ok}
-    docs = [d for d in documents if d["doc_id"] in kept]
+    cleaned = brute_clean(more_documents)
+    docs = [d | {"text": cleaned[d["doc_id"]]} for d in more_documents if d["doc_id"] in kept]
+    assert any(d["text"] != o["text"] for d in docs for o in more_documents if o["doc_id"] == d["doc_id"])
     first = brute_components([(d["doc_id"], d["text"]) for d in docs])
     docs = [d for d in docs if first[d["doc_id"]] == d["doc_id"]]
     windows = set()
@@ -254,7 +377,7 @@ def test_pipeline_equals_brute_force(spark, duck, documents):
     docs = [d for d in docs if is_clean(d["text"])]
     mixed = brute_mix([(d["doc_id"], d["source"], d["text"]) for d in docs])
     want = Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in mixed)
-    rows = entry_module.queries()["pipeline"](spark, SF).collect()
+    rows = entry_module.queries()["pipeline"](spark, MORE).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == want
     places = defaultdict(list)
     for r in rows:
