@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import spread, written
 from codeaudit.functions.text import entropy, version_key, version_lt
-from codeaudit.operators import agentconfig, dependencies, envfiles, injection, score, signals
+from codeaudit.operators import agentconfig, dependencies, envfiles, injection, patterns, score, signals
 from codeaudit.operators import findings as fx
 from codeaudit.operators.code import (
     line_table,
@@ -30,6 +30,7 @@ from codeaudit.operators.rules import (
 from codeaudit.plans import scan
 from codeaudit.sinks import report
 from codeaudit.sources.catalogue import RULES, TIER_NAMES
+from codeaudit.sources.composed import COMPOSED, DESCRIPTIONS
 from codeaudit.sources.corpus import corpus_from_documents, read_table, source_files
 from codeaudit.streaming import incremental
 
@@ -752,3 +753,17 @@ def stream_scan(spark, sf_dir):
 @query
 def stream_dedupe(spark, sf_dir):
     return incremental.stream_dedupe(spark, sf_dir)
+
+
+# --- rules given as rows -----------------------------------------------------------------
+
+
+@query
+def composed_rules(spark, sf_dir):
+    """Places per line of the rules that compose alternatives, captures and blocks around."""
+    rows = patterns.matches(
+        source_of(spark, sf_dir), COMPOSED, {d.rule_id: d.languages for d in DESCRIPTIONS}
+    )
+    return rows.where("rule_id <> 'composed-object-assign'").groupBy("rule_id", "file_id", "line").agg(
+        F.countDistinct("start").alias("places")
+    )

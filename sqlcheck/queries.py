@@ -325,3 +325,30 @@ add("json_findings",
     "SELECT repo_id, to_json({"
     + ", ".join(f"{n}: round({n}, 4)" if n == "file_confidence" else f"{n}: {n}" for n in _NAMES)
     + "})::VARCHAR AS value FROM findings", "findings")
+_SIDE = r"[\w.\[\]\"'']+"
+_COMPARED = rf"({_SIDE})[ \t]*==[ \t]*({_SIDE})"
+_SECRET = "(?i)token|secret|key|password|passwd|pwd|auth|credential|hash|digest|signature|nonce"
+_LOOKUP = r"db\.query\((\w+)\)\.filter\((\w+)\.id[ \t]*==[ \t]*(\w+)\)"
+_OWNERS = (
+    r"if[ \t]+current_user\.id[ \t]*==[ \t]*(\w+)[ \t]*:",
+    r'if[ \t]+session\["user_id"\][ \t]*==[ \t]*(\w+)[ \t]*:',
+)
+_WIDTH = "(length({0}.raw) - length(ltrim({0}.raw, ' ' || chr(9))))"
+add("composed_rules", f"""
+SELECT 'composed-timing-unsafe-compare' AS rule_id, file_id, line, places FROM (
+  SELECT file_id, n AS line, len(list_filter(list_zip(regexp_extract_all(raw, '{_COMPARED}', 1),
+           regexp_extract_all(raw, '{_COMPARED}', 2)),
+         lambda p: regexp_matches(p[1], '{_SECRET}') OR regexp_matches(p[2], '{_SECRET}'))) AS places
+  FROM lines WHERE language = 'python') WHERE places > 0
+UNION ALL
+SELECT 'composed-idor', file_id, n, count(*) FROM (
+  SELECT file_id, n, raw, unnest(regexp_extract_all(raw, '{_LOOKUP}', 1)) AS model,
+         unnest(regexp_extract_all(raw, '{_LOOKUP}', 2)) AS again, unnest(regexp_extract_all(raw, '{_LOOKUP}', 3)) AS id
+  FROM lines WHERE language = 'python') AS b
+WHERE model = again AND regexp_matches(id, '(?i)id') AND NOT EXISTS (
+  SELECT 1 FROM lines AS h WHERE h.file_id = b.file_id AND h.n < b.n
+    AND b.id IN (regexp_extract(h.raw, '{_OWNERS[0]}', 1), regexp_extract(h.raw, '{_OWNERS[1]}', 1))
+    AND NOT EXISTS (SELECT 1 FROM lines AS l WHERE l.file_id = b.file_id AND l.n > h.n AND l.n <= b.n
+      AND trim(l.raw, ' ' || chr(9) || chr(13)) <> '' AND {_WIDTH.format('l')} <= {_WIDTH.format('h')}))
+GROUP BY file_id, n
+""", "lines", "source")
