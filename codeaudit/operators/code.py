@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeaudit.functions.arrays import fold
+from codeaudit.functions.arrays import fold, let
 from codeaudit.functions.plan import built, once
 from codeaudit.functions.text import BLANKS, indent_of, split_lines, stripped
 
@@ -37,6 +37,13 @@ JS_STRING = f"(?s){_STRING}|{_TEMPLATE}"
 PY_HEADER = r"^\s*(async\s+)?(def|class)\s"
 JS_BLOCK_OPENER = r"(=>|\))\s*\{\s*$"
 DEF_LINE = r"^\s*(async\s+)?(def|class)\s+(\w+)"
+FROM_IMPORT = r"^\s*from\s+([A-Za-z_][\w.]*)\s+import\s+\(?([^()]*)\)?"
+PLAIN_IMPORT = r"^\s*import\s+([^()]*)"
+FROM_ITEM = r"^\s*(\w+)(?:\s+as\s+(\w+))?\s*$"
+AS_ITEM = r"^\s*([\w.]+)\s+as\s+(\w+)\s*$"
+DEFINED = r"^\s*(?:async\s+)?(?:def|class)\s+(\w+)"
+ASSIGNED = r"^\s*(\w+)\s*=[^=]"
+ANY_BINDING = r"(?m)^[ \t]*(?:from[ \t]+[A-Za-z_]|import[ \t].* as )"
 IMPORT_ALIAS = r"^\s*(?:from\s+[\w.]+\s+)?import\s+([\w.]+)\s+as\s+(\w+)"
 
 _SPANS = "array<struct<s:int,e:int>>"
@@ -327,7 +334,7 @@ def with_resolved_statements(df: DataFrame) -> DataFrame:
             resolve_aliases(s.text, F.col("aliases")).alias("text"),
         ),
     )
-    return with_aliases(df).withColumn(
+    rows = with_aliases(df).withColumn(
         "statements",
         once(
             F.when(F.size("aliases") > 0, resolved)
@@ -335,6 +342,109 @@ def with_resolved_statements(df: DataFrame) -> DataFrame:
             .cast(_STATEMENTS)
         ),
     )
+    return with_variants(rows)
+
+
+_BINDINGS = "array<struct<name:string,full:string,n:int,last:int>>"
+
+
+def _bound_names(s: Column) -> Column:
+    """(name, full) of the names that a statement's import binds."""
+    text = F.replace(F.regexp_replace(s.text, r"#[^\n]*", ""), F.lit("\\"), F.lit(""))
+    module = F.regexp_extract(text, FROM_IMPORT, 1)
+
+    def items(listed: Column, pattern: str) -> Column:
+        pieces = F.split(listed, ",", -1)
+        return F.filter(F.transform(pieces, lambda x: F.struct(
+            F.regexp_extract(x, pattern, 1).alias("item"), F.regexp_extract(x, pattern, 2).alias("short")
+        )), lambda i: i["item"] != "")
+
+    def named(i: Column) -> Column:
+        name = F.when(i["short"] == "", i["item"]).otherwise(i["short"])
+        return F.struct(name.alias("name"), F.concat(module, F.lit("."), i["item"]).alias("full"))
+
+    plain = F.transform(
+        items(F.regexp_extract(text, PLAIN_IMPORT, 1), AS_ITEM),
+        lambda i: F.struct(i["short"].alias("name"), i["item"].alias("full")),
+    )
+    return F.when(module != "", F.transform(items(F.regexp_extract(text, FROM_IMPORT, 2), FROM_ITEM), named)).otherwise(plain)
+
+
+def _bindings() -> Column:
+    """The symbol table: every binding of an imported name and the lines it holds on.
+
+    A binding in a block ends with the block.  Definitions and assignments of an imported
+    name are bindings without a full name: where they are the last to hold, the name is
+    not the imported one.
+    """
+    def held(s: Column, name: Column, full: Column) -> Column:
+        after = F.filter("statements", lambda x: (x.n > s.n) & (x.indent < s.indent))
+        last = F.when(s.indent == 0, F.lit(1 << 30)).otherwise(
+            F.coalesce(F.get(after, F.lit(0)).n - 1, F.lit(1 << 30))
+        )
+        return F.struct(
+            name.alias("name"), full.alias("full"), s.n.alias("n"), last.cast("int").alias("last")
+        )
+
+    imports = F.flatten(F.transform(
+        F.filter("statements", lambda s: s.text.contains("import ") & s.text.rlike(r"^\s*(?:from|import)\s")),
+        lambda s: F.transform(_bound_names(s), lambda b: held(s, b["name"], b["full"])),
+    )).cast(_BINDINGS)
+
+    def with_shadows(found: Column) -> Column:
+        names = F.transform(found, lambda b: b["name"])
+        shadowing = F.filter("statements", lambda s: F.array_contains(names, _rebound(s.text)))
+        shadows = F.transform(shadowing, lambda s: held(s, _rebound(s.text), F.lit(None).cast("string")))
+        return F.concat(found, shadows.cast(_BINDINGS))
+
+    return F.when(
+        (F.col("language") == "python") & F.col("content").rlike(ANY_BINDING), let(imports, with_shadows)
+    ).otherwise(F.array().cast(_BINDINGS))
+
+
+def _rebound(text: Column) -> Column:
+    """The name a definition or an assignment gives a new meaning; empty for others."""
+    return F.concat(F.regexp_extract(text, DEFINED, 1), F.regexp_extract(text, ASSIGNED, 1))
+
+
+def _variants() -> Column:
+    """Statements in which imported names are used, with these written out in full."""
+    names = F.array_sort(F.array_distinct(F.transform("bindings", lambda b: b["name"])))
+
+    def resolved(s: Column) -> Column:
+        def step(text: Column, name: Column) -> Column:
+            holding = F.filter(
+                "bindings",
+                lambda b: (b["name"] == name) & (s.n <= b["last"])
+                & ((b["n"] < s.n) | ((b["n"] == s.n) & b["full"].isNull())),
+            )
+            full = F.array_max(F.transform(
+                holding, lambda b: F.struct(b["n"].alias("n"), b["full"].alias("full"))))["full"]
+            written_out = F.regexp_replace(
+                text, F.concat(F.lit(r"(^|[^\w.])"), name, F.lit(r"\b")), F.concat(F.lit("$1"), full)
+            )
+            return F.when(text.contains(name), F.coalesce(written_out, text)).otherwise(text)
+
+        return F.struct(
+            s.n.alias("n"), s.e.alias("e"), s.indent.alias("indent"),
+            F.aggregate(names, s.text, step).alias("text"),
+        )
+
+    pairs = F.transform("statements", lambda s: F.struct(s.alias("own"), resolved(s).alias("full")))
+    changed = F.filter(pairs, lambda p: p["own"]["text"] != p["full"]["text"])
+    return F.when(F.size("bindings") > 0, F.transform(changed, lambda p: p["full"])).otherwise(
+        F.array()
+    ).cast(_STATEMENTS)
+
+
+def with_variants(df: DataFrame) -> DataFrame:
+    """Add ``variants``: statements as they read with the names of imports written out.
+
+    ``loads(x)`` after ``from pickle import loads`` also reads ``pickle.loads(x)``.  The
+    statements themselves stay, since rules may name either form.
+    """
+    bindings, variants = built(("variants",), lambda: (once(_bindings()), once(_variants())))
+    return df.withColumn("bindings", bindings).withColumn("variants", variants)
 
 
 def _block_fold() -> Column:

@@ -227,7 +227,29 @@ def _statement_hits(rules, tier) -> Column:
             ids, lambda r: F.struct(r.alias("rule_id"), s.n.alias("n"), s.text.alias("text"))
         )
 
-    return F.flatten(F.transform("statements", hits)).cast(_HITS)
+    own = F.flatten(F.transform("statements", hits)).cast(_HITS)
+    calls = [r for r in rules if r.scope == "L"]
+    if not calls:
+        return own
+
+    def full_hits(s):
+        ids = F.array_compact(F.array(*[
+            F.when(_enabled(r, tier) & _statement_condition(r, s, None), F.lit(r.rule_id)) for r in calls
+        ]))
+        return F.transform(
+            ids, lambda r: F.struct(r.alias("rule_id"), s.n.alias("n"), s.text.alias("text"))
+        )
+
+    def both(own):
+        """Hits with imported names written out, where a rule has none in the statement itself."""
+        found = F.flatten(F.transform("variants", full_hits)).cast(_HITS)
+        new = F.filter(found, lambda h: ~F.exists(
+            own, lambda o: (o["rule_id"] == h["rule_id"]) & (o["n"] == h["n"])))
+        return F.concat(own, new)
+
+    return F.when(F.size("variants") > 0, let(own, both)).otherwise(own).cast(_HITS) if any(
+        "python" in r.languages for r in calls
+    ) else own
 
 
 def _file_condition(rule: Rule, text: Column) -> Column:

@@ -231,6 +231,55 @@ def _aliases() -> str:
     """
 
 
+def _variants() -> str:
+    """Statements with imported names written out; the latest binding that holds decides."""
+    text = f"replace({swap('text', '#[^' + chr(92) + 'n]*', '')}, chr(92), '')"
+    return f"""
+    WITH imports AS (
+      SELECT file_id, n, indent, {text} AS t FROM statements
+      WHERE language = 'python' AND contains(text, 'import ') AND {has('text', r'^\s*(?:from|import)\s')}),
+    pieces AS (
+      SELECT file_id, n, indent, {part('t', code.FROM_IMPORT, 1)} AS module,
+             unnest(string_split({part('t', code.FROM_IMPORT, 2)}, ',')) AS item
+      FROM imports WHERE {has('t', code.FROM_IMPORT)}
+      UNION ALL
+      SELECT file_id, n, indent, '', unnest(string_split({part('t', code.PLAIN_IMPORT, 1)}, ','))
+      FROM imports WHERE NOT {has('t', code.FROM_IMPORT)}),
+    bound AS (
+      SELECT file_id, n, indent, coalesce(nullif({part('item', code.FROM_ITEM, 2)}, ''), {part('item', code.FROM_ITEM, 1)}) AS name,
+             module || '.' || {part('item', code.FROM_ITEM, 1)} AS full_name
+      FROM pieces WHERE module <> '' AND {has('item', code.FROM_ITEM)}
+      UNION ALL
+      SELECT file_id, n, indent, {part('item', code.AS_ITEM, 2)}, {part('item', code.AS_ITEM, 1)}
+      FROM pieces WHERE module = '' AND {has('item', code.AS_ITEM)}),
+    rebound AS (
+      SELECT file_id, n, indent, {part('text', code.DEFINED, 1)} || {part('text', code.ASSIGNED, 1)} AS name
+      FROM statements WHERE language = 'python'),
+    every AS (
+      SELECT * FROM bound UNION ALL
+      SELECT r.file_id, r.n, r.indent, r.name, NULL FROM rebound r
+      WHERE EXISTS (SELECT 1 FROM bound b WHERE b.file_id = r.file_id AND b.name = r.name)),
+    held AS (
+      SELECT e.*, CASE WHEN e.indent = 0 THEN 1 << 30 ELSE coalesce((
+        SELECT min(x.n) - 1 FROM statements x
+        WHERE x.file_id = e.file_id AND x.n > e.n AND x.indent < e.indent), 1 << 30) END AS last
+      FROM every e),
+    decided AS (
+      SELECT s.file_id, s.n, h.name, max_by(coalesce(h.full_name, ''), [h.n, (h.full_name IS NOT NULL)::INT]) AS full_name
+      FROM statements s JOIN held h ON h.file_id = s.file_id AND s.n <= h.last
+        AND (h.n < s.n OR h.n = s.n AND h.full_name IS NULL)
+      WHERE contains(s.text, h.name) GROUP BY s.file_id, s.n, h.name),
+    listed AS (
+      SELECT file_id, n, list(name || '=' || full_name ORDER BY name) AS names
+      FROM decided WHERE full_name <> '' GROUP BY file_id, n)
+    SELECT * FROM (
+      SELECT s.file_id, s.language, s.n, s.text AS own, list_reduce([s.text] || names, lambda acc, e:
+        regexp_replace(acc, '(^|[^\\w.])' || split_part(e, '=', 1) || '\\b', '\\1' || split_part(e, '=', 2), 'g')) AS text
+      FROM statements s JOIN listed USING (file_id, n))
+    WHERE text <> own
+    """
+
+
 def _blocks() -> str:
     header = code.DEF_LINE
     return f"""
@@ -578,10 +627,16 @@ def _rule_matches() -> str:
                 f"lambda v: NOT {has('v', rules.CONSTANT_NAME)})) > 0"
             )
         cases.append(f"CASE WHEN {cond} THEN {lit(r.rule_id)} END")
+    def hits(table):
+        return (
+            "SELECT file_id, rule_id, n, text FROM (SELECT file_id, n, text, unnest(list_filter(["
+            + ",\n".join(cases) + f"], lambda x: x IS NOT NULL)) AS rule_id FROM {table})"
+        )
+
     out = [
-        "SELECT file_id, rule_id, n, text FROM (SELECT file_id, n, text, unnest(list_filter(["
-        + ",\n".join(cases)
-        + "], lambda x: x IS NOT NULL)) AS rule_id FROM statements)"
+        hits("statements"),
+        f"SELECT * FROM ({hits('variants')}) v WHERE NOT EXISTS (SELECT 1 FROM ({hits('statements')}) o "
+        "WHERE o.file_id = v.file_id AND o.rule_id = v.rule_id AND o.n = v.n)",
     ]
     for r in RULES:
         if r.scope != "F":
@@ -1094,7 +1149,8 @@ FRAGMENTS: dict[str, tuple[tuple[str, ...], str]] = {
                    generate_subscripts(string_split(text, ';'), 1) AS i
             FROM whole WHERE language IN ('javascript', 'typescript'))"""),
     "rule_matches": (
-        ("statements", "whole", "pieces", "coded", "lines", "source"), _rule_matches()),
+        ("statements", "variants", "whole", "pieces", "coded", "lines", "source"), _rule_matches()),
+    "variants": (("statements",), _variants()),
     "placed": (("rule_matches", "rules", "source"), _located("rule_matches")),
     "secret_lines": (("lines",), _secret_lines()),
     "env_entries": (("files",), _env_entries()),

@@ -2,8 +2,11 @@
 
 import ast
 
+import pytest
+
 from pyspark.sql import functions as F
 
+from codeaudit.operators.rules import with_rule_hits
 from codeaudit.operators.code import (
     line_table,
     with_blocks,
@@ -126,3 +129,32 @@ def test_a_literal_with_very_many_escapes(spark, make_files):
     assert string_literals(files).where("length(literal) > 399999").count() == 3
     assert sorted(r.line for r in injection_rows(files).collect()) == [1, 1]
     assert scan.scan(files).where("rule_id = 'prompt-injection-text'").count() == 2
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("from pickle import loads\nloads(x)\n", ["pickle.loads(x)"]),
+    ("from a.b import c as d, e\nd(e.f)\n", ["a.b.c(a.b.e.f)"]),
+    ("from a import (\n    b,  # first\n    c as d,\n)\ny = b(d)\n", ["y = a.b(a.c)"]),
+    ("import x.y as z, q as r\nr.t(z.u)\n", ["q.t(x.y.u)"]),
+    ("from a import *\nb(1)\n", []),
+    ("from .a import b\nb(1)\n", []),
+    ("from pickle import loads\nobj.loads(x)\n", []),
+    ("from pickle import loads\nfrom json import loads\nloads(x)\n", ["json.loads(x)"]),
+    ("from pickle import loads\ndef loads(x):\n    pass\nloads(x)\n", []),
+    ("from pickle import loads\nloads = other\nloads(x)\n", []),
+    ("from pickle import loads\ndef f():\n    loads = other\n    loads(x)\nloads(y)\n", ["pickle.loads(y)"]),
+    ("def f():\n    from pickle import loads\n    loads(x)\nloads(y)\n", ["    pickle.loads(x)"]),
+    ("loads(x)\nfrom pickle import loads\n", []),
+])
+def test_names_of_imports_are_written_out(make_files, text, want):
+    files = make_files([("a.py", text)])
+    row = with_resolved_statements(with_statements(with_code(files))).first()
+    own = {s.n: s.text for s in row.statements}
+    assert [v.text for v in row.variants if not own[v.n].startswith(("from", "import"))] == want
+
+
+def test_calls_of_imported_names_are_found(spark, make_files):
+    files = make_files([("a.py", "from pickle import loads\nx = loads(data)\nfrom subprocess import run as go\ngo(f'ls {c}', shell=True)\n")])
+    model = with_rule_hits(with_resolved_statements(with_statements(with_code(files))))
+    hits = {(h.rule_id, h.n) for h in model.first().rule_hits}
+    assert hits == {("python-deserial-pickle-loads", 2), ("python-cmdi-shell-true", 4)}
