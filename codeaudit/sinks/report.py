@@ -1,11 +1,13 @@
 """JSON and SARIF reports as tables and as text files.
 
 A report is a set of rows, one JSON object per finding, rule or file, written by
-all tasks; no report is gathered in one place.
+all tasks; no report is gathered in one place.  The reports that are one document a
+repository stream each through one task, as one file must be.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.text import pascal_case
 from codeaudit.operators.score import scan_summary
+from codeaudit.sinks.document import write_documents
 from codeaudit.sources.constants import REPORT_LEVELS
 
 VERSION = "0.1.0"
@@ -73,7 +76,7 @@ def sarif_rules(findings: DataFrame) -> DataFrame:
     )
 
 
-def sarif_results(findings: DataFrame, root: str = "") -> DataFrame:
+def sarif_results(findings: DataFrame, root: str = "", *extra: str) -> DataFrame:
     """One row per finding with the index of its rule; the rule list is small and broadcast."""
     rules = F.broadcast(sarif_rules(findings).select("rule_id", "rule_index"))
     return findings.join(rules, "rule_id").select(
@@ -89,14 +92,16 @@ def sarif_results(findings: DataFrame, root: str = "") -> DataFrame:
         F.col("col").alias("start_column"),
         F.round("file_confidence", 4).alias("file_confidence"),
         "severity",
+        *extra,
     )
 
 
-def sarif_result_objects(findings: DataFrame, root: str = "") -> DataFrame:
+def sarif_result_objects(findings: DataFrame, root: str = "", *extra: str) -> DataFrame:
     """SARIF result objects, one JSON text per finding."""
-    rows = sarif_results(findings, root)
+    rows = sarif_results(findings, root, *extra)
     return rows.select(
         "repo_id",
+        *extra,
         F.to_json(
             F.struct(
                 F.col("rule_id").alias("ruleId"),
@@ -138,7 +143,7 @@ def sarif_rule_objects(findings: DataFrame) -> DataFrame:
     )
 
 
-def finding_objects(findings: DataFrame) -> DataFrame:
+def finding_objects(findings: DataFrame, *extra: str) -> DataFrame:
     """Report entries, one JSON text per finding, confidences rounded to four places."""
     names = (
         "rule_id", "severity", "file_path", "line", "col", "message", "fix_guidance", "cwe_id",
@@ -147,13 +152,14 @@ def finding_objects(findings: DataFrame) -> DataFrame:
     values = [
         F.round(c, 4).alias(c) if c == "file_confidence" else F.col(c) for c in names
     ]
-    return findings.select("repo_id", F.to_json(F.struct(*values)).alias("value"))
+    return findings.select("repo_id", *extra, F.to_json(F.struct(*values)).alias("value"))
 
 
-def detector_objects(detector: DataFrame) -> DataFrame:
+def detector_objects(detector: DataFrame, *extra: str) -> DataFrame:
     signals = F.struct(*[F.round(s, 4).alias(s) for s in ("comments", "structure", "tokens")])
     return detector.select(
         "repo_id",
+        *extra,
         F.to_json(
             F.struct(
                 F.col("path").alias("file_path"),
@@ -211,12 +217,68 @@ def write_text_report(detector: DataFrame, findings: DataFrame, path: str) -> No
     scan_summary(detector, findings).select("summary").write.mode("overwrite").text(path)
 
 
+SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
+
+
+def _repositories(detector: DataFrame, findings: DataFrame) -> DataFrame:
+    names = detector.select("repo_id").unionByName(findings.select("repo_id"))
+    return names.distinct().select(F.col("repo_id").alias("name"))
+
+
+def _place() -> Column:
+    """A text that sorts findings by place."""
+    return F.concat_ws("|", "file_path", F.lpad(F.col("line").cast("string"), 12, "0"),
+                       F.lpad(F.col("col").cast("string"), 12, "0"), "rule_id")
+
+
+def write_sarif_documents(detector: DataFrame, findings: DataFrame, path: str) -> None:
+    """One SARIF 2.1.0 document a repository, also for those without findings.
+
+    Every document lists the rules of the run, whose number the catalogue bounds; results
+    stream into the file of their repository in the order of their places.
+    """
+    rules = [r.value for r in sarif_rule_objects(findings).collect()]  # one a rule
+    listed = F.array(*[F.lit(r) for r in rules]).cast("array<string>")
+    heads = _repositories(detector, findings).select(
+        "name", F.lit(0).alias("section"), F.posexplode_outer(listed).alias("n", "value")
+    ).select("name", "section", F.lpad(F.col("n").cast("string"), 12, "0").alias("position"), "value")
+    objects = sarif_result_objects(findings.withColumn("_place", _place()), "", "_place")
+    results = objects.select(
+        F.col("repo_id").alias("name"), F.lit(1).alias("section"), F.col("_place").alias("position"), "value"
+    )
+    head = {"$schema": SARIF_SCHEMA, "version": "2.1.0"}
+    tool = json.dumps({"name": TOOL_NAME, "version": VERSION})
+    texts = [
+        json.dumps(head)[:-1] + ', "runs": [{"tool": {"driver": ' + tool[:-1] + ', "rules": [',
+        ']}}, "columnKind": "unicodeCodePoints", "results": [', "]}]}\n",
+    ]
+    write_documents(heads.unionByName(results), path, texts, ".sarif")
+
+
+def write_json_documents(detector: DataFrame, findings: DataFrame, path: str) -> None:
+    """One JSON document a repository: its detector rows and its findings."""
+    repositories = _repositories(detector, findings).select(
+        "name", F.lit(0).alias("section"), F.lit("").alias("position"),
+        F.to_json(F.struct(F.col("name").alias("repository"))).alias("value"),
+    )
+    files = detector_objects(detector, "path").select(
+        F.col("repo_id").alias("name"), F.lit(1).alias("section"), F.col("path").alias("position"), "value"
+    )
+    objects = finding_objects(findings.withColumn("_place", _place()), "_place").select(
+        F.col("repo_id").alias("name"), F.lit(2).alias("section"), F.col("_place").alias("position"), "value"
+    )
+    texts = [f'{{"version": {json.dumps(VERSION)}, "about": ', ', "files": [', '], "findings": [', "]}\n"]
+    write_documents(repositories.unionByName(files).unionByName(objects), path, texts)
+
+
 Reporter = Callable[[DataFrame, DataFrame, str], None]
 
 REPORTERS: dict[str, Reporter] = {
     "json": write_json_report,
     "sarif": write_sarif_report,
     "text": write_text_report,
+    "sarif-documents": write_sarif_documents,
+    "json-documents": write_json_documents,
 }
 
 
