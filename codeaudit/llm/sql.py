@@ -45,7 +45,7 @@ s AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS h
         max(page_id) OVER (PARTITION BY payload) AS top FROM p)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
        CASE WHEN page_id IS NOT DISTINCT FROM top THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to, true AS digest_agrees
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to, true AS digest_agrees, true AS length_agrees
 FROM s
 """
 

@@ -9,8 +9,9 @@ Of the records with equal payloads the one with the largest page_id is the respo
 holds the payload; the others are revisits that refer to it.
 
 Defined cases: a null html is an empty payload; a null page_id is smaller than any other
-and written as ``page:`` without a number; a null url is an empty target; a page repeated
-in full is a response each time if it is the largest, the payload is stored once all the
+and written as ``page:`` without a number; a null url is an empty target, and line ends in a
+url are written as %0D and %0A, so no url can add a header; a very long payload is one value
+of its row; a page repeated in full is a response each time if it is the largest, the payload is stored once all the
 same; an empty table gives empty tables; other columns are ignored.
 """
 
@@ -45,6 +46,11 @@ def _number(page: Column) -> Column:
     return F.coalesce(page.cast("string"), F.lit(""))
 
 
+def _on_one_line(value: Column) -> Column:
+    """A header value without line ends, which would begin a header of their own."""
+    return F.replace(F.replace(value, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+
+
 def _http_head(size: Column) -> Column:
     return F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
@@ -67,7 +73,7 @@ def _header(kind: str, refers: Column) -> Column:
         F.lit(f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:"),
         _number(F.col("page_id")),
         F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "),
-        F.coalesce("url", F.lit("")),
+        _on_one_line(F.coalesce("url", F.lit(""))),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.lit("\r\n"), extra,
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
@@ -146,14 +152,16 @@ def headers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def records(spark: SparkSession, folder: str) -> DataFrame:
-    """(page_id, record_type, record): the WARC records as bytes, each closed by two line ends."""
+    """The WARC records as bytes, each closed by two line ends, with the fields of their headers."""
     joined = headers(spark, folder).join(payloads(spark, folder), "sha256")
     body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(
         F.lit(b"")
     )
     return joined.select(
-        "page_id", "record_type",
+        "page_id", "record_type", "refers_to", "payload_bytes", "payload_digest", "stated_digest",
         F.concat(F.encode("header", "UTF-8"), body, F.lit(b"\r\n\r\n")).alias("record"),
+        (F.octet_length(F.substring_index("header", "\r\n\r\n", 1)) + 4).alias("header_bytes"),
+        F.regexp_extract("header", r"\r\nContent-Length: (\d+)", 1).cast("long").alias("stated_bytes"),
     )
 
 
@@ -166,11 +174,9 @@ def pages_back(spark: SparkSession, folder: str) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "warc")
     archive(table(spark, sf_dir, "pages"), folder)
-    read = payloads(spark, folder).select("sha256", "payload_bytes", "payload_digest")
-    return (
-        headers(spark, folder).join(read, "sha256")
-        .select(
-            "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
-            (F.col("stated_digest") == F.col("payload_digest")).alias("digest_agrees"),
-        )
+    block = F.octet_length("record") - F.col("header_bytes") - 4
+    return records(spark, folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to",
+        (F.col("stated_digest") == F.col("payload_digest")).alias("digest_agrees"),
+        (block == F.col("stated_bytes")).alias("length_agrees"),
     )

@@ -325,6 +325,20 @@ def test_warc(spark, tmp_path):
     assert warc.records(spark, empty).count() == 0
 
 
+def test_warc_urls_add_no_headers(spark, tmp_path):
+    forged = "http://a/\r\nWARC-Refers-To: <urn:page:99>\r\nWARC-Payload-Digest: sha1:AAAA\r\nContent-Length: 1\r\n\r\nx"
+    pages = spark.createDataFrame([(1, forged, "<p>é</p>"), (2, "http://b/\n", "<p>é</p>")], "page_id long, url string, html string")
+    folder = str(tmp_path / "forged")
+    warc.archive(pages, folder)
+    rows = {r.page_id: r for r in warc.records(spark, folder).collect()}
+    assert (rows[1].record_type, rows[1].refers_to) == ("revisit", 2) and rows[2].refers_to is None
+    for r in rows.values():
+        assert r.stated_digest == r.payload_digest
+        head, _, block = bytes(r.record).partition(b"\r\n\r\n")
+        assert len(head) + 4 == r.header_bytes and len(block) - 4 == r.stated_bytes
+        assert head.count(b"WARC-Target-URI") == 1 and head.count(b"\r\nContent-Length") == 1
+
+
 def test_warc_wrong_digest_is_an_error(spark, tmp_path):
     folder = str(tmp_path / "bad")
     spark.createDataFrame([("00", bytearray(b"x"), 1)], "sha256 string, payload binary, stored_by long").write.parquet(f"{folder}/payloads")
