@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import once
 from codeaudit.functions.text import split_lines, stripped, version_lt
-from codeaudit.operators.envfiles import at_root, uncovered
+from codeaudit.operators.envfiles import SALTS, at_root, uncovered
 from codeaudit.operators.findings import SOURCE_RANK, as_findings
 from codeaudit.sources.constants import (
     BAD_PACKAGES,
@@ -182,7 +182,8 @@ def unknown_packages(deps: DataFrame, registry: DataFrame, names: DataFrame) ->
     """Dependencies a registry snapshot ``(ecosystem, package)`` does not list.
 
     Names are compared once each, so a package used by a third of all projects
-    costs one row in the anti join.
+    costs one row in the anti join.  On the way back to its uses an unlisted name is
+    copied over ``SALTS``, among which the uses are dealt.
     """
     known_bad = F.broadcast(names.select("ecosystem", F.col("name").alias("package")))
     asked = deps.where(F.col("ecosystem").isin(*REGISTRY_ECOSYSTEMS)).join(
@@ -193,7 +194,9 @@ def unknown_packages(deps: DataFrame, registry: DataFrame, names: DataFrame) ->
         .distinct()
         .join(registry.select("ecosystem", "package").distinct(), ["ecosystem", "package"], "left_anti")
     )
-    return asked.join(missing, ["ecosystem", "package"], "left_semi")
+    salted = missing.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = asked.withColumn("_salt", F.pmod(F.xxhash64("file_id", "line"), F.lit(SALTS)).cast("int"))
+    return dealt.join(salted, ["ecosystem", "package", "_salt"], "left_semi").drop("_salt")
 
 
 def lock_keys(file_name: Column) -> Column:

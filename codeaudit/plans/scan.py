@@ -10,6 +10,7 @@ findings.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,22 @@ from codeaudit.sources.corpus import changed_only, is_skipped, is_source, source
 # A detector turns the file table into findings; scans take any number of them.
 Detector = Callable[[DataFrame], DataFrame]
 
+
+@dataclass(frozen=True)
+class Plugin:
+    """A detector with a name and a test of whether it can run; a scan leaves out those that cannot."""
+
+    name: str
+    detect: Detector
+    is_available: Callable[[], bool] = lambda: True
+
+    def __call__(self, files: DataFrame) -> DataFrame:
+        return self.detect(files)
+
+
+def available(detectors: Iterable[Detector]) -> tuple[Detector, ...]:
+    return tuple(d for d in detectors if not isinstance(d, Plugin) or d.is_available())
+
 PROJECT_DETECTORS: tuple[Detector, ...] = (
     dependency_findings, env_findings, config_findings, project_findings,
 )
@@ -290,7 +307,7 @@ def scanned(
     files are scored and meet rules; the project checks and the injection search
     still see the whole tree.  ``rules`` may hold rules of the caller's own.
     """
-    detectors, rules = tuple(detectors), tuple(rules)
+    detectors, rules = available(detectors), tuple(rules)
     marked = marked_files(files, changed_paths, **options)
     results = written(
         file_results(marked, threshold, keep_projects=True, rules=rules), "results", folder

@@ -254,3 +254,20 @@ def test_changed_only(spark, make_files):
     files = make_files([("a.py", "x"), ("b.py", "y")])
     changed = spark.createDataFrame([("r", "r/p/a.py"), ("r", "r/p/gone.py")], "repo_id string, path string")
     assert [r.rel_path for r in changed_only(files, changed).collect()] == ["a.py"]
+
+
+def test_plugins_have_a_name_and_an_availability(make_files):
+    from codeaudit.plans import scan
+
+    def own(files):
+        return scan.as_findings(
+            files, rule_id="own", severity="LOW", file_path="x", line=1, message="m", cwe_id="", rule_category="own",
+            source_rank=9)
+
+    def broken(files):
+        raise AssertionError("must not run")
+
+    plugins = (scan.Plugin("own", own), scan.Plugin("gone", broken, lambda: False))
+    found = scan.all_findings(make_files([("a.py", "x = 1\n")]), detectors=plugins)
+    assert [r.rule_id for r in found.collect()] == ["own"]
+    assert [d.name for d in scan.available(plugins)] == ["own"]
