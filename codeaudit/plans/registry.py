@@ -755,6 +755,11 @@ def stream_dedupe(spark, sf_dir):
     return incremental.stream_dedupe(spark, sf_dir)
 
 
+@query
+def stream_rescan(spark, sf_dir):
+    return incremental.stream_rescan(spark, sf_dir)
+
+
 # --- rules given as rows -----------------------------------------------------------------
 
 

@@ -1,11 +1,11 @@
-"""Scans of files as they arrive, and deduplication of a stream of findings."""
+"""Scans of files as they arrive, once or in new versions, and deduplication of findings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeaudit.functions.plan import work_folder
+from codeaudit.functions.plan import broadcast_if_small, work_folder
 from codeaudit.operators.code import (
     with_code,
     with_lines,
@@ -24,11 +24,11 @@ def document_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
 
 
-def rule_hit_rows(files: DataFrame) -> DataFrame:
+def rule_hit_rows(files: DataFrame, *extra: str) -> DataFrame:
     """Rule hits of each file on its own: stateless, so the same for batches and streams."""
     statements = with_resolved_statements(with_statements(with_code(source_files(files))))
-    hits = with_rule_hits(statements).select("file_id", "path", "rule_hits")
-    return located(hits, files.sparkSession).select("file_id", "path", "rule_id", "line", "col")
+    hits = with_rule_hits(statements).select("file_id", "path", *extra, "rule_hits")
+    return located(hits, files.sparkSession).select("file_id", "path", *extra, "rule_id", "line", "col")
 
 
 def injection_literal_rows(files: DataFrame) -> DataFrame:
@@ -83,6 +83,74 @@ def run_to_table(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+# --- files that land again ------------------------------------------------------------------
+
+
+def land(stream: DataFrame, folder: str, run: str = "run") -> None:
+    """Scan what has landed and add its findings and versions to the tables in ``folder``.
+
+    ``stream`` is a stream of the file table with ``version`` (a number that grows with each
+    change of a file) and ``is_deleted``.  Every micro-batch writes partitions of its own,
+    and writes them again if it is run again, so a restart leaves no finding twice.  A file
+    that changes is not looked up in older findings: ``current_findings`` tells which
+    versions count.
+    """
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        landed = f"{run}-{batch_id:012d}"
+        files = batch.where(~F.col("is_deleted")).drop("is_deleted")
+        hits = rule_hit_rows(files, "repo_id", "version")
+        hits.write.mode("overwrite").parquet(f"{folder}/findings/landed={landed}")
+        versions = batch.select("repo_id", "path", "version", "is_deleted").distinct()
+        versions.write.mode("overwrite").parquet(f"{folder}/versions/landed={landed}")
+
+    query = (
+        stream.writeStream.foreachBatch(merge)
+        .option("checkpointLocation", f"{folder}/state-{run}")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+
+
+def current_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """The findings of the last version of every file; none of files deleted in it.
+
+    Of landings of one version the last counts.  The last version is a partial aggregate
+    per path, and findings meet it by path, so neither contents nor old findings are
+    rewritten when a file changes.
+    """
+    versions = spark.read.parquet(f"{folder}/versions").withColumn("landed", F.col("landed").cast("string"))
+    last = versions.groupBy("repo_id", "path").agg(
+        F.max(F.struct("version", "landed", "is_deleted")).alias("last")
+    )
+    kept = last.where("NOT last.is_deleted").select("repo_id", "path", "last.version", "last.landed")
+    found = spark.read.parquet(f"{folder}/findings").withColumn("landed", F.col("landed").cast("string"))
+    return found.join(kept, ["repo_id", "path", "version", "landed"], "left_semi").drop("landed")
+
+
+def compact(spark: SparkSession, folder: str, into: str) -> None:
+    """Write the tables of ``folder`` to ``into`` without findings that no longer count."""
+    found = current_findings(spark, folder)
+    found.write.mode("overwrite").parquet(f"{into}/findings/landed=0")
+    versions = spark.read.parquet(f"{folder}/versions").withColumn("landed", F.col("landed").cast("string"))
+    last = versions.groupBy("repo_id", "path").agg(F.max(F.struct("version", "landed", "is_deleted")).alias("last"))
+    last.select("repo_id", "path", "last.version", "last.is_deleted").write.mode("overwrite").parquet(
+        f"{into}/versions/landed=0"
+    )
+
+
+def stream_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files land; the labelled ones land again, those of low quality as deleted."""
+    folder = work_folder(spark, "rescan")
+    first = corpus_from_documents(document_stream(spark, sf_dir))
+    land(first.withColumns({"version": F.lit(1), "is_deleted": F.lit(False)}), folder, "first")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy(F.col("doc_id").alias("file_id")).agg(
+        F.coalesce(F.max(F.col("quality") == 0), F.lit(False)).alias("is_deleted")
+    )
+    again = corpus_from_documents(document_stream(spark, sf_dir)).join(broadcast_if_small(labels), "file_id")
+    land(again.withColumn("version", F.lit(2)), folder, "second")
+    return current_findings(spark, folder).select("file_id", "path", "rule_id", "line", "col")
+
+
 def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = corpus_from_documents(document_stream(spark, sf_dir))
     return run_to_table(rule_hit_rows(files), "scan")

@@ -352,3 +352,7 @@ WHERE model = again AND regexp_matches(id, '(?i)id') AND NOT EXISTS (
       AND trim(l.raw, ' ' || chr(9) || chr(13)) <> '' AND {_WIDTH.format('l')} <= {_WIDTH.format('h')}))
 GROUP BY file_id, n
 """, "lines", "source")
+
+add("stream_rescan",
+    "SELECT file_id, path, rule_id, line, col FROM placed "
+    "WHERE file_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0 AND doc_id IS NOT NULL)", "placed")
