@@ -226,3 +226,78 @@ def fix_diff_rows(files: DataFrame, replacements: DataFrame) -> DataFrame:
     # a file with its replacements gives only the rows that differ; its text goes no further
     found = F.flatten(F.array_compact(F.transform("_fixes", rows)))
     return lines.select(F.col("path").alias("file_path"), F.inline(found))
+
+
+def fix_diffs(files: DataFrame, replacements: DataFrame, context: int = 3) -> DataFrame:
+    """(file_path, diff): the unified diff of each file that replacements change.
+
+    Only lines within ``context`` of a change leave their file.  A replaced line that stands
+    among its new lines stays; lines removed one after another come before what is added for
+    them; changes with more than twice ``context`` lines between them are hunks of their own.
+    Lines that do not exist and replacements that change nothing are ignored.
+    """
+    per_file = replacements.groupBy("file_path", "line").agg(F.min("new_text").alias("new_text"))
+    per_file = per_file.groupBy(F.col("file_path").alias("path")).agg(
+        F.map_from_entries(F.collect_list(F.struct("line", "new_text"))).alias("_fixes")
+    )
+    lines = with_lines(files.join(broadcast_if_small(per_file), "path")).select("path", "raw", "_fixes")
+    size = F.size("raw")
+    changed = F.filter(F.map_keys("_fixes"), lambda n: (n >= 1) & (n <= size)
+                       & (F.element_at("_fixes", n) != F.get("raw", n - 1)))
+
+    def sides(n):
+        new = F.split(F.element_at("_fixes", n), "\n", -1)
+        return F.get("raw", n - 1), new, F.array_position(new, F.get("raw", n - 1)).cast("int")
+
+    def around(n):
+        _, new, kept = sides(n)  # a kept line with changes on one side only is context itself
+        first = n - context + (kept == 1).cast("int")
+        last = n + context - (kept == F.size(new)).cast("int")
+        return F.sequence(F.greatest(first, F.lit(1)), F.least(last, size))
+
+    near = F.array_distinct(F.flatten(F.transform(changed, around)))
+
+    def items(n):
+        old, new, kept = sides(n)
+        added = F.transform(new, lambda x, i: F.struct(
+            F.when(i + 1 == kept, " ").otherwise("+").alias("mark"), x.alias("text")))
+        gone = F.struct(F.lit("-").alias("mark"), old.alias("text"))
+        own = F.struct(F.lit(" ").alias("mark"), old.alias("text"))
+        return F.when(~F.array_contains(changed, n), F.array(own)).when(kept > 0, added).otherwise(
+            F.concat(F.array(gone), added)
+        )
+
+    rows = lines.select("path", F.explode(F.transform(
+        near, lambda n: F.struct(n.cast("int").alias("n"), items(n).alias("items")))).alias("l"))
+    rows = rows.select("path", "l.n", F.posexplode("l.items").alias("seq", "item"))
+    rows = rows.select("path", "n", "seq", "item.mark", "item.text")
+    # windows hold the lines around the changes of one file
+    order = Window.partitionBy("path").orderBy("n", "seq")
+    is_old = (F.col("mark") != "+").cast("int")
+    is_new = (F.col("mark") != "-").cast("int")
+    opens = F.coalesce(F.col("n") - F.lag("n").over(order) > 1, F.lit(True)).cast("int")
+    placed = rows.withColumns({
+        "hunk": F.sum(opens).over(order), "run": F.sum((F.col("mark") == " ").cast("int")).over(order),
+        "ahead": F.sum(is_new - is_old).over(order) - (is_new - is_old),
+    })
+    rank = F.when(F.col("mark") == " ", 0).when(F.col("mark") == "-", 1).otherwise(2)
+    line = F.concat("mark", "text")
+    hunks = placed.groupBy("path", "hunk").agg(
+        F.min("n").alias("first"), F.sum(is_old).alias("old"), F.sum(is_new).alias("new"),
+        F.min_by("ahead", F.struct("n", "seq")).alias("ahead"),
+        F.sort_array(F.collect_list(F.struct("run", rank.alias("rank"), "n", "seq", line.alias("line")))).alias("lines"),
+    )
+
+    def span(start, count):
+        return F.when(count == 1, start.cast("string")).otherwise(F.concat_ws(",", start, count))
+
+    text = F.concat(
+        F.lit("@@ -"), span(F.col("first"), F.col("old")), F.lit(" +"),
+        span(F.col("first") + F.col("ahead"), F.col("new")), F.lit(" @@\n"),
+        F.array_join(F.transform("lines", lambda l: F.concat(l["line"], F.lit("\n"))), ""),
+    )
+    whole = F.sort_array(F.collect_list(F.struct("first", text.alias("text"))))
+    return hunks.groupBy(F.col("path").alias("file_path")).agg(F.concat(
+        F.lit("--- a/"), F.first("path"), F.lit("\n+++ b/"), F.first("path"), F.lit("\n"),
+        F.array_join(F.transform(whole, lambda h: h["text"]), ""),
+    ).alias("diff"))

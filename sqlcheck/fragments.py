@@ -754,7 +754,7 @@ def _located(matches: str) -> str:
       FROM {matches} h JOIN rules r USING (rule_id) JOIN source f USING (file_id)),
     numbered AS (SELECT *, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i FROM split_at),
     -- where a pattern takes the character before a name, the place is that of the name
-    led AS (SELECT *, CASE WHEN contains(pos_regex, '(^|[^') AND regexp_matches(hit, '^\W') THEN hit[1] ELSE '' END AS lead
+    led AS (SELECT *, CASE WHEN contains(pos_regex, '(^|[^') AND regexp_matches(hit, '^\\W') THEN hit[1] ELSE '' END AS lead
             FROM numbered),
     found AS (
       SELECT *, {strip('hit[length(lead) + 1:]')} AS matched, array_to_string(list_transform(range(1, i + 1),
