@@ -121,35 +121,42 @@ def _structure_lines() -> Column:
     )
 
 
+def blanked(m: Column, is_py: Column) -> Column:
+    """A line without its comments and the text of its string literals."""
+    start = F.ltrim(m, F.lit(BLANKS))
+    py = F.regexp_replace(F.regexp_replace(m, PY_COMMENT, "$1"), PY_STRING, '""')
+    js = F.regexp_replace(F.regexp_replace(m, JS_COMMENT, "$1"), JS_STRING, '""')
+    return (
+        F.when(start.startswith("#") & is_py, F.lit(""))
+        .when(start.startswith("//") & ~is_py, F.lit(""))
+        .when(~m.rlike("[\"'`#/]"), m)
+        .when(is_py, py)
+        .otherwise(js)
+    )
+
+
 def _blanked_lines() -> Column:
     """Number each line and drop its comments and the text of its string literals."""
     is_py = F.col("language") == "python"
-
-    def blank(m):
-        start = F.ltrim(m, F.lit(BLANKS))
-        py = F.regexp_replace(F.regexp_replace(m, PY_COMMENT, "$1"), PY_STRING, '""')
-        js = F.regexp_replace(F.regexp_replace(m, JS_COMMENT, "$1"), JS_STRING, '""')
-        return (
-            F.when(start.startswith("#") & is_py, F.lit(""))
-            .when(start.startswith("//") & ~is_py, F.lit(""))
-            .when(~m.rlike("[\"'`#/]"), m)
-            .when(is_py, py)
-            .otherwise(js)
-        )
-
     return F.transform(
         "_m",
-        lambda m, i: F.struct((i + 1).alias("n"), m.alias("m"), blank(m).alias("b")),
+        lambda m, i: F.struct((i + 1).alias("n"), m.alias("m"), blanked(m, is_py).alias("b")),
     )
 
 
-def _measured_lines() -> Column:
-    """Add the indent, the bracket balance, and whether a line must start a statement."""
+def _measured_lines(opener_before: Column | None = None) -> Column:
+    """Add the indent, the bracket balance, and whether a line must start a statement.
+
+    ``opener_before`` tells of lines that are not the first of their file whether the line
+    before them opens a block.
+    """
     is_py = F.col("language") == "python"
 
     def starts(l, i):
         header = (l.m.contains("def") | l.m.contains("class")) & l.m.rlike(PY_HEADER)
         after_opener = F.get(F.col("_l"), i - 1).b.rlike(JS_BLOCK_OPENER)
+        if opener_before is not None:
+            after_opener = F.when(i == 0, opener_before).otherwise(after_opener)
         return F.coalesce(F.when(is_py, header).otherwise(after_opener), F.lit(False))
 
     return F.transform(
@@ -170,10 +177,13 @@ def _span(s: Column, e: Column) -> Column:
     return F.array(F.struct(s.alias("s"), e.alias("e")))
 
 
-def _bracket_fold() -> Column:
-    """Fold the lines that change the depth into the spans with open brackets."""
+def _bracket_fold(depth: Column | None = None) -> Column:
+    """Fold the lines that change the depth into the spans with open brackets.
+
+    With brackets open before the first line, ``depth`` of them, a span starts at line 0.
+    """
     events = F.filter("_l", lambda l: (l.delta != 0) | l.seg)
-    start = {"depth": F.lit(0), "s": F.lit(0), "spans": F.array().cast(_SPANS)}
+    start = {"depth": F.lit(0) if depth is None else depth, "s": F.lit(0), "spans": F.array().cast(_SPANS)}
 
     def step(st, l):
         cut = l.seg & (st.depth > 0)
@@ -447,10 +457,15 @@ def with_variants(df: DataFrame) -> DataFrame:
     return df.withColumn("bindings", bindings).withColumn("variants", variants)
 
 
-def _block_fold() -> Column:
+def closes_blocks(l: Column) -> Column:
+    return ~F.ltrim(l.m, F.lit(BLANKS)).rlike(r"^[)\]}\x03]")
+
+
+def _block_fold(stack: Column | None = None, last: Column | None = None) -> Column:
     """One pass over the code lines that keeps the open blocks on a stack.
 
-    A line pops every block indented at least as deep, a header is pushed.
+    A line pops every block indented at least as deep, a header is pushed.  ``stack`` holds
+    the blocks open before the first line, ``last`` the last code line before it.
     """
     lines = F.when(F.col("language") == "python", F.filter("code", lambda l: l.sig)).otherwise(
         F.array().cast(_CODE)
@@ -470,7 +485,7 @@ def _block_fold() -> Column:
         )
 
     def step(st, l):
-        closes = ~F.ltrim(l.m, F.lit(BLANKS)).rlike(r"^[)\]}\x03]")
+        closes = closes_blocks(l)
         kept = F.when(closes, F.filter(st.stack, lambda b: b.indent < l.indent)).otherwise(st.stack)
         ended = F.when(closes, F.filter(st.stack, lambda b: b.indent >= l.indent)).otherwise(
             F.array().cast(f"array<{_BLOCK}>")
@@ -484,9 +499,9 @@ def _block_fold() -> Column:
         )
 
     start = {
-        "stack": F.array().cast(f"array<{_BLOCK}>"),
+        "stack": F.array().cast(f"array<{_BLOCK}>") if stack is None else stack,
         "done": F.array().cast(_BLOCKS),
-        "last": F.lit(0),
+        "last": F.lit(0) if last is None else last,
     }
     return fold(lines, start, "done", step)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import spread, written
 from codeaudit.functions.text import entropy, version_key, version_lt
-from codeaudit.operators import agentconfig, dependencies, envfiles, injection, patterns, score, signals
+from codeaudit.operators import agentconfig, dependencies, envfiles, injection, longfiles, patterns, score, signals
 from codeaudit.operators import findings as fx
 from codeaudit.operators.code import (
     line_table,
@@ -150,6 +150,17 @@ def block_spans(spark, sf_dir):
     )
 
 
+@query
+def long_statements(spark, sf_dir):
+    """Statements of files cut into buckets of lines, as for files too long for one task."""
+    return longfiles.statements(longfiles.buckets_of(source_of(spark, sf_dir), 256))
+
+
+@query
+def long_blocks(spark, sf_dir):
+    return longfiles.blocks(longfiles.buckets_of(source_of(spark, sf_dir), 256))
+
+
 # --- signals --------------------------------------------------------------------------
 
 _TEXT_ONLY = {

@@ -39,6 +39,9 @@ add("block_spans",
     'SELECT file_id, line, "end" AS last_line, indent, kind, name, parent_line, parent_kind FROM blocks',
     "blocks")
 
+SQL["long_statements"] = SQL["logical_statements"]
+SQL["long_blocks"] = SQL["block_spans"]
+
 for _name, _col, _frag in (
     ("sig_section_headings", "c_headings", "text_features"),
     ("sig_param_underline", "c_underline", "text_features"),
