@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeaudit.functions.plan import broadcast_if_small
 from codeaudit.functions.text import matches_any, stripped
 from codeaudit.operators.code import with_lines
 from codeaudit.sources.constants import INJECTION_EXTENSIONS, INJECTION_PATTERNS
@@ -15,11 +16,16 @@ WHOLE_LINE_EXTENSIONS = (".json", ".yaml", ".yml")
 
 
 def injection_files(files: DataFrame, given: DataFrame | None = None) -> DataFrame:
-    """Files of eight extensions anywhere in the tree, and the given ones, once each."""
+    """Files of eight extensions anywhere in the tree, and the given ones, once each.
+
+    A given file is told by its repository and path: one that the tree has too is left out.
+    """
     kept = files.where(F.col("ext").isin(*INJECTION_EXTENSIONS))
     if given is None:
         return kept
-    return kept.union(given.where(F.col("ext").isin(*INJECTION_EXTENSIONS))).distinct()
+    key = ["repo_id", "path"]
+    others = given.where(F.col("ext").isin(*INJECTION_EXTENSIONS)).dropDuplicates(key)
+    return kept.unionByName(others.join(broadcast_if_small(kept.select(*key)), key, "left_anti").select(*kept.columns))
 
 
 def literals_of(line: Column, ext: Column) -> Column:
@@ -63,8 +69,8 @@ def injection_lines() -> Column:
     return F.when(wanted, lines).otherwise(F.array().cast("array<struct<n:int,text:string>>"))
 
 
-def injection_rows(files: DataFrame) -> DataFrame:
-    found = with_lines(injection_files(files)).select(
+def injection_rows(files: DataFrame, given: DataFrame | None = None) -> DataFrame:
+    found = with_lines(injection_files(files, given)).select(
         "repo_id", "file_id", "path", F.explode(injection_lines()).alias("hit")
     )
     return found.select("repo_id", "file_id", "path", F.col("hit.n").alias("line"))

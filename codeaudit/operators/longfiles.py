@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codeaudit.functions.arrays import let
 from codeaudit.functions.plan import once
 from codeaudit.functions.text import extension_of, indent_of, split_lines, stripped
 from codeaudit.operators.code import (
@@ -43,7 +44,7 @@ from codeaudit.operators.code import (
 )
 from codeaudit.sources.corpus import language_of
 
-BUCKET_LINES = 4096
+BUCKET_LINES = 512
 QUOTES = "\"\"\"|'''"
 _KEY = ["file_id", "bucket"]
 
@@ -65,7 +66,17 @@ def buckets_of(files: DataFrame, lines: int = BUCKET_LINES) -> DataFrame:
         .withColumn("raw", once(split_lines(F.col("content"))))
         .select("file_id", "language", F.inline(parts))
     )
-    return rows.withColumn("first", F.col("bucket") * lines).repartition(*_KEY)
+    return _dealt(rows.withColumn("first", F.col("bucket") * lines))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Buckets by hash over a fixed number of tasks.
+
+    Their folds cost far more than their bytes tell, so adaptive execution must not put
+    small partitions together.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, *_KEY)
 
 
 def read_buckets(spark: SparkSession, paths: str | list[str], lines: int = BUCKET_LINES) -> DataFrame:
@@ -91,10 +102,10 @@ def read_buckets(spark: SparkSession, paths: str | list[str], lines: int = BUCKE
         F.coalesce(before, F.lit(0)).cast("int").alias("first"),
     )
     name = F.element_at(F.split("file_id", "/"), -1)
-    return parts.join(places, ["file_id", "split", "part"]).select(
+    return _dealt(parts.join(places, ["file_id", "split", "part"]).select(
         "file_id", language_of(name, extension_of(name)).alias("language"), "bucket", "raw",
         F.lit(False).alias("unended"), "first",
-    )
+    ))
 
 
 def _file_window() -> Window:
@@ -108,16 +119,21 @@ def _before(window: Window) -> Window:
 def _masked(text: Column) -> Column:
     """Lines of a bucket with triple-quoted text masked, from the carried quote on."""
     inside = F.when(F.col("in_text"), 1).otherwise(0)
-    segments = F.split(text, QUOTES, -1)
-    last = F.size(segments) - 1
 
-    def hidden(s, i):
-        opening = F.when(i > 0, F.lit(TEXT_OPEN)).otherwise("")
-        closing = F.when((i < last) | F.col("unended"), F.lit(TEXT_CLOSE)).otherwise("")
-        return F.concat(opening, F.regexp_replace(s, r"[^\n]", " "), closing)
+    def masked(segments):
+        def hidden(s, i):
+            closes = (i < F.size(segments) - 1) | F.col("unended")
+            return F.concat(
+                F.when(i > 0, F.lit(TEXT_OPEN)).otherwise(""),
+                F.regexp_replace(s, r"[^\n]", " "),
+                F.when(closes, F.lit(TEXT_CLOSE)).otherwise(""),
+            )
+
+        return F.transform(
+            segments, lambda s, i: F.when((i + inside) % 2 == 1, hidden(s, i)).otherwise(s)
+        )
 
-    whole = F.transform(segments, lambda s, i: F.when((i + inside) % 2 == 1, hidden(s, i)).otherwise(s))
-    return F.split(F.array_join(whole, ""), "\n", -1)
+    return F.split(F.array_join(let(F.split(text, QUOTES, -1), masked), ""), "\n", -1)
 
 
 def with_code_lines(buckets: DataFrame) -> DataFrame:

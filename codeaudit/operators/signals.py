@@ -6,6 +6,8 @@ scoring any number of files is a projection: no shuffle, no join, no UDF.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -364,6 +366,28 @@ def annotation_count() -> Column:
 
 # --- totals -------------------------------------------------------------------
 
+_PREFIXES = {"comments": "c_", "structure": "s_", "tokens": "t_"}
+
+
+@dataclass(frozen=True)
+class Signal:
+    """A feature of the caller's own: points that a row of the code model adds to one signal.
+
+    ``points`` makes the column; null counts as none.  The sum of a signal stays between 0 and 1.
+    """
+
+    name: str
+    signal: str
+    points: Callable[[], Column]
+
+    def __post_init__(self):
+        if self.signal not in _PREFIXES:
+            raise ValueError(f"unknown signal {self.signal}")
+
+    def column(self) -> tuple[str, Column]:
+        value = F.coalesce(self.points().cast("double"), F.lit(0.0))
+        return f"{_PREFIXES[self.signal]}own_{self.name}", once(value)
+
 
 def capped(count: Column, weight: float, limit: float) -> Column:
     return F.round(F.least(count * weight, F.lit(limit)), 4)
@@ -375,8 +399,8 @@ def code_model(files: DataFrame) -> DataFrame:
     return with_resolved_statements(with_functions(coded))
 
 
-def with_features(model: DataFrame) -> DataFrame:
-    """Add the features as columns, then the three signals, the confidence and the tier."""
+def with_features(model: DataFrame, own: Iterable[Signal] = ()) -> DataFrame:
+    """Add the features as columns, also the caller's own, then the three signals and the confidence."""
     python = F.col("language") == "python"
     blank = stripped(F.col("content")) == ""
 
@@ -418,6 +442,8 @@ def with_features(model: DataFrame) -> DataFrame:
 
     counted = model.withColumns(built(("feature counts",), counts))
     parts = counted.withColumns(built(("feature points",), points))
+    for signal in own:
+        parts = parts.withColumn(*signal.column())
 
     def total(prefix):
         names = [c for c in parts.columns if c.startswith(prefix)]
@@ -449,9 +475,11 @@ def scan_tier(value: Column, threshold: float = AI_THRESHOLD) -> Column:
     )
 
 
-def detect(files: DataFrame, threshold: float = AI_THRESHOLD) -> DataFrame:
+def detect(
+    files: DataFrame, threshold: float = AI_THRESHOLD, own: Iterable[Signal] = ()
+) -> DataFrame:
     """One row per file: the three signals, the confidence, the tier and the AI flag."""
-    scored = with_features(code_model(files)).withColumns(
+    scored = with_features(code_model(files), own).withColumns(
         {
             "scan_tier": once(scan_tier(F.col("confidence"), threshold)),
             "is_ai": F.col("confidence") >= AI_THRESHOLD,

@@ -458,6 +458,15 @@ def prompt_injection(spark, sf_dir):
     return injection.injection_rows(files_of(spark, sf_dir))
 
 
+@query
+def prompt_injection_given(spark, sf_dir):
+    """A tree without the files labelled as poor, and all labelled files given besides."""
+    files, labels = files_of(spark, sf_dir), labels_of(spark, sf_dir)
+    tree = files.join(labels.where("quality = 0").select("file_id"), "file_id", "left_anti")
+    given = files.join(labels.select("file_id"), "file_id", "left_semi")
+    return injection.injection_rows(tree, given)
+
+
 @query
 def prompt_injection_chat(spark, sf_dir):
     return injection.chat_injections(read_table(spark, sf_dir, "conversations"))

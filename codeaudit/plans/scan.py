@@ -30,7 +30,7 @@ from codeaudit.operators.findings import (
 )
 from codeaudit.operators.project import is_project_file, project_findings
 from codeaudit.operators.rules import located, with_lines_around, with_rule_hits
-from codeaudit.operators.signals import code_model, scan_tier, with_features
+from codeaudit.operators.signals import Signal, code_model, scan_tier, with_features
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, Rule
 from codeaudit.sources.constants import AI_THRESHOLD, SOURCE_EXTENSIONS
 from codeaudit.sources.corpus import changed_only, is_skipped, is_source, source_files
@@ -71,10 +71,11 @@ _RANKED = "array<struct<rank:int,rule_id:string,n:int,text:string>>"
 
 
 def tiered_model(
-    files: DataFrame, threshold: float = AI_THRESHOLD, rules: Iterable[Rule] = RULES
+    files: DataFrame, threshold: float = AI_THRESHOLD, rules: Iterable[Rule] = RULES,
+    signals: Iterable[Signal] = (),
 ) -> DataFrame:
     """Code model, signals, confidence, tier and the tier's rule hits of source files."""
-    scored = with_features(code_model(files)).withColumn(
+    scored = with_features(code_model(files), signals).withColumn(
         "scan_tier", once(scan_tier(F.col("confidence"), threshold))
     )
     return with_rule_hits(scored, "scan_tier", tuple(rules))
@@ -196,6 +197,7 @@ def file_results(
     threshold: float = AI_THRESHOLD,
     keep_projects: bool = False,
     rules: Iterable[Rule] = RULES,
+    signals: Iterable[Signal] = (),
 ) -> DataFrame:
     """One row per scanned or injection-checked file: its scores and the hits in its text.
 
@@ -216,7 +218,7 @@ def file_results(
     gated = wanted.withColumn(
         "language", once(F.when(F.col("is_scanned"), F.col("language")).otherwise(""))
     )
-    model = unreported_secrets(tiered_model(gated, threshold, rules))
+    model = unreported_secrets(tiered_model(gated, threshold, rules, signals))
 
     def ranked(hits, rank, rule_id):
         return F.transform(
@@ -296,6 +298,7 @@ def scanned(
     changed_paths: DataFrame | None = None,
     detectors: Iterable[Detector] = PROJECT_DETECTORS,
     rules: Iterable[Rule] = RULES,
+    signals: Iterable[Signal] = (),
     folder: str | None = None,
     **options,
 ) -> tuple[DataFrame, DataFrame]:
@@ -305,12 +308,14 @@ def scanned(
     folder) with the text of the few files that project detectors look at, and
     everything else is derived from there.  With ``changed_paths`` only changed
     files are scored and meet rules; the project checks and the injection search
-    still see the whole tree.  ``rules`` may hold rules of the caller's own.
+    still see the whole tree.  ``rules`` may hold rules of the caller's own, ``signals``
+    features of their own that add to the score and so to the tier.
     """
     detectors, rules = available(detectors), tuple(rules)
     marked = marked_files(files, changed_paths, **options)
     results = written(
-        file_results(marked, threshold, keep_projects=True, rules=rules), "results", folder
+        file_results(marked, threshold, keep_projects=True, rules=rules, signals=signals),
+        "results", folder,
     )
     found = _with_project_checks(
         content_findings(results, rules),

@@ -148,6 +148,7 @@ add("string_literals", "SELECT file_id, line, seq, literal FROM literals", "lite
 add("prompt_injection",
     f"SELECT DISTINCT repo_id, file_id, path, line FROM literals WHERE {has('literal', INJECTION)}",
     "literals")
+SQL["prompt_injection_given"] = SQL["prompt_injection"]
 SQL["prompt_injection_chat"] = (
     f"SELECT role, count(*) AS turns, count_if({has('text', INJECTION)})::BIGINT AS flagged "
     "FROM conversations GROUP BY 1")

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeaudit.operators import signals
+from codeaudit.plans import scan
 from codeaudit.sources.constants import STOCK_NAMES
 from codeaudit.sources.snippets import REGULAR_SERVICE, SNIPPETS
 
@@ -126,3 +127,23 @@ def test_structure_equals_brute_force(make_files):
         assert (r.share is None) == (share is None), path
         assert share is None or abs(r.share - share) < 1e-5, path
         assert (r.stock, r.counts) == (stock, counts), path
+
+
+def test_signals_of_the_callers_own(spark, make_files):
+    files = make_files([("a.py", "x = 1  # robot\n"), ("b.py", "x = 1\n")])
+    own = [
+        signals.Signal("robot", "comments", lambda: F.when(F.col("content").contains("robot"), 0.9)),
+        signals.Signal("long", "tokens", lambda: F.size("raw") * 5.0),
+    ]
+    plain = {r.path: r for r in signals.detect(files).collect()}
+    got = {r.path: r for r in signals.detect(files, own=own).collect()}
+    assert {p: (r.comments, r.tokens) for p, r in got.items()} == {
+        "r/p/a.py": (0.9, 1.0), "r/p/b.py": (0.0, 1.0)}
+    assert got["r/p/a.py"].confidence > got["r/p/b.py"].confidence > plain["r/p/b.py"].confidence
+    results, _ = scan.scanned(files, signals=own)
+    assert {r.path: r.confidence for r in results.collect()} == {p: r.confidence for p, r in got.items()}
+
+
+def test_signal_of_an_unknown_kind():
+    with pytest.raises(ValueError):
+        signals.Signal("x", "taste", lambda: F.lit(1.0))
