@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.arrays import let, running_sums
 from codeaudit.functions.plan import once, settled, written
-from codeaudit.functions.text import newline_count
+from codeaudit.functions.text import any_of, newline_count
 from codeaudit.operators.findings import SOURCE_RANK, as_findings
 
 #: Characters of a bucket; a covering interval is copied to the buckets it reaches.
@@ -42,7 +42,11 @@ LEAVES = ("regex", "indented", "braced")
 
 
 class Node(NamedTuple):
-    """``parent`` is None at the root; ``role`` says what the node is to its parent ``all``."""
+    """``parent`` is None at the root; ``role`` says what the node is to its parent ``all``.
+
+    ``keyword`` is a literal that every match of a leaf must contain; it is tested before
+    the expression.
+    """
 
     rule_id: str
     node: int
@@ -51,6 +55,7 @@ class Node(NamedTuple):
     expression: str = ""
     role: str = "match"
     capture: str = ""
+    keyword: str = ""
 
 
 class Description(NamedTuple):
@@ -148,6 +153,15 @@ def leaf_matches(files: DataFrame, nodes: Sequence[Node], languages: dict[str, t
     """(file_id, repo_id, path, rule_id, node, start, stop, line, col, match, captures) of all leaves."""
     text, size = F.col("content"), F.length("content").cast("bigint")
 
+    def may_hold(leaf: Node) -> Column:
+        wanted = languages.get(leaf.rule_id, ())
+        could = F.col("language").isin(*wanted) if wanted else F.lit(True)
+        return could & text.contains(leaf.keyword) if leaf.keyword else could
+
+    def needed(kind: str) -> Column:
+        mine = [n for n in leaves if n.kind == kind]
+        return any_of([may_hold(n) & text.rlike(n.expression) for n in mine])
+
     def found(leaf: Node) -> Column:
         helper = {"indented": F.col("_lines"), "braced": F.col("_braces")}.get(leaf.kind)
 
@@ -159,10 +173,7 @@ def leaf_matches(files: DataFrame, nodes: Sequence[Node], languages: dict[str, t
                 span["match"].alias("match"), _captures(leaf.expression, span["match"]).alias("captures"),
             )
 
-        wanted = languages.get(leaf.rule_id, ())
-        hit = text.rlike(leaf.expression)
-        hit = hit & F.col("language").isin(*wanted) if wanted else hit
-        return F.when(hit, F.transform(spans_in(text, leaf.expression), row)).otherwise(
+        return F.when(may_hold(leaf) & text.rlike(leaf.expression), F.transform(spans_in(text, leaf.expression), row)).otherwise(
             F.array().cast(f"array<{MATCH}>")
         ).cast(f"array<{MATCH}>")
 
@@ -170,11 +181,12 @@ def leaf_matches(files: DataFrame, nodes: Sequence[Node], languages: dict[str, t
     kinds = {n.kind for n in leaves}
     prepared = files.select("file_id", "repo_id", "path", "language", "content")
     if "indented" in kinds:
-        prepared = prepared.withColumn("_lines", once(_lines(text)))
+        prepared = prepared.withColumn("_lines", once(F.when(needed("indented"), _lines(text))))
     if "braced" in kinds:
-        prepared = prepared.withColumn("_braces", once(_braces(text)))
+        prepared = prepared.withColumn("_braces", once(F.when(needed("braced"), _braces(text))))
     rows = prepared.withColumn("found", once(F.flatten(F.array(*map(found, leaves)))))
-    rows = rows.withColumn("_starts", once(let(
+    # line starts are looked up for the files that have matches only
+    rows = rows.where(F.size("found") > 0).withColumn("_starts", once(let(
         F.split(text, "\n", -1),
         lambda x: running_sums(F.transform(x, lambda l: (F.length(l) + 1).cast("bigint"))),
     )))
@@ -183,7 +195,7 @@ def leaf_matches(files: DataFrame, nodes: Sequence[Node], languages: dict[str, t
         (m["breaks"] + 1).alias("line"),
         (m["start"] - F.get("_starts", m["breaks"]) + 1).cast("int").alias("col"),
     ))
-    rows = rows.where(F.size("found") > 0).select("file_id", "repo_id", "path", F.explode(placed).alias("m"))
+    rows = rows.select("file_id", "repo_id", "path", F.explode(placed).alias("m"))
     rows = rows.select("file_id", "repo_id", "path", "m.*")
     return _listed(rows)
 

@@ -89,3 +89,9 @@ def test_as_a_detector_of_a_scan(make_files):
     files = make_files([("a.py", "x = 1\ndb.query(User).filter(User.id == user_id)\n")])
     rows = scan.scan(files, detectors=[*scan.PROJECT_DETECTORS, detector]).where("rule_id LIKE 'composed%'").collect()
     assert [(r.rule_id, r.line, r.col, r.severity) for r in rows] == [("composed-idor", 2, 1, "CRITICAL")]
+
+
+def test_files_without_a_leafs_keyword_are_passed_over(make_files):
+    node = Node("r", 0, None, "regex", "a+", keyword="zz")
+    rows = matches(make_files([("d0/a.py", "aaa\n"), ("d1/a.py", "b aa zz\n")]), [node], {"r": ("python",)})
+    assert [(r.file_id, r.line, r.col) for r in rows.collect()] == [(1, 1, 3)]
