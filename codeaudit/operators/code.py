@@ -34,6 +34,7 @@ PY_STRING = f"(?s){_STRING}"
 JS_COMMENT = f"(?s)({_STRING}|{_TEMPLATE})|//.*"
 JS_STRING = f"(?s){_STRING}|{_TEMPLATE}"
 
+BRACKETS = r"[(\[{)\]}\x02\x03]"
 PY_HEADER = r"^\s*(async\s+)?(def|class)\s"
 JS_BLOCK_OPENER = r"(=>|\))\s*\{\s*$"
 DEF_LINE = r"^\s*(async\s+)?(def|class)\s+(\w+)"
@@ -102,7 +103,7 @@ def _bracket_delta(blanked: Column, is_py: Column) -> Column:
         )
 
     return (
-        F.when(blanked == "", F.lit(0))
+        F.when(~blanked.rlike(BRACKETS), F.lit(0))
         .when(is_py, net("([{" + TEXT_OPEN, ")]}" + TEXT_CLOSE))
         .otherwise(net("([", ")]"))
     )

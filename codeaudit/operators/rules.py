@@ -17,6 +17,7 @@ from codeaudit.functions.text import any_of, newline_count, stripped, truncated
 from codeaudit.sources.catalogue import FIX_GUIDANCE, RULES, TIER_NAMES, Rule
 
 _HITS = "array<struct<rule_id:string,n:int,text:string>>"
+_NUMBERED = "array<struct<n:int,k:int,rule_id:string,text:string>>"
 _PLACE = "struct<breaks:int,col:int,match:string>"
 _PLACED = f"array<{_PLACE}>"
 SNIPPET_LINES = 3
@@ -33,6 +34,16 @@ FUNCTION_PARAMETERS = r"function\s*\w*\s*\(([^)]*)\)"
 ARROW_PARAMETERS = r"\(([^()]*)\)\s*(?::\s*\w+\s*)?=>"
 ARROW_PARAMETER = r"(\w+)\s*=>"
 
+#: What every match of a rule without a keyword holds.
+OPENINGS = {
+    "js-pii-in-logs": r"console\.log|logger\.",
+    "python-crlf-injection": r"(?i)response\.headers\[",
+    "python-missing-rate-limit": r"(?i)def\s",
+    "python-open-redirect": r"(?i)redirect\(",
+    "python-pii-in-logs": r"(?i)logg(?:er|ing)\.",
+    "sql-missing-rls": r"(?i)create\s+table",
+}
+
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     """The catalogue as a table, one row per rule; append rows to add rules."""
@@ -194,62 +205,67 @@ BLOCK_CONDITIONS = {
 }
 
 
-def _statement_condition(rule: Rule, s: Column, i: Column) -> Column:
-    cond = _matches(rule, s.text)
-    if rule.scope == "B":
-        return cond & BLOCK_CONDITIONS[rule.rule_id](rule, s, i)
-    if rule.negative:
-        cond = cond & ~s.text.rlike(_negative(rule))
-    if rule.rule_id == "python-log-injection":
-        values = F.regexp_extract_all(s.text, F.lit(PLACED_VALUE), F.lit(1))
-        cond = cond & F.exists(values, lambda v: ~v.rlike(CONSTANT_NAME))
-    return cond
-
-
 def _no_hits() -> Column:
     return F.array().cast(_HITS)
 
 
-def _statement_hits(rules, tier) -> Column:
-    if not rules:
-        return _no_hits()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def hits(s, i):
-        ids = F.array_compact(
-            F.array(
-                *[
-                    F.when(_enabled(r, tier) & _statement_condition(r, s, i), F.lit(r.rule_id))
-                    for r in rules
-                ]
-            )
-        )
-        return F.transform(
-            ids, lambda r: F.struct(r.alias("rule_id"), s.n.alias("n"), s.text.alias("text"))
-        )
 
-    own = F.flatten(F.transform("statements", hits)).cast(_HITS)
-    calls = [r for r in rules if r.scope == "L"]
-    if not calls:
-        return own
+def _may_match(rule: Rule, text: Column) -> Column:
+    """False only where no statement of ``text``, all of a file's, can meet the rule."""
+    if rule.keyword:
+        return text.contains(rule.keyword)
+    opening = OPENINGS.get(rule.rule_id) if rule in RULES else None
+    return text.rlike(opening) if opening else F.lit(True)
 
-    def full_hits(s):
-        ids = F.array_compact(F.array(*[
-            F.when(_enabled(r, tier) & _statement_condition(r, s, None), F.lit(r.rule_id)) for r in calls
-        ]))
-        return F.transform(
-            ids, lambda r: F.struct(r.alias("rule_id"), s.n.alias("n"), s.text.alias("text"))
-        )
 
-    def both(own):
-        """Hits with imported names written out, where a rule has none in the statement itself."""
-        found = F.flatten(F.transform("variants", full_hits)).cast(_HITS)
-        new = F.filter(found, lambda h: ~F.exists(
-            own, lambda o: (o["rule_id"] == h["rule_id"]) & (o["n"] == h["n"])))
-        return F.concat(own, new)
+def _plain_hits(rule: Rule, k: int, rows: str) -> Column:
+    """Hits of a rule that reads a statement alone; as one expression, since there are many."""
+    test = f"rlike(s.text, {_quoted(effective_pattern(rule))})"
+    if rule.keyword:
+        test = f"contains(s.text, {_quoted(rule.keyword)}) AND {test}"
+    if rule.negative:
+        test += f" AND NOT rlike(s.text, {_quoted(_negative(rule))})"
+    if rule.rule_id == "python-log-injection":
+        values = f"regexp_extract_all(s.text, {_quoted(PLACED_VALUE)}, 1)"
+        test += f" AND exists({values}, v -> NOT rlike(v, {_quoted(CONSTANT_NAME)}))"
+    return F.expr(
+        f"transform(filter({rows}, s -> {test}), s -> "
+        f"named_struct('n', s.n, 'k', {k}, 'rule_id', {_quoted(rule.rule_id)}, 'text', s.text))"
+    )
 
-    return F.when(F.size("variants") > 0, let(own, both)).otherwise(own).cast(_HITS) if any(
-        "python" in r.languages for r in calls
-    ) else own
+
+def _block_hits(rule: Rule, k: int) -> Column:
+    def hit(s, i):
+        return _matches(rule, s.text) & BLOCK_CONDITIONS[rule.rule_id](rule, s, i)
+
+    return F.transform(
+        F.filter("statements", hit),
+        lambda s: F.struct(
+            s.n.alias("n"), F.lit(k).alias("k"), F.lit(rule.rule_id).alias("rule_id"), s.text.alias("text")
+        ),
+    )
+
+
+def _statement_hits(rules, tier, rows: str = "statements") -> Column:
+    """Hits in order of statements, then of rules; a rule looks at statements only where the
+    file's statements, taken as one text, can hold a match."""
+    if not rules:
+        return _no_hits()
+    text = F.col(f"{rows}_text")
+    found = [
+        F.when(
+            _enabled(r, tier) & _may_match(r, text),
+            (_block_hits(r, k) if r.scope == "B" else _plain_hits(r, k, rows)).cast(_NUMBERED),
+        ).otherwise(F.array().cast(_NUMBERED))
+        for k, r in enumerate(rules)
+    ]
+    return F.transform(
+        F.array_sort(F.flatten(F.array(*found))),
+        lambda h: F.struct(h["rule_id"].alias("rule_id"), h["n"].alias("n"), h["text"].alias("text")),
+    ).cast(_HITS)
 
 
 def _file_condition(rule: Rule, text: Column) -> Column:
@@ -325,32 +341,61 @@ def _piece_hits(rules, tier) -> Column:
     return F.when(wanted, F.flatten(F.transform(pieces, hits)).cast(_HITS)).otherwise(_no_hits())
 
 
-def _hits_by_language(tier: Column | None, rules) -> Column:
-    by_language = None
+def _by_language(rules, hits) -> Column:
+    """``hits`` of the rules of each file's language."""
+    found = None
     for lang in sorted({lang for r in rules for lang in r.languages}):
-        mine = [r for r in rules if lang in r.languages]
-        hits = F.concat(
-            _statement_hits([r for r in mine if r.scope in "LB"], tier),
+        mine = hits([r for r in rules if lang in r.languages])
+        is_lang = F.col("language") == lang
+        found = F.when(is_lang, mine) if found is None else found.when(is_lang, mine)
+    return _no_hits() if found is None else found.otherwise(_no_hits())
+
+
+def _own_hits(tier: Column | None, rules) -> Column:
+    return _by_language([r for r in rules if r.scope in "LB"], lambda mine: _statement_hits(mine, tier))
+
+
+def _full_hits(tier: Column | None, rules) -> Column:
+    """Hits with imported names written out, where a rule has none in the statement itself."""
+    calls = [r for r in rules if r.scope == "L" and "python" in r.languages]
+    found = F.filter(
+        _by_language(calls, lambda mine: _statement_hits(mine, tier, "variants")),
+        lambda h: ~F.exists(
+            F.col("_own"), lambda o: (o["rule_id"] == h["rule_id"]) & (o["n"] == h["n"])
+        ),
+    )
+    return F.when(F.size("variants") > 0, found).otherwise(_no_hits())
+
+
+def _all_hits(tier: Column | None, rules) -> Column:
+    whole = _by_language(
+        [r for r in rules if r.scope in "FS"],
+        lambda mine: F.concat(
             _file_hits([r for r in mine if r.scope == "F"], tier),
             _piece_hits([r for r in mine if r.scope == "S"], tier),
-        )
-        is_lang = F.col("language") == lang
-        by_language = (
-            F.when(is_lang, hits) if by_language is None else by_language.when(is_lang, hits)
-        )
-    return by_language.otherwise(_no_hits())
+        ),
+    )
+    return F.concat("_own", "_full", whole)
 
 
 def with_rule_hits(model: DataFrame, tier: str | None = None, rules=RULES) -> DataFrame:
     """Add ``rule_hits`` to a code model; ``tier`` names the column that gates the rules."""
-    hits = built(
-        ("rule_hits", tier, tuple(rules)),
-        lambda: once(_hits_by_language(F.col(tier) if tier else None, rules)),
-    )
+    def steps():
+        gate, mine = F.col(tier) if tier else None, tuple(rules)
+        return [once(make(gate, mine)) for make in (_own_hits, _full_hits, _all_hits)]
+
+    own, full, whole = built(("rule_hits", tier, tuple(rules)), steps)
+    texts = {
+        "file_text": once(F.array_join("raw", "\n")),
+        "statements_text": once(F.array_join("statements.text", "\n")),
+        "variants_text": once(F.array_join("variants.text", "\n")),
+    }
     return (
-        model.withColumn("file_text", once(F.array_join("raw", "\n")))
-        .withColumn("rule_hits", hits)
-        .drop("file_text")
+        model.withColumns(texts)
+        .withColumn("_own", own)
+        .withColumn("_full", full)
+        .withColumn("rule_hits", whole)
+        .drop(*texts, "_own", "_full")
     )
 
 

@@ -9,7 +9,8 @@ from codeaudit.functions.text import entropy
 from codeaudit.sources.constants import PLACEHOLDER, SECRET_NAME, TOKEN_ENTROPY_LIMIT
 
 RULE_ID = "secret-in-text"
-NAMED_VALUE = SECRET_NAME + r"""\w*["']?\s*[:=]\s*["']([^"'\s]{8,})["']"""
+ASSIGNED_VALUE = r"""[:=]\s*["']([^"'\s]{8,})["']"""
+NAMED_VALUE = SECRET_NAME + r"""\w*["']?\s*""" + ASSIGNED_VALUE
 QUOTED_TOKEN = r"""["']([A-Za-z0-9+/=_-]{21,})["']"""
 
 
@@ -29,7 +30,10 @@ def random_token(line: Column) -> Column:
 
 def secret_lines() -> Column:
     """(n, text) of the lines of ``raw`` that hold a credential."""
-    quoted = F.col("content").contains('"') | F.col("content").contains("'")
+    text = F.col("content")
+    quoted = text.contains('"') | text.contains("'")
+    # what a line holds, the text holds as well
+    quoted = quoted & (text.rlike(QUOTED_TOKEN) | text.rlike(ASSIGNED_VALUE))
     lines = F.filter(
         F.transform(
             "raw", lambda x, i: F.struct((i + 1).alias("n"), x.alias("text"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeaudit.operators.code import with_code, with_resolved_statements, with_statements
-from codeaudit.operators.rules import BLOCK_CONDITIONS, listed_rules, located, rule_table, with_rule_hits
+from codeaudit.operators.rules import BLOCK_CONDITIONS, OPENINGS, listed_rules, located, rule_table, with_rule_hits
 from codeaudit.plans import scan
 from codeaudit.sources.catalogue import RULES, TIER_NAMES
 
@@ -217,3 +217,19 @@ def test_catalogue_filters(spark):
     assert listed_rules(table).count() == len(RULES)
     assert listed_rules(table, language="TypeScript", severity="critical", category="SQLI").count() == 2
     assert all(len(r.description) <= 60 for r in listed_rules(table).collect())
+
+
+OPENED = {
+    "js-pii-in-logs": "console.log(user.email)",
+    "python-crlf-injection": 'response.headers["X"] = request.args["a"]',
+    "python-missing-rate-limit": "def login():",
+    "python-open-redirect": "return redirect(request.args.get('next'))",
+    "python-pii-in-logs": 'logger.info(f"{user.email}")',
+    "sql-missing-rls": "CREATE  TABLE t (a int);",
+}
+
+
+def test_rules_without_a_keyword_have_an_opening_that_their_matches_hold():
+    assert set(OPENINGS) == {r.rule_id for r in RULES if r.scope in "LB" and not r.keyword} == set(OPENED)
+    for rule_id, text in OPENED.items():
+        assert re.search(BY_ID[rule_id].positive, text) and re.search(OPENINGS[rule_id], text)
