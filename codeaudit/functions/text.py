@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codeaudit.functions.arrays import let
+
 BLANKS = " \t\r\n\x0b\x0c"
 
 
@@ -19,33 +21,42 @@ def stripped(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def is_blank(text: Column) -> Column:
+    """Whether nothing but white space is in ``text``; one end tells, so the other is not looked at."""
+    return F.ltrim(text, F.lit(BLANKS)) == ""
+
+
 def split_lines(content: Column) -> Column:
     """Lines of a text as an array; a final line break opens no further line."""
-    body = (
-        F.when(content.endswith("\r\n"), F.length(content) - 2)
-        .when(content.endswith("\n") | content.endswith("\r"), F.length(content) - 1)
-        .otherwise(F.length(content))
-    )
-    text = F.substring(content, F.lit(1), body)
+    def lines(separator: str) -> Column:
+        parts = F.split(content, separator, -1)
+        without_last = let(parts, lambda p: F.slice(p, F.lit(1), F.size(p) - 1))
+        ended = content.endswith("\n") | content.endswith("\r")
+        return F.when(ended, without_last).otherwise(parts)
+
     return (
-        F.when(F.length(content) == 0, F.array().cast("array<string>"))
-        .when(content.contains("\r"), F.split(text, r"\r\n|\n|\r", -1))
-        .otherwise(F.split(text, "\n", -1))
+        F.when(content == "", F.array().cast("array<string>"))
+        .when(content.contains("\r"), lines(r"\r\n|\n|\r"))
+        .otherwise(lines("\n"))
     )
 
 
+# Characters of one byte are taken away, so bytes tell how many; they need not be counted.
+
+
 def indent_of(line: Column) -> Column:
-    return F.length(line) - F.length(F.ltrim(line, F.lit(" \t")))
+    return F.octet_length(line) - F.octet_length(F.ltrim(line, F.lit(" \t")))
 
 
 def newline_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def identifiers(text: Column) -> Column:
     """Distinct lower-cased identifiers of a text."""
     found = F.regexp_extract_all(text, F.lit(r"[A-Za-z_][A-Za-z0-9_]*"), F.lit(0))
-    return F.array_distinct(F.transform(found, F.lower))
+    lowered = let(found, lambda f: F.when(F.size(f) > 0, F.split(F.lower(F.array_join(f, " ")), " ")).otherwise(f))
+    return F.array_distinct(lowered)
 
 
 def entropy(text: Column) -> Column:

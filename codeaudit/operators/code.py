@@ -18,13 +18,16 @@ from pyspark.sql import functions as F
 
 from codeaudit.functions.arrays import fold, let
 from codeaudit.functions.plan import built, once
-from codeaudit.functions.text import BLANKS, indent_of, split_lines, stripped
+from codeaudit.functions.text import BLANKS, indent_of, is_blank, split_lines, stripped
 
 STRUCTURED_LANGUAGES = ("python", "javascript", "typescript")
 
 # Marks put where a triple-quoted text opens and closes; counted as brackets.
 TEXT_OPEN, TEXT_CLOSE = "\x02", "\x03"
 
+# Three equal quotes, told by the first: most characters cost one test.
+TEXT_QUOTES = r"""["'](?:(?<=")""|(?<=')'')"""
+
 # Loops over escapes are possessive: they never need to give back, and a literal
 # with many thousand escapes must not exhaust the stack of the regex engine.
 _STRING = r""""[^"\\]*(?:\\.[^"\\]*)*+"|'[^'\\]*(?:\\.[^'\\]*)*+'"""
@@ -35,6 +38,7 @@ JS_COMMENT = f"(?s)({_STRING}|{_TEMPLATE})|//.*"
 JS_STRING = f"(?s){_STRING}|{_TEMPLATE}"
 
 BRACKETS = r"[(\[{)\]}\x02\x03]"
+NO_BRACKETS = r"[^(\[{)\]}\x02\x03]+"
 PY_HEADER = r"^\s*(async\s+)?(def|class)\s"
 JS_BLOCK_OPENER = r"(=>|\))\s*\{\s*$"
 DEF_LINE = r"^\s*(async\s+)?(def|class)\s+(\w+)"
@@ -83,23 +87,30 @@ def line_table(files: DataFrame) -> DataFrame:
 
 
 def _masked_lines(content: Column) -> Column:
-    segments = F.split(content, "\"\"\"|'''", -1)
+    def spaces(s: Column) -> Column:
+        blank_lines = F.transform(F.split(s, "\n", -1), lambda x: F.repeat(F.lit(" "), F.length(x)))
+        return F.when(s.contains("\r"), F.regexp_replace(s, r"[^\r\n]", " ")).otherwise(
+            F.array_join(blank_lines, "\n")
+        )
+
+    segments = F.split(content, TEXT_QUOTES, -1)
     hidden = F.transform(
         segments,
         lambda s, i: F.when(
             i % 2 == 1,
-            F.concat(
-                F.lit(TEXT_OPEN), F.regexp_replace(s, r"[^\r\n]", " "), F.lit(TEXT_CLOSE)
-            ),
+            F.concat(F.lit(TEXT_OPEN), spaces(s), F.lit(TEXT_CLOSE)),
         ).otherwise(s),
     )
     return split_lines(F.array_join(hidden, ""))
 
 
 def _bracket_delta(blanked: Column, is_py: Column) -> Column:
+    # the few brackets of a line are cut out before they are counted one by one
+    brackets = F.regexp_replace(blanked, NO_BRACKETS, "")
+
     def net(opening, closing):
-        return F.length(F.translate(blanked, closing, "")) - F.length(
-            F.translate(blanked, opening, "")
+        return F.octet_length(F.translate(brackets, closing, "")) - F.octet_length(
+            F.translate(brackets, opening, "")
         )
 
     return (
@@ -114,7 +125,9 @@ def _structure_lines() -> Column:
     content, masked = F.col("content"), F.slice(
         _masked_lines(F.col("content")), F.lit(1), F.size("raw")
     )
-    quoted = (F.col("language") == "python") & content.rlike("\"\"\"|'''")
+    quoted = (F.col("language") == "python") & (
+        content.contains('"""') | content.contains("'''")
+    )
     return (
         F.when(quoted, masked)
         .when(F.col("language").isin(*STRUCTURED_LANGUAGES), F.col("raw"))
@@ -128,9 +141,9 @@ def blanked(m: Column, is_py: Column) -> Column:
     py = F.regexp_replace(F.regexp_replace(m, PY_COMMENT, "$1"), PY_STRING, '""')
     js = F.regexp_replace(F.regexp_replace(m, JS_COMMENT, "$1"), JS_STRING, '""')
     return (
-        F.when(start.startswith("#") & is_py, F.lit(""))
-        .when(start.startswith("//") & ~is_py, F.lit(""))
-        .when(~m.rlike("[\"'`#/]"), m)
+        F.when(~m.rlike("[\"'`#/]"), m)
+        .when(is_py & start.startswith("#"), F.lit(""))
+        .when(~is_py & start.startswith("//"), F.lit(""))
         .when(is_py, py)
         .otherwise(js)
     )
@@ -169,7 +182,7 @@ def _measured_lines(opener_before: Column | None = None) -> Column:
             indent_of(l.m).alias("indent"),
             _bracket_delta(l.b, is_py).alias("delta"),
             starts(l, i).alias("seg"),
-            (stripped(l.b) != "").alias("sig"),
+            (~is_blank(l.b)).alias("sig"),
         ),
     )
 
@@ -284,7 +297,7 @@ def _statements() -> Column:
                 (i + 1).alias("n"), (i + 1).alias("e"), indent_of(x).alias("indent"), x.alias("text")
             ),
         ),
-        lambda s: stripped(s.text) != "",
+        lambda s: ~is_blank(s.text),
     )
     return (
         F.when(F.col("language").isin(*STRUCTURED_LANGUAGES), logical)
@@ -422,7 +435,7 @@ def _variants() -> Column:
     """Statements in which imported names are used, with these written out in full."""
     names = F.array_sort(F.array_distinct(F.transform("bindings", lambda b: b["name"])))
 
-    def resolved(s: Column) -> Column:
+    def resolved(s: Column, names: Column) -> Column:
         def step(text: Column, name: Column) -> Column:
             holding = F.filter(
                 "bindings",
@@ -441,11 +454,14 @@ def _variants() -> Column:
             F.aggregate(names, s.text, step).alias("text"),
         )
 
-    pairs = F.transform("statements", lambda s: F.struct(s.alias("own"), resolved(s).alias("full")))
-    changed = F.filter(pairs, lambda p: p["own"]["text"] != p["full"]["text"])
-    return F.when(F.size("bindings") > 0, F.transform(changed, lambda p: p["full"])).otherwise(
-        F.array()
-    ).cast(_STATEMENTS)
+    def changed(names: Column) -> Column:
+        naming = F.filter("statements", lambda s: F.exists(names, lambda x: s.text.contains(x)))
+        pairs = F.transform(naming, lambda s: F.struct(s.alias("own"), resolved(s, names).alias("full")))
+        return F.transform(
+            F.filter(pairs, lambda p: p["own"]["text"] != p["full"]["text"]), lambda p: p["full"]
+        )
+
+    return F.when(F.size("bindings") > 0, let(names, changed)).otherwise(F.array()).cast(_STATEMENTS)
 
 
 def with_variants(df: DataFrame) -> DataFrame:
@@ -486,16 +502,15 @@ def _block_fold(stack: Column | None = None, last: Column | None = None) -> Colu
         )
 
     def step(st, l):
-        closes = closes_blocks(l)
-        kept = F.when(closes, F.filter(st.stack, lambda b: b.indent < l.indent)).otherwise(st.stack)
-        ended = F.when(closes, F.filter(st.stack, lambda b: b.indent >= l.indent)).otherwise(
-            F.array().cast(f"array<{_BLOCK}>")
-        )
+        # most lines end no block, so the text of a line is looked at last
+        pops = F.exists(st.stack, lambda b: b.indent >= l.indent) & closes_blocks(l)
+        kept = F.when(pops, F.filter(st.stack, lambda b: b.indent < l.indent)).otherwise(st.stack)
+        ended = F.filter(st.stack, lambda b: b.indent >= l.indent)
         is_header = l.seg & l.m.rlike(DEF_LINE)
         done = F.concat(st.done, F.transform(ended, lambda b: _ended(b, st.last)))
         return F.struct(
             F.when(is_header, F.concat(kept, F.array(opened(l, kept)))).otherwise(kept).alias("stack"),
-            F.when(F.size(ended) > 0, done).otherwise(st.done).alias("done"),
+            F.when(pops, done).otherwise(st.done).alias("done"),
             l.n.alias("last"),
         )
 

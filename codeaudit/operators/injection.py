@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeaudit.functions.arrays import let
 from codeaudit.functions.plan import broadcast_if_small
-from codeaudit.functions.text import matches_any, stripped
+from codeaudit.functions.text import any_of, is_blank, matches_any
 from codeaudit.operators.code import with_lines
 from codeaudit.sources.constants import INJECTION_EXTENSIONS, INJECTION_PATTERNS
 
@@ -14,6 +17,24 @@ RULE_ID = "prompt-injection-text"
 STRING_LITERAL = r""""[^"\\]*(?:\\.[^"\\]*)*+"|'[^'\\]*(?:\\.[^'\\]*)*+'"""
 WHOLE_LINE_EXTENSIONS = (".json", ".yaml", ".yml")
 
+#: Parts of words that every match of a pattern holds, in lower case.  They begin with rare letters,
+#: since a search stops at each place of the first one.
+PATTERN_WORDS = dict(zip(INJECTION_PATTERNS, (
+    ("gnore", "instruction"),
+    ("forget", "verything"),
+    ("gard", "disregard"),
+    ("fferent", "you", "are", "now"),
+    ("prompt", "ystem", "new"),
+    ("code", "this"),
+    ("do", "this"),
+    ("kip", "skip"),
+    ("vironment",),
+    ("curity",),
+    ("prompt", "print"),
+    ("veal", "reveal"),
+    ("what", "your", "instructions"),
+), strict=True))
+
 
 def injection_files(files: DataFrame, given: DataFrame | None = None) -> DataFrame:
     """Files of eight extensions anywhere in the tree, and the given ones, once each.
@@ -43,7 +64,7 @@ def string_literals(files: DataFrame) -> DataFrame:
         "file_id", "path", "ext", F.posexplode("raw").alias("pos", "text")
     )
     return (
-        lines.where(stripped(F.col("text")) != "")
+        lines.where(~is_blank(F.col("text")))
         .select(
             "file_id",
             "path",
@@ -58,6 +79,23 @@ def is_injection(text: Column) -> Column:
     return matches_any(text, INJECTION_PATTERNS)
 
 
+def may_steer(text: Column) -> Column:
+    """``is_injection`` for long texts: a pattern is tried only where the text holds its words.
+
+    Thirteen patterns that ignore case are tried at every character otherwise.  Patterns
+    without known words are always tried.
+    """
+    def found(lower: Column) -> Column:
+        def tried(pattern: str) -> Column:
+            words = PATTERN_WORDS.get(pattern, ())
+            held = [lower.contains(w) for w in words]
+            return reduce(lambda a, b: a & b, [*held, matches_any(text, (pattern,))])
+
+        return any_of([tried(p) for p in INJECTION_PATTERNS])
+
+    return let(F.lower(text), found)
+
+
 def injection_lines() -> Column:
     """(n, text) of the lines of ``raw`` with such a text; files without any cost one search."""
     ext = F.col("ext")
@@ -65,7 +103,7 @@ def injection_lines() -> Column:
         F.transform("raw", lambda x, i: F.struct((i + 1).alias("n"), x.alias("text"))),
         lambda l: is_injection(l.text) & F.exists(literals_of(l.text, ext), is_injection),
     )
-    wanted = ext.isin(*INJECTION_EXTENSIONS) & is_injection(F.col("content"))
+    wanted = ext.isin(*INJECTION_EXTENSIONS) & may_steer(F.col("content"))
     return F.when(wanted, lines).otherwise(F.array().cast("array<struct<n:int,text:string>>"))
 
 

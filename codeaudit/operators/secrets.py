@@ -17,7 +17,7 @@ QUOTED_TOKEN = r"""["']([A-Za-z0-9+/=_-]{21,})["']"""
 def named_secret(line: Column) -> Column:
     """A secret-like name with a value of eight characters or more that is no placeholder."""
     values = F.regexp_extract_all(line, F.lit(NAMED_VALUE), F.lit(2))
-    return line.rlike(NAMED_VALUE) & F.exists(values, lambda v: ~v.rlike(PLACEHOLDER))
+    return line.rlike(ASSIGNED_VALUE) & line.rlike(NAMED_VALUE) & F.exists(values, lambda v: ~v.rlike(PLACEHOLDER))
 
 
 def random_token(line: Column) -> Column:

@@ -13,8 +13,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeaudit.functions.arrays import let
 from codeaudit.functions.plan import built, once, settled
-from codeaudit.functions.text import BLANKS, identifiers, stripped
+from codeaudit.functions.text import BLANKS, identifiers, is_blank, stripped
 from codeaudit.operators.code import (
     with_blocks,
     with_code,
@@ -70,7 +71,8 @@ def parameter_underline() -> Column:
 
 
 def feature_todo() -> Column:
-    return F.when(F.col("content").rlike(FEATURE_TODO), 0.20).otherwise(0.0)
+    text = F.col("content")
+    return F.when(text.contains("#") & text.rlike(FEATURE_TODO), 0.20).otherwise(0.0)
 
 
 def comment_density() -> Column:
@@ -88,18 +90,23 @@ def restating_comment_count() -> Column:
         lambda c: is_hash_comment(c.x) & c.x.rlike(r"^\s*#+\s*[^#\s]\S*(\s+\S+){5}"),
     )
 
-    def nearby(c):
-        first = F.greatest(c.i - 3, F.lit(0))
-        around = F.slice(raw, first + 1, c.i + 4 - first)
-        code = F.filter(around, lambda x: (stripped(x) != "") & ~is_hash_comment(x))
-        return F.struct(c.x.alias("x"), F.array_join(F.slice(code, 1, 3), "\n").alias("code"))
+    # each line is judged once, not once for every comment close by
+    code_lines = F.transform(raw, lambda x: F.when(~is_blank(x) & ~is_hash_comment(x), x))
 
-    def overlaps(c):
-        return (c.code != "") & (
-            F.size(F.array_intersect(identifiers(c.x), identifiers(c.code))) >= 3
-        )
+    def counted(code_lines):
+        def nearby(c):
+            first = F.greatest(c.i - 3, F.lit(0))
+            code = F.array_compact(F.slice(code_lines, first + 1, c.i + 4 - first))
+            return F.struct(c.x.alias("x"), F.array_join(F.slice(code, 1, 3), "\n").alias("code"))
+
+        def overlaps(c):
+            return (c.code != "") & (
+                F.size(F.array_intersect(identifiers(c.x), identifiers(c.code))) >= 3
+            )
+
+        return F.size(F.filter(F.transform(candidates, nearby), overlaps))
 
-    return F.size(F.filter(F.transform(candidates, nearby), overlaps))
+    return F.when(~F.exists(raw, is_hash_comment), 0).otherwise(let(code_lines, counted))
 
 
 # --- block features (Python) ---------------------------------------------------
@@ -212,7 +219,9 @@ def stock_name_count() -> Column:
             F.filter(F.split(targets, r"\s*,\s*"), lambda t: F.array_contains(known, t))
         )
 
-    return F.aggregate("statements", F.lit(0), lambda a, s: a + hits(s))
+    # a target stands before an equals sign or a colon
+    assigning = F.filter("statements", lambda s: s.text.contains("=") | s.text.contains(":"))
+    return F.aggregate(assigning, F.lit(0), lambda a, s: a + hits(s))
 
 
 def class_method_counts() -> Column:
@@ -268,6 +277,7 @@ def assign_return_count() -> Column:
         return (
             (f.kind == "def")
             & (n >= 2)
+            & ret.b.contains("return")
             & (name != "")
             & (F.regexp_extract(ret.b, RETURN_NAME, 1) == name)
             & ~F.array_contains(names, name)
@@ -278,30 +288,37 @@ def assign_return_count() -> Column:
 
 def parameters(header: Column) -> Column:
     """Positional parameters of a signature, without ``self`` and ``cls``."""
-    whole = F.regexp_extract(header, PARAMETERS, 1)
-    # innermost brackets go first; as many rounds as there are brackets reach any depth
-    brackets = F.length(whole) - F.length(F.translate(whole, "([{", ""))
-    text = F.aggregate(
-        F.array_repeat(F.lit(0), brackets),
-        whole,
-        lambda t, _: F.regexp_replace(t, r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}", ""),
-    )
-    items = F.transform(F.split(text, ","), stripped)
-    star = F.array_position(
-        F.transform(items, lambda p: p.startswith("*")), F.lit(True)
-    ).cast("int")
-    positional = F.when(star > 0, F.slice(items, 1, star - 1)).otherwise(items)
+    def flat(whole):
+        # innermost brackets go first; as many rounds as there are brackets reach any depth
+        brackets = F.length(whole) - F.length(F.translate(whole, "([{", ""))
+        return F.aggregate(
+            F.array_repeat(F.lit(0), brackets),
+            whole,
+            lambda t, _: F.regexp_replace(t, r"\[[^\[\]]*\]|\([^()]*\)|\{[^{}]*\}", ""),
+        )
+
+    def before_star(items):
+        star = F.array_position(
+            F.transform(items, lambda p: p.startswith("*")), F.lit(True)
+        ).cast("int")
+        return let(star, lambda s: F.when(s > 0, F.slice(items, 1, s - 1)).otherwise(items))
+
+    text = let(F.regexp_extract(header, PARAMETERS, 1), flat)
     return F.filter(
-        positional,
+        let(F.transform(F.split(text, ","), stripped), before_star),
         lambda p: p.rlike(r"^[A-Za-z_]\w*") & ~F.regexp_extract(p, r"^\w+", 0).isin("self", "cls"),
     )
 
 
+def several_parameters(header: Column) -> Column:
+    """False where a signature cannot hold two parameters: they are parted by a comma."""
+    return header.contains(",")
+
+
 def isinstance_guard_count() -> Column:
     """Functions that check at least half of two or more parameters in their first half."""
 
     def hit(f):
-        params = F.transform(parameters(f.header), lambda p: F.regexp_extract(p, r"^\w+", 0))
         n = F.size(f.direct)
         half = F.greatest(F.lit(1), F.floor((n + 1) / 2).cast("int"))
         stop = F.coalesce(F.get(f.direct, half).n, f.end + 1)
@@ -312,16 +329,26 @@ def isinstance_guard_count() -> Column:
             "\n",
         )
         guarded = F.regexp_extract_all(text, F.lit(ISINSTANCE_CALL), F.lit(1))
-        shared = F.size(F.array_intersect(params, guarded))
-        return (f.kind == "def") & (F.size(params) >= 2) & (shared > 0) & (shared * 2 >= F.size(params))
+
+        def checked(params):
+            return (F.size(params) >= 2) & let(
+                F.size(F.array_intersect(params, guarded)),
+                lambda shared: (shared > 0) & (shared * 2 >= F.size(params)),
+            )
+
+        names = F.transform(parameters(f.header), lambda p: F.regexp_extract(p, r"^\w+", 0))
+        has_call = F.exists(f.lines, lambda l: l.b.contains("isinstance("))
+        return (f.kind == "def") & several_parameters(f.header) & has_call & let(names, checked)
 
     return F.size(F.filter("functions", hit))
 
 
 def double_import() -> Column:
-    star = F.regexp_extract_all(F.col("content"), F.lit(STAR_IMPORT), F.lit(1))
-    named = F.regexp_extract_all(F.col("content"), F.lit(NAMED_IMPORT), F.lit(1))
-    both = F.col("content").contains("import") & F.arrays_overlap(star, named)
+    text = F.col("content")
+    star = F.regexp_extract_all(text, F.lit(STAR_IMPORT), F.lit(1))
+    named = F.regexp_extract_all(text, F.lit(NAMED_IMPORT), F.lit(1))
+    has_star = text.contains("import") & text.contains("*") & text.rlike(STAR_IMPORT)
+    both = has_star & F.arrays_overlap(star, named)
     return F.when(both, 0.15).otherwise(0.0)
 
 
@@ -332,7 +359,8 @@ def exclusive_get_count() -> Column:
         text = F.array_join(F.transform(f.lines, lambda l: l.b), "\n")
         gets = F.regexp_extract_all(text, F.lit(GET_CALL), F.lit(1))
         subs = F.regexp_extract_all(text, F.lit(SUBSCRIPT), F.lit(1))
-        return (f.kind == "def") & F.exists(
+        has_get = F.exists(f.lines, lambda l: l.b.contains(".get("))
+        return (f.kind == "def") & has_get & F.exists(
             F.array_distinct(gets),
             lambda g: (F.size(F.filter(gets, lambda x: x == g)) >= 3)
             & ~F.array_contains(subs, g),
@@ -345,20 +373,26 @@ def annotation_count() -> Column:
     """Functions with all of two or more parameters and most assignments annotated."""
 
     def hit(f):
-        params = parameters(f.header)
         body = F.filter(
             f.lines,
             lambda l: (l.n > f.header_end) & (l.stmt_end > 0) & ~l.b.rlike(COMPOUND_WORD),
         )
-        annotated = F.size(F.filter(body, lambda l: l.b.rlike(ANNOTATED_ASSIGN)))
-        plain = F.size(
-            F.filter(body, lambda l: l.b.rlike(PLAIN_ASSIGN) & ~l.b.rlike(ANNOTATED_ASSIGN))
-        )
+
+        def mostly(body):
+            annotated = F.size(F.filter(body, lambda l: l.b.rlike(ANNOTATED_ASSIGN)))
+            plain = F.size(
+                F.filter(body, lambda l: l.b.rlike(PLAIN_ASSIGN) & ~l.b.rlike(ANNOTATED_ASSIGN))
+            )
+            return annotated > 0.60 * (annotated + plain)
+
         return (
             (f.kind == "def")
-            & (F.size(params) >= 2)
-            & F.forall(params, lambda p: p.rlike(r"^\w+\s*:"))
-            & (annotated > 0.60 * (annotated + plain))
+            & several_parameters(f.header)
+            & let(
+                parameters(f.header),
+                lambda params: (F.size(params) >= 2) & F.forall(params, lambda p: p.rlike(r"^\w+\s*:")),
+            )
+            & let(body, mostly)
         )
 
     return F.size(F.filter("functions", hit))
@@ -402,7 +436,7 @@ def code_model(files: DataFrame) -> DataFrame:
 def with_features(model: DataFrame, own: Iterable[Signal] = ()) -> DataFrame:
     """Add the features as columns, also the caller's own, then the three signals and the confidence."""
     python = F.col("language") == "python"
-    blank = stripped(F.col("content")) == ""
+    blank = is_blank(F.col("content"))
 
     def py(feature, default=0.0):
         return F.when(python, feature).otherwise(default)
