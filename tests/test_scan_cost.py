@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from codeaudit.functions.plan import spread
 from codeaudit.functions.text import BLANKS, identifiers, indent_of, is_blank, newline_count, split_lines, stripped
 from codeaudit.operators.code import TEXT_QUOTES, with_blocks, with_code, with_statements
 from codeaudit.operators.injection import PATTERN_WORDS, is_injection, may_steer
@@ -101,3 +102,12 @@ def test_comments_far_from_code_are_not_judged(spark, make_files):
     files = make_files([("a.py", near), ("b.py", far), ("c.py", "# only a comment of more words here\n"), ("d.py", "x = 1")])
     counts = code_model(files).select("file_id", restating_comment_count().alias("n")).orderBy("file_id").collect()
     assert [r.n for r in counts] == [1, 0, 0, 0]
+
+
+def test_few_splits_are_dealt_evenly_over_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    few = spark.range(0, 1000, 1, cores + 1)
+    dealt = spread(few)
+    assert dealt.rdd.getNumPartitions() == 2 * cores
+    assert sorted(r.id for r in dealt.collect()) == list(range(1000))
+    assert spread(spark.range(0, 1000, 1, 2 * cores)).rdd.getNumPartitions() == 2 * cores
