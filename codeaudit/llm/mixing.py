@@ -122,7 +122,10 @@ def mix(docs: DataFrame) -> DataFrame:
 
     A document taken more than once is there once a round; the copy at the end of a
     target is cut after the words that still fit.  Rows are range-partitioned by virtual
-    finish time and sorted inside, so files written from them read in mix order.
+    finish time and sorted inside, so files written from them read in mix order.  There
+    are as many ranges as shuffle partitions, which grow with the input and not with the
+    cores, so that a task holds a small part of the texts; ranges that are next to each other
+    and small may be merged.
     """
     work = docs.select(
         F.struct(*docs.columns).alias("row"), "source", word_count("text").alias("size"),
@@ -137,8 +140,7 @@ def mix(docs: DataFrame) -> DataFrame:
     cut = F.array_join(F.slice(ends, F.lit(1), left.cast("int")), "")
     out = out.withColumn("text", F.when(left >= full, text).otherwise(cut))
     at = F.col("finish") + (F.col("lap") - 1) * F.col("source_size") / F.col("target")
-    parts = max(1, docs.sparkSession.sparkContext.defaultParallelism)
-    out = out.withColumn("at", at).repartitionByRange(parts, "at").sortWithinPartitions("at")
+    out = out.withColumn("at", at).repartitionByRange("at").sortWithinPartitions("at")
     changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         length = F.when(left >= full, F.col("row.n_chars")).otherwise(F.length("text"))

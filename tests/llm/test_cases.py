@@ -150,6 +150,21 @@ def test_mix_order_and_cut(spark):
     assert abs(order[:8].count("a") - order.count("a") / 2) <= 1
 
 
+def test_mix_ranges_grow_with_shuffle_partitions(spark):
+    rows = [(i, f"w{i} w w", "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        mixed = mixing.mix(df)
+        assert mixed.rdd.getNumPartitions() == 23
+        assert mixed.count() == 600
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def test_sharding(docs, none):
     rows = sharding.assign(docs).collect()
     assert len(rows) == len(TEXTS)
