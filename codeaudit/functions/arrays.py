@@ -81,4 +81,8 @@ def running_sums(values: Column, chunk: int = 64, levels: int = 2) -> Column:
         )
         return F.flatten(F.zip_with(parts, running_sums(totals, chunk, levels - 1), inside))
 
-    return let(let(values, chunks), joined)
+    def summed(whole: Column) -> Column:
+        few = inside(whole, F.lit(0).cast("bigint"))  # one chunk, as of most texts
+        return F.when(F.size(whole) <= chunk, few).otherwise(let(chunks(whole), joined))
+
+    return let(values, summed)

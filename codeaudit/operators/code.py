@@ -101,7 +101,7 @@ def _masked_lines(content: Column) -> Column:
             F.concat(F.lit(TEXT_OPEN), spaces(s), F.lit(TEXT_CLOSE)),
         ).otherwise(s),
     )
-    return split_lines(F.array_join(hidden, ""))
+    return let(F.array_join(hidden, ""), split_lines)
 
 
 def _bracket_delta(blanked: Column, is_py: Column) -> Column:
@@ -167,7 +167,8 @@ def _measured_lines(opener_before: Column | None = None) -> Column:
     is_py = F.col("language") == "python"
 
     def starts(l, i):
-        header = (l.m.contains("def") | l.m.contains("class")) & l.m.rlike(PY_HEADER)
+        # a header begins its line, so it stands in what is left without comments and strings
+        header = (l.b.contains("def") | l.b.contains("class")) & l.b.rlike(PY_HEADER)
         after_opener = F.get(F.col("_l"), i - 1).b.rlike(JS_BLOCK_OPENER)
         if opener_before is not None:
             after_opener = F.when(i == 0, opener_before).otherwise(after_opener)
@@ -417,7 +418,11 @@ def _bindings() -> Column:
 
     def with_shadows(found: Column) -> Column:
         names = F.transform(found, lambda b: b["name"])
-        shadowing = F.filter("statements", lambda s: F.array_contains(names, _rebound(s.text)))
+        binding = F.filter(
+            "statements",
+            lambda s: s.text.contains("=") | s.text.contains("def") | s.text.contains("class"),
+        )
+        shadowing = F.filter(binding, lambda s: F.array_contains(names, _rebound(s.text)))
         shadows = F.transform(shadowing, lambda s: held(s, _rebound(s.text), F.lit(None).cast("string")))
         return F.concat(found, shadows.cast(_BINDINGS))
 
@@ -484,9 +489,10 @@ def _block_fold(stack: Column | None = None, last: Column | None = None) -> Colu
     A line pops every block indented at least as deep, a header is pushed.  ``stack`` holds
     the blocks open before the first line, ``last`` the last code line before it.
     """
-    lines = F.when(F.col("language") == "python", F.filter("code", lambda l: l.sig)).otherwise(
-        F.array().cast(_CODE)
-    )
+    wanted = F.col("language") == "python"
+    if stack is None:  # nothing is open, so a file without headers has no blocks
+        wanted = wanted & F.exists("code", lambda l: l.seg)
+    lines = F.when(wanted, F.filter("code", lambda l: l.sig)).otherwise(F.array().cast(_CODE))
 
     def opened(l, stack):
         top = F.get(stack, F.size(stack) - 1)

@@ -96,14 +96,25 @@ def may_steer(text: Column) -> Column:
     return let(F.lower(text), found)
 
 
-def injection_lines() -> Column:
+def _searched(raw: Column) -> Column:
+    """What of a file can hold such a text: lines with a quote, or all where lines count whole."""
+    content = F.col("content")
+    quoted = F.filter(raw, lambda x: x.contains('"') | x.contains("'"))
+    return (
+        F.when(F.col("ext").isin(*WHOLE_LINE_EXTENSIONS), content)
+        .when(content.contains('"') | content.contains("'"), F.array_join(quoted, "\n"))
+        .otherwise("")
+    )
+
+
+def injection_lines(raw: Column | None = None) -> Column:
     """(n, text) of the lines of ``raw`` with such a text; files without any cost one search."""
-    ext = F.col("ext")
+    ext, raw = F.col("ext"), F.col("raw") if raw is None else raw
     lines = F.filter(
-        F.transform("raw", lambda x, i: F.struct((i + 1).alias("n"), x.alias("text"))),
+        F.transform(raw, lambda x, i: F.struct((i + 1).alias("n"), x.alias("text"))),
         lambda l: is_injection(l.text) & F.exists(literals_of(l.text, ext), is_injection),
     )
-    wanted = ext.isin(*INJECTION_EXTENSIONS) & may_steer(F.col("content"))
+    wanted = ext.isin(*INJECTION_EXTENSIONS) & let(_searched(raw), may_steer)
     return F.when(wanted, lines).otherwise(F.array().cast("array<struct<n:int,text:string>>"))
 
 

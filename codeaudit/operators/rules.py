@@ -44,6 +44,24 @@ OPENINGS = {
     "sql-missing-rls": r"(?i)create\s+table",
 }
 
+#: For rules with a common keyword: texts of which every match holds one.  They begin with rare
+#: characters, since a search stops at each place of the first one.
+HELD = {
+    "js-eval-user-input": ("val(", "Timeout(", "Function("),
+    "js-hardcoded-secret": ('"', "'", "`"),
+    "js-sqli-template-literal": (".query(", ".execute(", ".run(", ".raw("),
+    "python-default-credentials": ('"', "'"),
+    "python-deserial-eval-exec": ("val(", "xec("),
+    "python-graphql-injection": ("xecute(", "query("),
+    "python-hardcoded-secret": ('"', "'"),
+    "python-html-injection": ("</",),
+    "python-nosql-injection": (".find(", ".find_one(", ".delete_one(", ".update_one("),
+    "python-path-traversal-unsanitized": ("pen(", "_file("),
+    "python-ssrf-user-controlled-url": ("quests.", "px.", "urlopen("),
+    "python-token-in-url": ("={",),
+    "python-weak-session-token": ("uuid4(", ".random(", ".randint(", ".randrange("),
+}
+
 
 def rule_table(spark: SparkSession, rules=RULES) -> DataFrame:
     """The catalogue as a table, one row per rule; append rows to add rules."""
@@ -213,10 +231,15 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _held(rule: Rule) -> tuple[str, ...]:
+    return HELD.get(rule.rule_id, ()) if rule in RULES else ()
+
+
 def _may_match(rule: Rule, text: Column) -> Column:
     """False only where no statement of ``text``, all of a file's, can meet the rule."""
     if rule.keyword:
-        return text.contains(rule.keyword)
+        held = [text.contains(word) for word in _held(rule)]
+        return text.contains(rule.keyword) & any_of(held) if held else text.contains(rule.keyword)
     opening = OPENINGS.get(rule.rule_id) if rule in RULES else None
     return text.rlike(opening) if opening else F.lit(True)
 
@@ -224,6 +247,9 @@ def _may_match(rule: Rule, text: Column) -> Column:
 def _plain_hits(rule: Rule, k: int, rows: str) -> Column:
     """Hits of a rule that reads a statement alone; as one expression, since there are many."""
     test = f"rlike(s.text, {_quoted(effective_pattern(rule))})"
+    held = " OR ".join(f"contains(s.text, {_quoted(word)})" for word in _held(rule))
+    if held:
+        test = f"({held}) AND {test}"
     if rule.keyword:
         test = f"contains(s.text, {_quoted(rule.keyword)}) AND {test}"
     if rule.negative:
@@ -408,11 +434,6 @@ def _matches_in(text: Column, pattern: Column) -> Column:
     with the character before a name, the match is placed at the name.
     """
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
-    # an empty match at the very start opens no piece of its own
-    between = F.when(F.size(between) > F.size(found), between).otherwise(
-        F.concat(F.array(F.lit("")), between)
-    )
     named = pattern.contains(CHARACTER_BEFORE)
 
     def pair(gap, match):
@@ -421,7 +442,17 @@ def _matches_in(text: Column, pattern: Column) -> Column:
             F.concat(gap, lead).alias("gap"), F.substr(match, F.length(lead) + 1).alias("match")
         )
 
-    pairs = let(found, lambda f: F.zip_with(F.slice(between, F.lit(1), F.size(f)), f, pair))
+    def paired(f):
+        def gaps(between):
+            # an empty match at the very start opens no piece of its own
+            opened = F.when(F.size(between) > F.size(f), between).otherwise(
+                F.concat(F.array(F.lit("")), between)
+            )
+            return F.slice(opened, F.lit(1), F.size(f))
+
+        return F.zip_with(let(F.split(text, pattern, -1), gaps), f, pair)
+
+    pairs = let(found, paired)
 
     def before(pairs, measure):
         both = F.transform(pairs, lambda p: (measure(p["gap"]) + measure(p["match"])).cast("bigint"))

@@ -100,9 +100,16 @@ def restating_comment_count() -> Column:
             return F.struct(c.x.alias("x"), F.array_join(F.slice(code, 1, 3), "\n").alias("code"))
 
         def overlaps(c):
-            return (c.code != "") & (
-                F.size(F.array_intersect(identifiers(c.x), identifiers(c.code))) >= 3
-            )
+            def shared(names):
+                # a shared identifier stands in the comment, which is looked at before it is cut up
+                there = let(F.lower(c.x), lambda x: F.size(F.filter(names, lambda n: x.contains(n))))
+                return (
+                    (F.size(names) >= 3)
+                    & (there >= 3)
+                    & (F.size(F.array_intersect(identifiers(c.x), names)) >= 3)
+                )
+
+            return (c.code != "") & let(identifiers(c.code), shared)
 
         return F.size(F.filter(F.transform(candidates, nearby), overlaps))
 
@@ -256,7 +263,8 @@ def documented_share() -> Column:
 
 def swallowed_exception() -> Column:
     masked = F.array_join(F.transform("code", lambda l: l.m), "\n")
-    return F.when(masked.rlike(SWALLOWED_EXCEPTION), 0.25).otherwise(0.0)
+    possible = F.col("content").contains("xcept")
+    return F.when(possible & masked.rlike(SWALLOWED_EXCEPTION), 0.25).otherwise(0.0)
 
 
 def assign_return_count() -> Column:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeaudit.functions.plan import broadcast_if_small, once, written
+from codeaudit.functions.text import split_lines
 from codeaudit.operators import injection, secrets
 from codeaudit.operators.agentconfig import config_findings
 from codeaudit.operators.dependencies import dependency_findings
@@ -206,19 +207,27 @@ def file_results(
     the results has read the contents exactly once.
     """
     keep = F.col("is_scanned") | F.col("ext").isin(*injection.INJECTION_EXTENSIONS)
-    extra = []
+    extra, kept = [], F.lit(None).cast("string")
     if keep_projects:
         is_project = is_project_file(F.col("rel_path"), F.col("file_name"))
         keep = keep | is_project
+        kept = F.when(is_project, F.col("content"))
         extra = [
             "root", "rel_path", "file_name", "ext", is_project.alias("is_project"),
-            F.when(is_project, F.col("content")).alias("content"),
+            F.col("_kept").alias("content"),
         ]
     wanted = marked.where(keep)
     gated = wanted.withColumn(
         "language", once(F.when(F.col("is_scanned"), F.col("language")).otherwise(""))
     )
-    model = unreported_secrets(tiered_model(gated, threshold, rules, signals))
+    # other files than the scanned ones only meet the injection search: to the model they are empty
+    content = F.col("content")
+    steered = gated.withColumns({
+        "_steering": once(injection.injection_lines(split_lines(content))),
+        "_kept": once(kept),
+        "content": once(F.when(F.col("is_scanned"), content).otherwise("")),
+    })
+    model = unreported_secrets(tiered_model(steered, threshold, rules, signals))
 
     def ranked(hits, rank, rule_id):
         return F.transform(
@@ -242,7 +251,7 @@ def file_results(
     hits = F.concat(
         by_rules.cast(_RANKED),
         found_secrets,
-        ranked(injection.injection_lines(), SOURCE_RANK["injection"], injection.RULE_ID),
+        ranked(F.col("_steering"), SOURCE_RANK["injection"], injection.RULE_ID),
     )
     return model.withColumn("rule_hits", once(hits)).select(
         "repo_id", "file_id", "path", "is_scanned", "comments", "structure", "tokens",

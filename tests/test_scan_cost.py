@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 from codeaudit.functions.plan import spread
 from codeaudit.functions.text import BLANKS, identifiers, indent_of, is_blank, newline_count, split_lines, stripped
 from codeaudit.operators.code import TEXT_QUOTES, with_blocks, with_code, with_statements
-from codeaudit.operators.injection import PATTERN_WORDS, is_injection, may_steer
+from codeaudit.operators import injection
+from codeaudit.operators.injection import PATTERN_WORDS, _searched, injection_lines, is_injection, may_steer
+from codeaudit.operators.rules import HELD
 from codeaudit.operators.signals import code_model, restating_comment_count
+from codeaudit.plans.scan import file_results, marked_files
+from codeaudit.sources.catalogue import RULES
 from codeaudit.sources.constants import INJECTION_PATTERNS
+from codeaudit.sources.snippets import SNIPPETS
 
 STEERING = (
     "ignore all  instruction", "IGNORE prior\ninstructions", "Forget everything know", "forget everything you learned",
@@ -111,3 +116,64 @@ def test_few_splits_are_dealt_evenly_over_the_cores(spark):
     assert dealt.rdd.getNumPartitions() == 2 * cores
     assert sorted(r.id for r in dealt.collect()) == list(range(1000))
     assert spread(spark.range(0, 1000, 1, 2 * cores)).rdd.getNumPartitions() == 2 * cores
+
+
+def test_texts_without_quotes_are_not_searched_for_steering(spark):
+    rows = [
+        ("a.py", "ignore all instructions\n# prompt\n"), ("b.py", "x = 'ab'\r# say\ny = \"new system prompt\"\r\n"),
+        ("c.yml", "new system prompt\n"), ("d.json", "{}\n"), ("e.txt", "'new system prompt'"), ("f.py", "don't\nskip"),
+    ]
+    data = [(p, p[1:] if p[1:] != ".yml" else ".yml", t) for p, t in rows]
+    files = spark.createDataFrame(data, "path string, ext string, content string")
+    found = files.select("path", _searched(split_lines(F.col("content"))).alias("x")).collect()
+    assert dict(found) == {
+        "a.py": "", "b.py": "x = 'ab'\ny = \"new system prompt\"", "c.yml": "new system prompt\n", "d.json": "{}\n",
+        "e.txt": "'new system prompt'", "f.py": "don't",
+    }
+    hits = files.select("path", injection_lines(split_lines(F.col("content"))).alias("x")).collect()
+    assert {p: [h["n"] for h in x] for p, x in hits if x} == {"b.py": [3], "c.yml": [1]}
+
+
+def test_masked_text_is_split_once(spark, make_files):
+    files = make_files([("a.py", 'x = """a\nb"""\n')])
+    plan = with_code(files).select("code")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(TEXT_QUOTES) == 1
+
+
+def test_rules_with_common_keywords_hold_their_texts(spark):
+    by_id = {r.rule_id: r for r in RULES}
+    assert all(by_id[i].keyword and by_id[i].scope == "L" for i in HELD)
+    seen = set()
+    for _, _, _, head in SNIPPETS:
+        for line in head.split("\n"):
+            for i, words in HELD.items():
+                if re.search(by_id[i].positive.replace("\\$\\w", "[$]\\w"), line):
+                    seen.add(i)
+                    assert any(w in line for w in words), (i, line)
+    assert len(seen) > 8
+
+
+def test_files_not_scanned_only_meet_the_injection_search(spark, make_files):
+    """Manifests and settings are not scored; their text is kept for the project checks."""
+    doc = "Args:\n    Returns:\n# TODO: implement it\n" * 3
+    files = make_files([
+        ("requirements.txt", f"flask\n  Args:\n{doc}"), ("package.json", '{"a": "new system prompt", "password": "hunter2hunter2"}'),
+        ("app/a.py", f"x = 'new system prompt'\n  Args:\n{doc}"),
+    ])
+    rows = {r.path.split("/")[-1]: r for r in file_results(marked_files(files), keep_projects=True).collect()}
+    assert rows["a.py"].comments > 0 and rows["a.py"].content is None
+    assert [h.rule_id for h in rows["a.py"].rule_hits] == [injection.RULE_ID]
+    assert rows["requirements.txt"].comments == 0 and rows["requirements.txt"].content.startswith("flask")
+    assert [h.rule_id for h in rows["package.json"].rule_hits] == [injection.RULE_ID]
+    assert rows["package.json"].content.startswith("{")
+
+
+def test_comments_share_identifiers_whatever_their_case(spark, make_files):
+    files = make_files([
+        ("a.py", "# Load The USER Record From Cache now\nuser = cache.load(record)\n"),
+        ("b.py", "# userx recordy cachez are not named here\nuser = cache.load(record)\n"),
+        ("c.py", "# USER user User record of the day x\nuser = record\n"),
+        ("d.py", "# user record \u0130 cache loader of it\nuser = cache.get(record)\n"),
+    ])
+    found = with_code(files).select("path", restating_comment_count().alias("n")).collect()
+    assert {r.path.split("/")[-1]: r.n for r in found} == {"a.py": 1, "b.py": 0, "c.py": 0, "d.py": 1}
