@@ -274,6 +274,45 @@ def test_passages_among_holders_that_are_not_the_ends(spark):
     assert sum(s == "20-79" for _, s in spans) >= 0.95 * len(spans)
 
 
+def test_passages_of_texts_that_share_a_frequent_run(spark, monkeypatch):
+    """A hundred and fifty texts with a run of one word, two of them similar around it."""
+    own = [f"w{g}" for g in range(148)] + ["same", "same"]
+    rows = []
+    for g, word in enumerate(own):
+        before, after = (" ".join(f"{side}{g}x{i}" for i in range(30)) for side in "ab")
+        rows.append((g, f"{before} {f'{word} ' * 30}{'the ' * 30}{after}"))
+    bands, verified = [], passages.verified
+    monkeypatch.setattr(passages, "verified", lambda pairs, codes: (bands.append(pairs.count()), verified(pairs, codes))[1])
+    found = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.spans, r.partner_id) for r in found if r.spans} == {148: ("30-89", 149), 149: ("30-89", 148)}
+    # all pairs are 11,175
+    assert sum(bands) < 20 * len(rows)
+
+
+def test_prefixes_are_shared_by_similar_stretches():
+    rng = np.random.default_rng(5)
+    common = [np.zeros(1 << 10, np.uint8) for _ in range(2)]
+    for _ in range(200):
+        code = rng.integers(0, 60, passages.LEAST).astype(np.uint32)
+        other = code.copy()
+        other[rng.choice(passages.LEAST, passages.LEAST - passages.COMMON, replace=False)] = 99
+        one, two = (passages.prefixes(passages.rare_first(c, common)) for c in (code, other))
+        assert np.intersect1d(one, two).size
+        c, low = np.array([7]), np.zeros(1, np.int64)
+        names = [passages.narrowed(passages.rare_first(x, common), c, low, low)[1] for x in (code, other)]
+        assert np.intersect1d(*names).size
+
+
+def test_matchings_go_on_and_keep_rows_apart():
+    a = np.array([1, 1, 1, 2, 3, 1, 1], np.uint32)
+    b = np.array([9, 1, 1, 1, 1, 2, 3, 1], np.uint32)
+    alone = passages.matching(a, b, -3, 4)
+    both = dict(passages.matchings(np.tile(a, 2), np.array([7, 7]), np.tile(b, 2), np.array([8, 8]),
+                                   np.array([-3, -3]), np.array([4, 4]), 1))
+    assert (both[0] == alone).all() and (both[1] == alone).all()
+    assert alone.tolist()[3:5] == [5, 6] and all(b[j] == a[i] for i, j in enumerate(alone) if j >= 0)
+
+
 def test_passage_bands_overlap(spark):
     """Matches on both sides of every multiple of a cell are counted together."""
 
